@@ -81,8 +81,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     ``edges`` has two columns of one orderable type. Alternating large-star and small-star rounds: each
     hangs neighbours on the smallest node seen until every component is a star. Each round is one job
-    over written edges; the minimum is a partial aggregate and the join back is one AQE may split, so a
-    hub is no single task's work. Nulls and loops are no edges; an empty table gives no rows.
+    over written edges; minima are partial aggregates, written so that AQE may split a hub's join. Nulls and loops are no edges; an empty table gives no rows.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -95,8 +94,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while seen[0]:
         t = now.df
         both = t.unionByName(t.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        least = Written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(small_min, "u")
@@ -107,6 +106,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         )
         last, now = now, Written(small, label)
         last.drop()
+        least.drop()
         before, seen = seen, digest(now.df)
         if seen == before:
             break

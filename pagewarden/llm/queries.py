@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import ann_additive, exact_dedup, mixing, packing, quality_gam, sharding, simhash, url_filters
+from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, mixing, packing, quality_gam, sharding, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_pages(_table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.count_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path of their own: source and language are their directories."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")), "doc_id")
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op7_license_scan": op7_license_scan,
     "op1_ann_additive": op1_ann_additive,
     "op3_quality_gam": op3_quality_gam,
     "op5_url_filters": op5_url_filters,

@@ -98,7 +98,7 @@ def brute_scores(units):
 FILES = [
     (1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     (2, "a/b/c.py", "x = 1"),
-    (3, "a/b/d.py", "Some code\nLicensed under the Apache License, Version 2.0.\nmore"),
+    (3, "a/b/d.py", "Some code\nLicensed under the Apache License, Version 2.0.\n" + "more code " * 20),
     (4, "z/q.txt", "nothing. The licence plate of a car was seen near the old bridge that morning"),
     (5, "a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."),
     (6, "a/b/e/f.py", ""),

@@ -178,13 +178,20 @@ def field_category(role: Column, label: Column, attributes: Column) -> Column:
     )
 
 
+_UNTYPED = ("password", "hidden", "checkbox", "radio", "submit", "button", "reset", "image")
+
+
 def value_category(value: Column, type_: Column, from_profile: Column) -> Column:
-    """Category of a typed value: its first span's, else by the field's type; null when nothing is to hide."""
-    held = F.coalesce(F.length(value) > 0, F.lit(False))
-    by_type = F.when(type_ == "email", "email").when(type_ == "tel", "phone")
+    """Category of a field by its typed value: first span's, else the type's; null when nothing is to hide.
+
+    Non-empty email and tel fields and fields filled from the profile always count; file fields only
+    when filled from the profile; types that carry no typed text never do.
+    """
+    kind = F.coalesce(type_, F.lit("text"))
     first = F.get(pii_spans(value), F.lit(0))["category"]
-    plain = F.coalesce(first, by_type, F.when(from_profile, "other"))
-    return F.when(held & ((type_ != "file") | from_profile), plain)
+    by_type = F.when(kind == "tel", "phone").when(kind == "email", "email").when(from_profile, "pii_text")
+    held = F.coalesce(F.length(value) > 0, F.lit(False))
+    return F.when(kind == "file", F.when(from_profile, "pii_text")).when(~kind.isin(*_UNTYPED) & held, F.coalesce(first, by_type))
 
 
 def redact_elements(elements: Column) -> Column:

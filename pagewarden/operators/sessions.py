@@ -198,7 +198,7 @@ def outcomes(log: DataFrame) -> DataFrame:
     """
     vision = F.startswith(F.col("target"), F.lit("vis_"))
     return log.groupBy("session").agg(
-        F.count("*").alias("steps"), F.max_by("status", "step").alias("status"), ((F.unix_millis(F.max("finished_at")) - F.unix_millis(F.min("started_at"))) / 1000.0).alias("seconds"),
+        F.count("*").alias("steps"), F.max_by("status", "step").alias("status"), ((F.unix_millis(F.max("finished_at").cast("timestamp")) - F.unix_millis(F.min("started_at").cast("timestamp"))) / 1000.0).alias("seconds"),
         F.count_if(F.coalesce(vision, F.lit(False))).alias("vision_steps"), F.count_if(F.coalesce(~vision, F.lit(False))).alias("listed_steps"),
     )
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from pagewarden.plans import box_queries, session_queries, text_queries
+
+    return box_queries.QUERIES | session_queries.QUERIES | text_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    from pagewarden.plans import box_queries, session_queries, text_queries
+
+    return box_queries.ORACLE_SQL | session_queries.ORACLE_SQL | text_queries.ORACLE_SQL

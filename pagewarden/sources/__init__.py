@@ -1 +1,81 @@
-"""Sources of pagewarden."""
+"""Sources and sinks: capture logs, screenshots, label files, page fixtures, result tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewarden import schema
+from pagewarden.functions import boxes as B
+
+ROLE_LISTS = {"links": "link", "buttons": "button", "controls": "control", "frames": "frame", "canvases": "canvas"}
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """The capture log: one JSON document a step; unreadable files give rows of nulls."""
+    return spark.read.schema(schema.LOG).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+
+
+def stream_captures(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same as a stream of arriving files."""
+    r = spark.readStream.schema(schema.LOG).option("multiLine", True).option("pathGlobFilter", "*.json")
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(path)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def read_screenshots(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, mime, content) of saved screenshots; join a capture log by the file's stem."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,webp,jpg}").load(path)
+    end = F.regexp_extract("path", r"\.([a-z]+)$", 1)
+    return files.select(stem(F.col("path")).alias("stem"), F.when(end == "jpg", "image/jpeg").otherwise(F.concat(F.lit("image/"), end)).alias("mime"), "content")
+
+
+def decode_base64(data: Column) -> Column:
+    """Bytes of base64 text; null, never an error, for anything else."""
+    return F.try_to_binary(data, F.lit("base64"))
+
+
+def encode_base64(data: Column) -> Column:
+    return F.base64(data)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, id, line_no, cls, cx, cy, w, h) of label files, a line a box; blank lines are dropped before counting."""
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(stem(F.input_file_name()).alias("image_id"), "value")
+    lines = F.filter(F.split(F.trim("value"), r"\r?\n"), lambda x: F.trim(x) != "")
+    parts = files.select("image_id", F.posexplode(lines).alias("line_no", "line")).withColumn("p", F.split(F.trim("line"), r"\s+"))
+    number = lambda i: F.get("p", F.lit(i)).try_cast("double")
+    return parts.select("image_id", F.concat(F.lit("gt_"), F.col("line_no").cast("string")).alias("id"), "line_no", F.get("p", F.lit(0)).try_cast("int").alias("cls"), *(number(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))
+
+
+def write_labels(boxes: DataFrame, path: str) -> None:
+    """A folder of label lines for each image; ``boxes`` has image_id, cls, idx, box, vw, vh."""
+    line = B.norm_line(F.col("cls"), B.box("x", "y", "width", "height"), F.col("vw"), F.col("vh"))
+    rows = boxes.select("image_id", "idx", line.alias("value"))
+    rows.repartition("image_id").sortWithinPartitions("image_id", "idx").select("image_id", "value").write.mode("overwrite").partitionBy("image_id").text(path)
+
+
+def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """(page, role, pos, label, box, vw, vh) of page fixtures: lists of boxes by role."""
+    item = "array<struct<label:string,bbox:struct<x:double,y:double,width:double,height:double>>>"
+    plain = "array<struct<x:double,y:double,width:double,height:double>>"
+    kinds = {k: plain if k in ("frames", "canvases") else item for k in ROLE_LISTS}
+    ddl = "viewport struct<width:double,height:double>, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
+    pages = spark.read.schema(ddl).option("multiLine", True).json(path).withColumn("page", stem(F.input_file_name()))
+    out = None
+    for name, role in ROLE_LISTS.items():
+        rows = pages.select("page", F.lit(role).alias("role"), F.posexplode(name).alias("pos", "e"), F.col("viewport.width").alias("vw"), F.col("viewport.height").alias("vh"))
+        box = "e" if kinds[name] == plain else "e.bbox"
+        label = F.lit(None).cast("string") if kinds[name] == plain else F.col("e.label")
+        rows = rows.select("page", "role", "pos", label.alias("label"), *(F.col(f"{box}.{k}").alias(k) for k in ("x", "y", "width", "height")), "vw", "vh")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Results both as JSON rows and as a table."""
+    df.write.mode("overwrite").json(f"{path}/json")
+    df.write.mode("overwrite").parquet(f"{path}/table")

@@ -1 +1,145 @@
-"""Streaming of pagewarden."""
+"""Streams of agent steps: sanitising, the task state machine, correlation by time, bounded and latest state."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from pagewarden.operators import captures as C
+from pagewarden.operators import sessions as S
+
+HELLO_MS, APPROVAL_S, ANSWER_S, RING = 400, 120, 600, 30
+TERMINAL = {"done": "done", "ask_user": "needs_user", "noop": "stopped"}
+STEP_LOG = "session string, step int, verdict string, status string, repeats int"
+_STATE = "step int, repeats int, previous string, status string, skipped array<string>"
+
+
+def sanitise_stream(steps: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends every arriving step sanitised, those with an error too, to a table at ``path``."""
+    return C.sanitise(steps).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def record_stream(steps: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append-only record of processed steps with latency or error; no row is dropped."""
+    outcome = F.when(F.col("error").isNotNull(), "error").otherwise("ok")
+    return steps.withColumn("outcome", outcome).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One session's proposed commands in order against what the session remembers."""
+    step, repeats, previous, status, skipped = state.get if state.exists else (0, 0, None, "running", [])
+    skipped, out = list(skipped or []), []
+    rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
+    for r in rows.itertuples(index=False):
+        if status != "running":
+            out.append((key[0], step, "ignored", status, repeats))
+            continue
+        if previous is not None and r.canonical == previous:
+            if repeats < S.MAX_REPEATS:
+                repeats += 1
+                verdict = "skip_repeat"
+            else:
+                verdict, status = "stopped", "stopped"
+        elif r.action == "type" and not (r.text or "").strip() and not r.filled:
+            verdict = "skip_field"
+            previous = r.canonical if r.target in skipped else None
+            skipped = skipped if r.target in skipped else [*skipped, r.target]
+        elif r.veto:
+            verdict, status = "vetoed", r.veto
+        elif not r.ok:
+            verdict, status = "failed", "failed"
+        else:
+            verdict, previous = "run", r.canonical
+            status = TERMINAL.get(r.action, status)
+        out.append((key[0], step, verdict, status, repeats))
+        step += 1
+        if status == "running" and step >= S.MAX_STEPS:
+            status = "max_steps"
+            out[-1] = (*out[-1][:3], status, repeats)
+    state.update((step, repeats, previous, status, skipped))
+    yield pd.DataFrame(out, columns=["session", "step", "verdict", "status", "repeats"])
+
+
+class _Fresh:
+    """The state of a session that is complete in one table."""
+
+    exists = False
+
+    def update(self, _value) -> None:
+        pass
+
+
+def task_states(steps: DataFrame) -> DataFrame:
+    """The task state machine: a log row for every proposed command of a stream or, with the same rules, a batch.
+
+    ``steps`` has session (string), seq, ts, action, target, text, canonical (sessions.canonical), filled
+    (the target holds something), veto (a status that ends the task, or null) and ok (execution
+    succeeded). Skipped commands never count as the one before; the repeat budget of two is per task;
+    done, ask_user and noop end it, as does the 25th step; later commands are ignored.
+    """
+    cols = steps.select("session", "seq", "ts", "action", "target", "text", "canonical", F.coalesce("filled", F.lit(False)).alias("filled"), "veto", F.coalesce("ok", F.lit(True)).alias("ok"))
+    by_session = cols.groupBy("session")
+    if not steps.isStreaming:
+        return by_session.applyInPandas(lambda key, rows: next(_advance(key, iter([rows]), _Fresh())), STEP_LOG)
+    return by_session.applyInPandasWithState(_advance, STEP_LOG, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def match_within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, left_ts: str = "ts", right_ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
+    """Left rows with the right rows of their keys that came within ``seconds`` after them, else nulls.
+
+    Works on streams and on tables: a frame's hello within 400 ms, an approval within 120 s, an answer
+    within 600 s. Right columns are prefixed r_.
+    """
+    l = left.withWatermark(left_ts, watermark) if left.isStreaming else left  # noqa: E741
+    r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    r = r.withWatermark(f"r_{right_ts}", watermark) if right.isStreaming else r
+    same = [F.col(k) == F.col(f"r_{k}") for k in keys]
+    late = F.expr(f"r_{right_ts} >= {left_ts} AND r_{right_ts} <= {left_ts} + INTERVAL '{seconds}' SECOND")
+    condition = late
+    for s in same:
+        condition = condition & s
+    return l.join(r, condition, "left_outer")
+
+
+def hello_frames(frames: DataFrame, hellos: DataFrame) -> DataFrame:
+    """Frames (nonce, tab, ts) with read: did a hello of the same nonce and tab arrive in 400 ms?"""
+    return match_within(frames, hellos, ["nonce", "tab"], HELLO_MS / 1000).withColumn("read", F.col("r_nonce").isNotNull())
+
+
+def approvals(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests (session, ts) with allowed: an answer of allow within 120 s; no answer is a refusal."""
+    return match_within(requests, answers, ["session"], APPROVAL_S).withColumn("allowed", F.coalesce("r_allow", F.lit(False)))
+
+
+def given_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Questions (session, ts) with outcome: the answer's kind within 600 s, else stop."""
+    return match_within(questions, answers, ["session"], ANSWER_S).withColumn("outcome", F.coalesce("r_kind", F.lit("stop")))
+
+
+def keep_ring(captures: DataFrame, path: str, checkpoint: str, by: str = "id", limit: int = RING) -> StreamingQuery:
+    """Keeps the newest ``limit`` captures of a stream at ``path``: each batch rewrites that bounded table."""
+
+    def rewrite(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.orderBy(F.desc(by)).limit(limit)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 1}")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            newest = newest.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}")).orderBy(F.desc(by)).limit(limit)
+        newest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return captures.writeStream.foreachBatch(rewrite).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(captures: DataFrame, by: str = "id", limit: int = RING) -> DataFrame:
+    """The last captures, newest first."""
+    return captures.orderBy(F.desc(by)).limit(limit)
+
+
+def latest_states(snapshots: DataFrame, key: str = "session", ts: str = "ts") -> DataFrame:
+    """The last snapshot of each task; update mode on a stream."""
+    return snapshots.groupBy(key).agg(F.max_by(F.struct(*(c for c in snapshots.columns if c != key)), ts).alias("state"))

@@ -234,6 +234,11 @@ def device_ms(perception: Column) -> Column:
     return F.coalesce(perception["latencyMs"], F.lit(0.0)) + F.coalesce(perception["uiLatencyMs"], F.lit(0.0)) + F.coalesce(perception["ocrLatencyMs"], F.lit(0.0))
 
 
+def ocr_totals(reads: DataFrame, by: str) -> DataFrame:
+    """Lines and milliseconds of text recognition per step; unread frames count as nothing."""
+    return reads.groupBy(by).agg(F.sum(F.coalesce("lines", F.lit(0))).alias("lines"), F.sum(F.coalesce("ms", F.lit(0))).alias("ms"))
+
+
 def seen_by_vision(elements: DataFrame, visual: DataFrame) -> DataFrame:
     """Adds seen: does a box of the step name the element?"""
     hit = visual.where("matched_id IS NOT NULL").select("image_id", F.col("matched_id").alias("id"), F.lit(True).alias("_hit")).distinct()

@@ -203,6 +203,16 @@ def compare_variants(runs: DataFrame, baseline: str) -> DataFrame:
     return points.join(base, "resolution", "left").select(*by, "runs", "mean", "p50", "p95", B.half_up(F.try_divide("base", "p50"), 100).alias("speedup"))
 
 
+def size_share(size: Column, base: Column) -> Column:
+    """Whole percent of a baseline's size; 100 without a baseline."""
+    return F.floor(F.coalesce(F.try_divide(size * 100, base), F.lit(100.0)) + 0.5).cast("int")
+
+
+def confidence_summary(dets: DataFrame, *by: str) -> DataFrame:
+    """Detections, least and mean confidence (one decimal) per group."""
+    return dets.groupBy(*by).agg(F.count("*").alias("detections"), F.min("conf").alias("min_confidence"), B.round1(F.avg("conf")).alias("mean_confidence"))
+
+
 def live_precision(visual: DataFrame, by: str = "image_id") -> DataFrame:
     """Whole percent of boxes matched or added per image; 100 without boxes (a null row per image)."""
     good = F.count_if(F.col("matched_id").isNotNull()) + F.count_if(F.col("added_as").isNotNull())

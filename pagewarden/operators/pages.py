@@ -159,6 +159,12 @@ def listed(tag: Column, a: Column) -> Column:
     )
 
 
+def keep_element(role: Column, text: Column, visible: Column, rendered: Column) -> Column:
+    """Visible elements, and form controls with a box even outside the viewport; empty status texts never."""
+    empty = (role == "text") & (T.trim_all(F.coalesce(text, F.lit(""))) == "")
+    return (visible | (role.isin(*FORM_ROLES) & rendered)) & ~empty
+
+
 def element_table(nodes: DataFrame, prefix: str = "el_", limit: int = MAX_ELEMENTS) -> DataFrame:
     """(page_id, id, role, label, attributes, is_interactive, pos): the first elements of each page, ids in first-seen order.
 

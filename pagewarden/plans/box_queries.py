@@ -153,6 +153,10 @@ def live_precision(spark, sf):
     return D.live_precision(_visual(spark, sf))
 
 
+def confidences(spark, sf):
+    return D.confidence_summary(dets(spark, sf), "cls")
+
+
 def seen_elements(spark, sf):
     e = truth(spark, sf).select("image_id", F.concat(F.lit("el_"), F.col("id").cast("string")).alias("id"))
     return C.seen_by_vision(e, _visual(spark, sf)).groupBy("image_id").agg(F.count("*").alias("listed"), F.count_if("seen").alias("seen"))
@@ -177,7 +181,7 @@ def frame_merge(spark, sf):
 
 QUERIES = {f.__name__ if f.__name__ != "nms" else "box_nms": f for f in (
     nms, match, step_scores, sweep, best_iou, vision_only, reading_order, masks, uncovered, geometry, label_boxes, anchors, class_argmax, region_counts,
-    region_words, union_regions, percentiles, medians, variants, image_recall, live_precision, seen_elements, baskets, frame_merge,
+    region_words, union_regions, percentiles, medians, variants, image_recall, live_precision, confidences, seen_elements, baskets, frame_merge,
 )}
 
 _D, _T = f"({duck(DETS)})", f"({duck(TRUTH)})"
@@ -266,6 +270,7 @@ ORACLE_SQL = {
     "image_recall": f"""WITH d AS {_D}, t AS (SELECT image_id, CASE WHEN image_id % 11 = 0 THEN 0 ELSE count(*) FILTER (idx % 5 <> 0) END AS truth, count(*) FILTER (conf >= 0.5::DOUBLE) AS n FROM d GROUP BY image_id)
       SELECT sum(least(truth, n))::BIGINT AS found, sum(truth)::BIGINT AS total, sum(CASE WHEN truth = 0 THEN n ELSE 0 END)::BIGINT AS false_positives FROM t""",
     "live_precision": f"WITH d AS {_D} SELECT image_id, floor((count(*) FILTER (idx % 3 = 0) + count(*) FILTER (idx % 7 = 0)) * 100 / count(*) + 0.5)::INT AS precision FROM d GROUP BY image_id",
+    "confidences": f"WITH d AS {_D} SELECT cls, count(*) AS detections, min(conf) AS min_confidence, {_R1.format('avg(conf)')} AS mean_confidence FROM d GROUP BY cls",
     "seen_elements": f"""{_WITH} SELECT image_id, count(*) AS listed, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE d.image_id = t.image_id AND d.idx = t.id AND d.idx % 3 = 0)) AS seen FROM t GROUP BY image_id""",
     "baskets": f"""WITH i AS ({duck(views.BASKETS)}), b AS (SELECT basket, price, (row_number() OVER (PARTITION BY basket ORDER BY price DESC, item) - 1) // 3 AS s FROM i WHERE kind = 'book'),
       o AS (SELECT basket, sum(greatest(p - 999, 0)) AS off FROM (SELECT basket, s, sum(price) AS p FROM b GROUP BY basket, s HAVING count(*) = 3) GROUP BY basket),

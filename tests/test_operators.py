@@ -234,3 +234,13 @@ def test_refused_runs(spark):
     at = lambda s: datetime.datetime(2026, 1, 1, 0, 0, s)
     r = spark.createDataFrame([(1, at(0), at(10)), (1, at(5), at(6)), (1, at(20), at(30))], "tab int, started_at timestamp, finished_at timestamp")
     assert [x["refused"] for x in sessions.overlapping_steps(r).orderBy("started_at").collect()] == [False, True, False]
+
+
+def test_small_rules(spark):
+    rows = [("button", "", False, True, True), ("link", "", False, True, False), ("text", " ", True, True, False), ("text", "Hi", True, True, True), ("textbox", "", False, False, False)]
+    df = spark.createDataFrame(rows, "role string, text string, visible boolean, rendered boolean, want boolean")
+    assert df.where(pages.keep_element(F.col("role"), F.col("text"), F.col("visible"), F.col("rendered")) != F.col("want")).collect() == []
+    reads = spark.createDataFrame([("s", 3, 10), ("s", None, None)], "step string, lines int, ms int")
+    assert ids(captures.ocr_totals(reads, "step"), "lines", "ms") == [(3, 10)]
+    sizes = spark.createDataFrame([(638.0, 1241.0), (5.0, None)], "a double, b double")
+    assert [r[0] for r in sizes.select(detections.size_share(F.col("a"), F.col("b"))).collect()] == [51, 100]

@@ -116,18 +116,15 @@ def _split(rows: DataFrame, segments_df: DataFrame, segments: int) -> tuple[Data
 
 
 class _Filters:
-    """The written hash table (_sha, _h, columns asked for) and a bounded Bloom filter for each slice of it."""
+    """A bounded Bloom filter for each slice of the hash space of ``hashes``, which has a hash column _h."""
 
-    def __init__(self, docs: DataFrame, columns: dict[str, Column], text: str):
-        held = docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(F.col(text)).alias("_sha"))
-        self.hashes = written(held, "hashes").withColumn("_h", _hash(F.col("_sha")))
-        rows = self.hashes.count()
+    def __init__(self, hashes: DataFrame, rows: int):
         self.slices = max(1, -(-rows // SLICE_ROWS))
         self.segments = max(1, -(-rows * CELLS_PER_ROW // (self.slices * SEGMENT_CELLS)))
         h = F.col("_h")
         self.filters = []
         for k in range(self.slices):
-            own = self.hashes if self.slices == 1 else self.hashes.where(_slice(h, self.slices) == k)
+            own = hashes if self.slices == 1 else hashes.where(_slice(h, self.slices) == k)
             self.filters.append(written(_filter_segments(own.select(h.alias("h")), self.segments), "bloom"))
 
     def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,6 +137,19 @@ class _Filters:
         return maybe, unique
 
 
+def split_repeated(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long ``key`` may occur again, rows whose key certainly does not) of a table of ``rows`` rows."""
+    keyed = df.withColumn("_h", F.col(key).bitwiseAND(F.lit((1 << 60) - 1)))
+    return tuple(x.drop("_h") for x in _Filters(keyed, rows).split(keyed))
+
+
+def _hash_table(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, _Filters]:
+    """The written hash table (_sha, _h, and the columns asked for) and its filters."""
+    held = docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(F.col(text)).alias("_sha"))
+    hashes = written(held, "hashes").withColumn("_h", _hash(F.col("_sha")))
+    return hashes, _Filters(hashes, hashes.count())
+
+
 def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -147,9 +157,10 @@ def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     largest doc_id stays (a null doc_id is smaller than any other). Where rows repeat both text and
     largest doc_id, exactly one of them is kept; rows may have any other columns, which are not read.
     """
-    f = _Filters(docs, {"doc_id": F.col(doc_id), "_row": F.monotonically_increasing_id()}, text)
-    maybe, unique = f.split(f.hashes)
-    groups = maybe.groupBy("_sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_keep"))
+    hashes, f = _hash_table(docs, {"doc_id": F.col(doc_id), "_row": F.monotonically_increasing_id()}, text)
+    maybe, unique = f.split(hashes)
+    # Written, so that both sides of the join are plain exchanges and AQE may split a hot text.
+    groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_keep")), "groups")
     grouped = maybe.join(groups, "_sha").select(
         "doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_keep._row") == F.col("_row")).alias("kept"), F.col("_sha").alias("text_sha256")
     )
@@ -162,9 +173,9 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     The rule is find_duplicates'; rows that repeat text and doc_id become one.
     """
-    f = _Filters(docs, {"_id": F.col(doc_id)}, text)
-    maybe, _ = f.split(f.hashes)
-    keep = maybe.groupBy("_sha").agg(F.max(F.struct("_id")).alias("_keep")).select("_sha", "_keep._id")
+    hashes, f = _hash_table(docs, {"_id": F.col(doc_id)}, text)
+    maybe, _ = f.split(hashes)
+    keep = written(maybe.groupBy("_sha").agg(F.max(F.struct("_id")).alias("_keep")).select("_sha", "_keep._id"), "keep")
     marked = docs.withColumn("_sha", text_sha256(F.col(text))).withColumn("_h", _hash(F.col("_sha")))
     rows, unique = f.split(marked)
     first = Window.partitionBy("_sha").orderBy(F.monotonically_increasing_id())

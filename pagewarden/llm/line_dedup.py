@@ -2,7 +2,7 @@
 
 Lines are compared by their sets of six-character shingles. One pass over the documents gives each line
 a 128-bit hash and ``BANDS`` band keys (one-permutation MinHash, densified; at a similarity of 0.8 some
-two pairs in ten thousand share no band). Equal lines become one. In a bucket of lines that share a band
+two pairs in a thousand share no band). Equal lines become one. In a bucket of lines that share a band
 every line is verified against the bucket's leader, which joins most of a family in linear work; then
 all pairs of a bucket that are still in different components are verified too, so no link between
 components is lost. Verified links become components, and the first line of each (smallest doc_id,
@@ -18,20 +18,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewarden.llm._common import connected_components, lower_ascii, written
+from pagewarden.llm._common import connected_components, written
+from pagewarden.llm.exact_dedup import split_repeated
 
 SHINGLE = 6
-BANDS = 16
+BANDS = 12
 ROWS = 4
 SIMILARITY = 0.8
-BROADCAST_ROWS = 500_000  # 16 bytes each; more line hashes are joined by a shuffle
+BROADCAST_ROWS = 4_000_000  # one long each; more line hashes are joined by a shuffle
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def line_form(line: Column) -> Column:
-    """What lines are compared by: A-Z lower-cased, blanks at the ends dropped."""
-    return F.trim(lower_ascii(line), F.lit(" \t\r\x0b\x0c"))
+    """What lines are compared by: lower case, blanks at the ends dropped."""
+    return F.trim(F.lower(line), F.lit(" \t\r\x0b\x0c"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -40,37 +41,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _shingle_hashes(chars: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that begins at each character."""
+    n = max(len(chars) - SHINGLE + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for j in range(SHINGLE):
+        h *= _MIX
+        h += chars[j : j + n]
+    return _mix(h)
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys: equal keys in a band mean equal minima in all its rows. Empty lines: keys of their own form."""
+    """(lines, BANDS) keys: equal keys in a band mean equal minima in all its rows.
+
+    A line of under six characters is one shingle, padded with zeros; so is an empty one.
+    """
     k = BANDS * ROWS
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    size = np.array([len(x) for x in lines], np.int64)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    # A line of n characters has max(1, n - 5) shingles; a shorter line is one shingle, padded with zeros.
-    padded = np.concatenate([chars, np.zeros(SHINGLE, np.uint64)])
-    n = np.maximum(size - SHINGLE + 1, 1)
+    # Padding keeps short lines apart from each other, and gives every line a shingle.
+    padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    size = np.array([len(x) for x in padded], np.int64)
+    n = size - SHINGLE + 1
+    first = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(lines)), n)
-    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    h = np.zeros(len(at), np.uint64)
-    short = size < SHINGLE
-    for j in range(SHINGLE):
-        c = padded[at + j] + np.uint64(1)
-        if short.any():
-            c = np.where(short[owner] & (j >= size[owner]), np.uint64(0), c)
-        h = h * _MIX + c
-    h = _mix(h)
+    h = _shingle_hashes(chars)[np.arange(len(owner)) + np.repeat(first - (np.cumsum(n) - n), n)]
     full = np.uint64(2**64 - 1)
     minima = np.full(len(lines) * k, full)
-    np.minimum.at(minima, owner * k + (h >> np.uint64(64 - (k - 1).bit_length())).astype(np.int64), h)
+    np.minimum.at(minima, owner * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
     minima = minima.reshape(len(lines), k)
     # Densify: an empty bin takes the value of the first full bin along a fixed random order of its own.
-    holes, rng, taken = minima == full, np.random.default_rng(11), minima.copy()
+    taken, (row, col), rng = minima.copy(), np.nonzero(minima == full), np.random.default_rng(11)
     for turn in range(4 * k):
-        if not holes.any():
+        if not len(row):
             break
         order = rng.permutation(k) if turn < 3 * k else (np.arange(k) + turn) % k
-        taken = np.where(holes, minima[:, order] ^ np.uint64(turn + 1), taken)
-        holes &= (minima == full)[:, order]
+        value = minima[row, order[col]]
+        found = value != full
+        taken[row[found], col[found]] = value[found] ^ np.uint64(turn + 1)
+        row, col = row[~found], col[~found]
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         keys = _mix(keys * _MIX + taken.reshape(len(lines), BANDS, ROWS)[:, :, r])
@@ -79,8 +87,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 def _keys(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
             keys = band_keys([x or "" for x in part.column("line").to_pylist()])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "doc_id", "pos", "h1", "h2")), bands], names=["_row", "doc_id", "pos", "h1", "h2", "bands"])
@@ -88,22 +96,22 @@ def _keys(batches):
 
 @F.pandas_udf(T.DoubleType())
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact similarity of two lines' shingle sets."""
-    last: dict[str, frozenset] = {}
+    """Exact similarity of two lines' shingle sets; pairs of one line in a row, so that its set is made once."""
+    kept: dict[str, frozenset] = {}
 
     def shingles(x: str) -> frozenset:
-        if x not in last:
-            if len(last) > 256:
-                last.clear()
-            last[x] = frozenset(x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1)))
-        return last[x]
-
-    out = []
-    for x, y in zip(a, b):
-        s, t = shingles(x), shingles(y)
+        if x not in kept:
+            if len(kept) >= 1024:
+                kept.clear()
+            kept[x] = frozenset([x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))])
+        return kept[x]
+
+    out = np.zeros(len(a))
+    for i in np.argsort(pd.factorize(a)[0], kind="stable"):
+        s, t = shingles(a.iloc[i]), shingles(b.iloc[i])
         both = len(s & t)
-        out.append(both / (len(s) + len(t) - both))
-    return pd.Series(out, dtype="float64")
+        out[i] = both / (len(s) + len(t) - both)
+    return pd.Series(out)
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -136,34 +144,48 @@ def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     shape = _lines(numbered, "_row").select("_row", "doc_id", "pos", "h1", "h2", "line")
     seen = written(shape.mapInArrow(_keys, f"_row long, doc_id {kind}, pos int, h1 long, h2 long, bands array<long>"), "lines")
     line_id = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos")
-    distinct = written(seen.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.any_value("bands").alias("bands")), "distinct")
-
-    entries = distinct.select(line_id.alias("id"), F.struct((-F.col("copies")).alias("c"), line_id.alias("id")).alias("rank"), F.explode("bands").alias("band"))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
+
+    # Most lines occur once: only those that a bounded Bloom filter cannot clear are shuffled with their bands.
+    held = seen.where("h1 IS NOT NULL")
+    maybe, single = split_repeated(held, "h1", held.count())
+    repeated = written(maybe.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.any_value("bands").alias("bands")), "repeated")
+    distinct = single.select("h1", "h2", F.lit(1).cast("long").alias("copies"), first, "bands").unionByName(repeated)
+
+    # So it is with bands: most are one line's alone.
+    banded = distinct.select("h1", "h2", "copies", "first", F.explode("bands").alias("band"))
+    entries = split_repeated(banded, "band", BANDS * distinct.count())[0]
+    entries = entries.select("h1", "h2", "copies", "first", line_id.alias("id"), F.struct((-F.col("copies")).alias("c"), line_id.alias("id")).alias("rank"), "band")
     buckets = written(entries.groupBy("band").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).where("n > 1").select("band", F.col("rank.id").alias("leader")), "buckets")
-    members = written(entries.join(buckets, "band").select("band", "id", "leader"), "members")
+    members = written(entries.drop("rank").join(buckets, "band"), "members")
 
-    wanted = written(members.select("id").distinct(), "wanted")
-    all_lines = _lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("h1 IS NOT NULL").select(line_id.alias("id"), "line")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(all_lines.join(side, "id", "left_semi").groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    wanted = written(members.select("id", "h1", "h2", "copies", "first").dropDuplicates(["id"]), "wanted")
+    all_lines = _lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("h1 IS NOT NULL").select("h1", "h2", "line")
+    # First by half the hash, whose table of longs is small enough to broadcast, or else by a shuffle.
+    near = all_lines.join(F.broadcast(wanted.select("h1").distinct()), "h1", "left_semi") if wanted.count() <= BROADCAST_ROWS else all_lines
+    texts = written(near.select(line_id.alias("id"), "line").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     star = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     links = written(_verified(star, texts), "links")
     joined = connected_components(links)
-    placed = written(members.join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    placed = written(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
     mixed = written(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
     open_ = placed.join(mixed, "band", "left_semi")
-    left, right = open_.select("band", F.col("id").alias("a"), F.col("c").alias("ca")), open_.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "band").where("ca < cb").select("a", "b").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), ["a", "b"], "left_anti")
-    more = written(_verified(across, texts), "more")
+    # Lines travel once a bucket, not once a pair: pairs are formed, verified and dropped within one stage.
+    told = open_.join(texts, "id")
+    left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("line").alias("line_a"))
+    right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("line").alias("line_b"))
+    more = written(left.join(right, "band").where("ca < cb").where(jaccard("line_a", "line_b") >= SIMILARITY).select("a", "b"), "more")
     final = connected_components(links.unionByName(more))
 
-    classes = distinct.select("h1", "h2", line_id.alias("line_id"), "first").join(final, F.col("line_id") == final["node"], "left").select("h1", "h2", "line_id", F.coalesce("component", "line_id").alias("component_id"), "first")
-    firsts = written(classes.groupBy("component_id").agg(F.min("first").alias("keep")), "firsts")
-    by_line = written(classes.join(firsts, "component_id").select("h1", "h2", "line_id", "component_id", "keep"), "by_line")
+    # Verdicts only for lines that occur again or have a like; all others are kept and never looked up.
+    again = wanted.select("h1", "h2", "id", "copies", "first").unionByName(repeated.where("copies > 1").select("h1", "h2", line_id.alias("id"), "copies", "first")).dropDuplicates(["id"])
+    classes = again.join(final, again["id"] == final["node"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"), "copies", "first")
+    firsts = written(classes.groupBy("component_id").agg(F.min("first").alias("keep"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "firsts")
+    verdicts = written(classes.drop("copies", "first").join(firsts, "component_id"), "verdicts")
     kept = (F.col("keep._row") == F.col("_row")) & (F.col("keep.pos") == F.col("pos"))
-    return seen.drop("bands").join(by_line, ["h1", "h2"], "left").select("_row", "doc_id", "pos", "line_id", "component_id", kept.alias("kept"))
+    out = seen.drop("bands").join(verdicts, ["h1", "h2"], "left")
+    return out.select("_row", "doc_id", "pos", line_id.alias("line_id"), F.coalesce("component_id", line_id).alias("component_id"), F.when(F.col("h1").isNotNull(), F.coalesce(kept, F.lit(True))).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pagewarden.llm import license_scan, line_dedup
 
 
 def form(line):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line).strip(" \t\r\x0b\x0c")
+    return line.lower().strip(" \t\r\x0b\x0c")
 
 
 def shingles(x):

@@ -49,6 +49,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Written(df, label).df
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all written tables; call it once results have been written or collected."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/pagewarden")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets_for(rows: int) -> int:
     """Sub-groups for two-level numbering: some 50,000 rows each, however many rows there are."""
     return max(64, -(-rows // 50_000))

@@ -168,15 +168,15 @@ def _full_blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(blocks of the packed index, codebooks) of valid vectors (vec_id, vector)."""
+def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:
+    """(packed index, number of its blocks, codebooks) of valid vectors (vec_id, vector)."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
     row = sample.groupBy().applyInPandas(_learn, "books binary").first()
     books = np.frombuffer(bytes(row["books"]), np.float32).reshape(BOOKS, WORDS, -1)
     blocks = _full_blocks(vectors.count(), BLOCK_ROWS)
     cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     packed = cut.groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, ids binary, same binary, codes binary, norms binary, vectors binary")
-    return written(packed, "index"), books
+    return written(packed, "index"), blocks, books
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -192,13 +192,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
     valid = picked.where(F.size("vector") == common["d"])
-    index, books = build_index(valid.select("vec_id", "vector"), k)
+    index, blocks, books = build_index(valid.select("vec_id", "vector"), k)
     asked = valid.where("is_query")
     groups = _full_blocks(asked.count(), QUERY_ROWS)
-    blocks = [r["block"] for r in index.select("block").collect()]
     queries = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int")).groupBy("query_block").applyInPandas(_pack_queries, "query_block int, query_ids binary, queries binary")
-    pairs = queries.withColumn("block", F.explode(F.array(*map(F.lit, blocks)))).join(index, "block").select("query_ids", "queries", "ids", "same", "codes", "vectors")
-    tasks = pairs.repartition(max(1, min(len(blocks) * groups, 10_000)), F.monotonically_increasing_id())
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block").select("query_ids", "queries", "ids", "same", "codes", "vectors")
+    tasks = pairs.repartition(max(1, min(blocks * groups, 10_000)), F.monotonically_increasing_id())
     scored = tasks.mapInPandas(_score(books, k, RERANK), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -165,8 +165,8 @@ def keep_element(role: Column, text: Column, visible: Column, rendered: Column)
     return (visible | (role.isin(*FORM_ROLES) & rendered)) & ~empty
 
 
-def element_table(nodes: DataFrame, prefix: str = "el_", limit: int = MAX_ELEMENTS) -> DataFrame:
-    """(page_id, id, role, label, attributes, is_interactive, pos): the first elements of each page, ids in first-seen order.
+def element_table(nodes: DataFrame, prefix: str = "el_", limit: int | None = MAX_ELEMENTS) -> DataFrame:
+    """(page_id, id, role, label, attributes, is_interactive, pos): the first elements of each page, or all without a limit, ids in first-seen order.
 
     Empty status texts are left out; attributes are those of the contract, cut at 100 characters, plus state.
     """
@@ -179,7 +179,8 @@ def element_table(nodes: DataFrame, prefix: str = "el_", limit: int = MAX_ELEMEN
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     kept = values.whitelist(a, ATTRIBUTES)
     both = F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), state_of(F.col("tag"), a))
-    return full.withColumn("_n", number).where(F.col("_n") < limit).select(
+    numbered = full.withColumn("_n", number)
+    return (numbered if limit is None else numbered.where(F.col("_n") < limit)).select(
         "page_id", F.concat(F.lit(prefix), F.col("_n").cast("string")).alias("id"), "role", label_of(F.col("tag"), a, F.col("text"), F.col("for_label"), F.col("labelled_by")).alias("label"),
         F.when(F.size(both) > 0, both).alias("attributes"), (~F.col("role").isin("heading", "image", "text") & ~F.map_contains_key(a, "disabled")).alias("is_interactive"), "pos",
     )

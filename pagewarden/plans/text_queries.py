@@ -87,7 +87,7 @@ def page_elements(spark, sf):
 
 
 def page_links(spark, sf):
-    e = P.element_table(_nodes(spark, sf)).where("role = 'link'")
+    e = P.element_table(_nodes(spark, sf), limit=None).where("role = 'link'")
     return e.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("label") != "").alias("named"))
 
 

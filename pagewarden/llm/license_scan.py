@@ -1,8 +1,9 @@
 """License scans, in DataFrame functions only.
 
-Sentences that speak of licences ("units": headers, notices, licence files' clauses) are compared with
-licence templates by the cosine of sparse TF-IDF vectors; a file's licence is its best unit's. Files
-without one inherit that of the licence file in the nearest ancestor directory, by joins on paths.
+Units that speak of licences are compared with licence templates by the cosine of sparse TF-IDF vectors; a
+file's licence is its best unit's. Units are lines and sentences, and with wrapped lines joined and comment marks
+taken off: sentences, paragraphs and headers (runs of adjacent paragraphs), and of a file named as a licence
+its whole text. Files without one inherit that of the licence file in the nearest ancestor directory, by joins on paths.
 
 Frequencies are taken over the units of all files. Equal units are compared once, and their scores
 joined back by hash; a shuffle never sees a text.
@@ -18,10 +19,84 @@ from pagewarden.llm._common import lower_ascii, written
 THRESHOLD = 0.6
 MENTION = r"(?i)licen[cs]|permission is hereby|permission to use|copyright|spdx|warrant|redistribut|public domain|all rights reserved|creative commons"
 SENTENCE = r"\n+|(?<=[.!?;])\s+"
+COMMENT = r"[ \t]*(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+|;+|--+|%+|<!--+|\"\"\"|\'\'\')"
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)s?([.-][^/]*)?$"
 
-#: Short notices by licence.
+
+
+def _gnu(kind: str, version: str, what: str = "program") -> str:
+    """The notice that the GNU licences ask for at the head of each file."""
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. "
+        f"You should have received a copy of the GNU {kind} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
+def _title(kind: str, version: str, date: str, year: str) -> str:
+    """The opening of a GNU licence file."""
+    return (
+        f"GNU {kind} Version {version}, {date} Copyright (C) {year} Free Software Foundation, Inc. "
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    )
+
+
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_MIT_NONE = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_NONE = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+    "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+
+#: Short notices, file headers and licence files' texts or openings, by licence.
 TEMPLATES = (
+    ("MIT", _MIT_GRANT),
+    ("MIT", "MIT License " + _MIT_GRANT + _MIT_NONE),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", _gnu("General Public License", "2")),
+    ("GPL-2.0", _title("GENERAL PUBLIC LICENSE", "2", "June 1991", "1989, 1991")),
+    ("GPL-3.0", _gnu("General Public License", "3")),
+    ("GPL-3.0", _title("GENERAL PUBLIC LICENSE", "3", "29 June 2007", "2007")),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library")),
+    ("LGPL-2.1", _title("LESSER GENERAL PUBLIC LICENSE", "2.1", "February 1999", "1991, 1999")),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", "library")),
+    ("LGPL-3.0", _title("LESSER GENERAL PUBLIC LICENSE", "3", "29 June 2007", "2007")),
+    ("AGPL-3.0", _gnu("Affero General Public License", "3")),
+    ("AGPL-3.0", _title("AFFERO GENERAL PUBLIC LICENSE", "3", "19 November 2007", "2007")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", _BSD + _BSD_NONE),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_NONE),
+    ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -92,6 +167,26 @@ def ancestors(folder: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), within))
 
 
+def _joined(text: Column) -> Column:
+    """The paragraphs of a text, each on one line without comment marks; code and comment are never one paragraph."""
+    apart = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), rf"(?m)^({COMMENT}.*)\n(?!{COMMENT})", "$1\n\n")
+    apart = F.regexp_replace(apart, rf"(?m)^(?!{COMMENT})(.+)\n(?={COMMENT})", "$1\n\n")
+    bare = F.regexp_replace(F.regexp_replace(apart, rf"(?m)^{COMMENT}", ""), r"(?m)(?:\*+/|--+>)?[ \t]*$", "")
+    return F.transform(F.split(bare, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+
+
+def units_of(path: Column, text: Column) -> Column:
+    """The units of a file that speak of licences, each once: see the head of this file."""
+    text = F.coalesce(text, F.lit(""))
+    paragraphs = _joined(text)
+    runs = F.split(F.array_join(F.transform(paragraphs, lambda p: F.when(p.rlike(MENTION), p).otherwise(F.lit("\u0001"))), "\n"), "\u0001")
+    headers = F.transform(runs, lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")))
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE)))
+    whole = F.when(path.rlike(LICENSE_FILE), F.array(F.array_join(paragraphs, " "))).otherwise(F.array().cast("array<string>"))
+    all_ = F.concat(F.split(text, SENTENCE), sentences, paragraphs, headers, whole)
+    return F.array_distinct(F.filter(all_, lambda s: s.rlike(MENTION)))
+
+
 def scan(files: DataFrame, *keep: str, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file: keep, path, license, score, origin (header, file or inherited; else null), from_path.
 
@@ -102,16 +197,17 @@ def scan(files: DataFrame, *keep: str, threshold: float = THRESHOLD) -> DataFram
     """
     held = files.select(*keep, F.coalesce("path", F.lit("")).alias("path"), "text", F.monotonically_increasing_id().alias("_file"))
     mentioned = F.filter(F.split(F.coalesce("text", F.lit("")), SENTENCE), lambda s: s.rlike(MENTION))
+    none, speaks = F.array().cast("array<string>"), F.col("text").rlike(MENTION)
     found = written(
-        held.select(*keep, "path", "_file", F.when(F.col("text").rlike(MENTION), mentioned).otherwise(F.array().cast("array<string>")).alias("_units"), F.length("text").alias("_size"))
-        .withColumn("_own", F.col("path").rlike(LICENSE_FILE) | (F.coalesce(F.aggregate("_units", F.lit(0), lambda a, s: a + F.length(s)), F.lit(0)) * 2 >= F.greatest("_size", F.lit(1)))),
+        held.select(*keep, "path", "_file", F.when(speaks, units_of(F.col("path"), F.col("text"))).otherwise(none).alias("_units"), F.when(speaks, mentioned).otherwise(none).alias("_lines"), F.length("text").alias("_size"))
+        .withColumn("_own", F.col("path").rlike(LICENSE_FILE) | (F.coalesce(F.aggregate("_lines", F.lit(0), lambda a, s: a + F.length(s)), F.lit(0)) * 2 >= F.greatest("_size", F.lit(1)))),
         "files",
     )
     units = found.select("_file", F.explode("_units").alias("unit")).withColumn("id", F.xxhash64("unit"))
     distinct = written(units.groupBy("id").agg(F.count("*").alias("n"), F.min("unit").alias("unit")), "units")
     scores = written(score_units(distinct, threshold), "scores")
     own = written(units.drop("unit").join(scores, "id").groupBy("_file").agg(F.max(F.struct("score", "license")).alias("b")).select("_file", "b.license", F.round("b.score", 6).alias("score")), "own")
-    judged = written(found.drop("_units", "_size").join(own, "_file", "left"), "judged")
+    judged = written(found.drop("_units", "_lines", "_size").join(own, "_file", "left"), "judged")
 
     in_folder = (
         judged.where("_own AND license IS NOT NULL")

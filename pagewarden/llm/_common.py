@@ -93,11 +93,12 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = Written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
 
-    def digest(t: DataFrame):
-        return t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    def settled(t: DataFrame) -> bool:
+        """Every node is either a centre or hangs on one centre."""
+        ends = t.select(F.col("u").alias("x"), F.lit(1).alias("hung"), F.lit(0).alias("centre")).unionByName(t.select(F.col("v").alias("x"), F.lit(0).alias("hung"), F.lit(1).alias("centre")))
+        return ends.groupBy("x").agg(F.sum("hung").alias("hung"), F.max("centre").alias("centre")).where("hung + centre > 1").isEmpty()
 
-    seen = digest(now.df)
-    while seen[0]:
+    while not settled(now.df):
         t = now.df
         both = t.unionByName(t.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = Written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
@@ -113,7 +114,4 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         last, now = now, Written(small, label)
         last.drop()
         least.drop()
-        before, seen = seen, digest(now.df)
-        if seen == before:
-            break
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))

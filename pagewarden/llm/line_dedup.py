@@ -2,134 +2,221 @@
 
 Lines are compared by their sets of six-character shingles. One pass over the documents gives each line
 a 128-bit hash and ``BANDS`` band keys (one-permutation MinHash, densified; at a similarity of 0.8 some
-two pairs in a thousand share no band). Equal lines become one. In a bucket of lines that share a band
-every line is verified against the bucket's leader, which joins most of a family in linear work; then
-all pairs of a bucket that are still in different components are verified too, so no link between
-components is lost. Verified links become components, and the first line of each (smallest doc_id,
-then position) is kept.
+two pairs in a thousand share no band). Equal lines become one; lines that share a band are candidates,
+verified exactly as ``_families`` says, and linked ones become components by a distributed union-find.
+The first line of each component (smallest doc_id, then position) is kept.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pagewarden.llm._common import connected_components, written
+from pagewarden.llm._common import written
+from pagewarden.llm._families import similar_components
+from pagewarden.llm._minhash import mix
 from pagewarden.llm.exact_dedup import split_repeated
 
 SHINGLE = 6
 BANDS = 12
 ROWS = 4
 SIMILARITY = 0.8
-BROADCAST_ROWS = 4_000_000  # one long each; more line hashes are joined by a shuffle
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_TIMES = np.uint32(0x9E3779B1)
 
 
-def line_form(line: Column) -> Column:
+def line_form(line: str) -> str:
     """What lines are compared by: lower case, blanks at the ends dropped."""
-    return F.trim(F.lower(line), F.lit(" \t\r\x0b\x0c"))
+    return line.strip(" \t\r\x0b\x0c")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _STEP
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return x ^ (x >> np.uint64(32))
+def lines_of(text: str | None) -> list[tuple[int, str]]:
+    """(position, form) of the text's non-blank lines."""
+    return [(at, x) for at, line in enumerate((text or "").lower().split("\n")) if (x := line_form(line))]
 
 
-def _shingle_hashes(chars: np.ndarray) -> np.ndarray:
-    """The hash of the shingle that begins at each character."""
-    n = max(len(chars) - SHINGLE + 1, 0)
-    h = np.zeros(n, np.uint64)
-    for j in range(SHINGLE):
-        h *= _MIX
-        h += chars[j : j + n]
-    return _mix(h)
+def _id(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys: equal keys in a band mean equal minima in all its rows.
+def _chars(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and one of all lines, and each line's number of them.
 
-    A line of under six characters is one shingle, padded with zeros; so is an empty one.
+    A line of under six characters is padded with zeros to one shingle: short lines stay apart from each other.
     """
-    k = BANDS * ROWS
-    # Padding keeps short lines apart from each other, and gives every line a shingle.
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
-    chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    size = np.array([len(x) for x in padded], np.int64)
-    n = size - SHINGLE + 1
-    first = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(lines)), n)
-    h = _shingle_hashes(chars)[np.arange(len(owner)) + np.repeat(first - (np.cumsum(n) - n), n)]
-    full = np.uint64(2**64 - 1)
+    return np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1), np.array([len(x) for x in padded], np.int64)
+
+
+def _polynomial(c: np.ndarray, m) -> np.ndarray:
+    """A number for the six characters from each position: two by two, then three such pairs."""
+    two = c[:-1] * m + c[1:]
+    square = m * m
+    return (two[:-4] * square + two[2:-2]) * square + two[4:]
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    """Positions of the shingles that lie within one line."""
+    inside = np.ones(size.sum(), bool)
+    ends = np.cumsum(size)
+    for back in range(1, SHINGLE):
+        inside[ends - back] = False
+    return np.flatnonzero(inside)
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles, line after line, and each line's number of them."""
+    chars, size = _chars(lines)
+    with np.errstate(over="ignore"):
+        return mix(_polynomial(chars.astype(np.uint64), _MIX)[_within(size)]), size - SHINGLE + 1
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) keys: equal keys in a band mean equal minima in all its rows."""
+    k = BANDS * ROWS
+    chars, size = _chars(lines)
+    with np.errstate(over="ignore"):
+        h = _polynomial(chars, _TIMES)
+        # Half the bits do for minima; the mixer is a 32-bit one.
+        h ^= h >> np.uint32(16)
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        cell = (h >> np.uint32(16)) * np.uint32(k) >> np.uint32(16)
+        h *= _TIMES  # the bin's own bits must not order the values in it
+        h ^= h >> np.uint32(15)
+    full = np.uint32(2**32 - 1)
+    ends = np.cumsum(size)
+    for back in range(1, SHINGLE):
+        h[(ends - back)[ends - back < len(h)]] = full  # six characters across two lines are no shingle
     minima = np.full(len(lines) * k, full)
-    np.minimum.at(minima, owner * k + ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64), h)
+    np.minimum.at(minima, np.repeat(np.arange(len(lines)) * k, size)[: len(h)] + cell, h)
     minima = minima.reshape(len(lines), k)
     # Densify: an empty bin takes the value of the first full bin along a fixed random order of its own.
-    taken, (row, col), rng = minima.copy(), np.nonzero(minima == full), np.random.default_rng(11)
+    taken, (row, col), rng = minima.astype(np.uint64), np.nonzero(minima == full), np.random.default_rng(11)
     for turn in range(4 * k):
         if not len(row):
             break
         order = rng.permutation(k) if turn < 3 * k else (np.arange(k) + turn) % k
         value = minima[row, order[col]]
         found = value != full
-        taken[row[found], col[found]] = value[found] ^ np.uint64(turn + 1)
+        taken[row[found], col[found]] = value[found].astype(np.uint64) ^ np.uint64((turn + 1) << 32)
         row, col = row[~found], col[~found]
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = _mix(keys * _MIX + taken.reshape(len(lines), BANDS, ROWS)[:, :, r])
+        keys = mix(keys * _MIX + taken.reshape(len(lines), BANDS, ROWS)[:, :, r])
     return (keys + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
 
 
-def _keys(batches):
+def _signed(batches):
+    """A row a line of (_row, doc_id, text): _row, doc_id, pos, id, h1, bands; one of nulls if a text has none."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            keys = band_keys([x or "" for x in part.column("line").to_pylist()])
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            owner, pos, lines = [], [], []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                found = lines_of(text)
+                owner += [i] * max(1, len(found))
+                pos += [p for p, _ in found] or [None]
+                lines += [x for _, x in found] or [None]
+            keys = np.concatenate([band_keys([x or "" for x in lines[j : j + 512]]) for j in range(0, len(lines), 512)])
+            ids = [None if x is None else _id(x) for x in lines]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_row", "doc_id", "pos", "h1", "h2")), bands], names=["_row", "doc_id", "pos", "h1", "h2", "bands"])
+            taken = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array([None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in ids], pa.int64()), bands],
+                names=["_row", "doc_id", "pos", "id", "h1", "bands"],
+            )
+
+
+def _cells(ids: list[bytes], cells: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(ids), ">u8")[::2] % np.uint64(cells)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
+    """Bits of a table of ids, of a fixed size: each task gives one row."""
+
+    def run(batches):
+        bits, any_ = np.zeros(cells >> 3, np.uint8), False
+        for batch in batches:
+            at = _cells(batch.column("id").to_pylist(), cells)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            any_ = any_ or len(at) > 0
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(cells >> 3, np.uint8)
+    for r in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the lines of docs (text) that may be wanted: all whose bit is set, in a filter of 32 MB at most."""
+    cells = min(1 << 28, max(1 << 10, 1 << (16 * wanted.count()).bit_length()))
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, cells))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                lines = list({x for text in batch.slice(at, 64).column("text").to_pylist() for _, x in lines_of(text)})
+                ids, bits = [_id(x) for x in lines], held.value
+                cell = _cells(ids, cells)
+                keep = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array([lines[i] for i in keep], pa.string())], names=["id", "text"])
+
+    return docs.mapInArrow(run, "id binary, text string")
+
+
+class _Lines:
+    """Lines of ``docs``: ``seen`` has a row each, ``verdicts`` (id, component, keep) the lines that occur again or have a like."""
 
+    def __init__(self, docs: DataFrame, text: str, doc_id: str):
+        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        kind = docs.schema[doc_id].dataType.simpleString()
+        self.seen = written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, bands array<long>"), "lines")
+        at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
 
-@F.pandas_udf(T.DoubleType())
-def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact similarity of two lines' shingle sets; pairs of one line in a row, so that its set is made once."""
-    kept: dict[str, frozenset] = {}
+        # Most lines occur once: only those that a bounded Bloom filter cannot clear are shuffled with their bands.
+        held = self.seen.where("id IS NOT NULL")
+        self.maybe, single = split_repeated(held, "h1", held.count())
+        repeated = written(self.maybe.groupBy("id").agg(F.count("*").alias("copies"), F.min(at).alias("first"), F.any_value("bands").alias("bands")), "repeated")
+        distinct = single.select("id", F.lit(0).cast("long").alias("rank"), "bands").unionByName(repeated.select("id", (1 - F.col("copies")).alias("rank"), "bands"))
 
-    def shingles(x: str) -> frozenset:
-        if x not in kept:
-            if len(kept) >= 1024:
-                kept.clear()
-            kept[x] = frozenset([x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))])
-        return kept[x]
+        def texts_of(wanted: DataFrame) -> DataFrame:
+            """The lines are cut again; those that no bit of the wanted ones allows are dropped at once."""
+            lines = _wanted_lines(docs.select(F.col(text).alias("text")), wanted)
+            return lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
 
-    out = np.zeros(len(a))
-    for i in np.argsort(pd.factorize(a)[0], kind="stable"):
-        s, t = shingles(a.iloc[i]), shingles(b.iloc[i])
-        both = len(s & t)
-        out[i] = both / (len(s) + len(t) - both)
-    return pd.Series(out)
+        final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, SIMILARITY), "final")
+        named = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")
+        self.alike = written(single.select("id", at).join(named, "id").select("id", "component", F.lit(1).cast("long").alias("copies"), "first"), "alike")
+        again = repeated.select("id", "copies", "first").join(named, "id", "left").where("copies > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("component"), "copies", "first")
+        classes = written(self.alike.unionByName(again), "classes")
+        firsts = written(classes.groupBy("component").agg(F.min("first").alias("keep")), "firsts")
+        self.verdicts = written(classes.select("id", "component").join(firsts, "component"), "verdicts")
 
+    def dropped(self) -> DataFrame:
+        """(_row, pos) of the lines that go. A line that occurs once and has no like is never looked up."""
+        occurrences = self.maybe.select("id", "_row", "pos").unionByName(self.alike.select("id", "first._row", "first.pos"))
+        return occurrences.join(self.verdicts, "id").where(~_kept()).select("_row", "pos")
 
-def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, more, pos, line, h1, h2): non-blank lines of docs (doc_id, text, more); one of nulls if a text has none."""
-    cut = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), line_form(x).alias("line")))
-    return (
-        docs.select("doc_id", *more, F.explode_outer(F.filter(cut, lambda x: x["line"] != "")).alias("l"))
-        .select("doc_id", *more, "l.pos", "l.line")
-        .withColumn("h1", F.when(F.col("line").isNotNull(), F.xxhash64("line")))
-        .withColumn("h2", F.when(F.col("line").isNotNull(), F.xxhash64(F.lit(1), "line")))
-    )
+    def by_document(self) -> DataFrame:
+        """_row, doc_id, lines, and gone: the positions of lines that go."""
+        counts = self.seen.groupBy("_row").agg(F.any_value("doc_id").alias("doc_id"), F.count("pos").alias("lines"))
+        gone = self.dropped().groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+        return counts.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line ids whose exact similarity reaches SIMILARITY."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    return two.where(jaccard("line_a", "line_b") >= SIMILARITY).select("a", "b")
+def _kept():
+    return (F.col("keep._row") == F.col("_row")) & (F.col("keep.pos") == F.col("pos"))
 
 
 def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -139,69 +226,19 @@ def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     one occurrence is kept: smallest doc_id (nulls last), then row, then position. Repeated documents are
     separate rows. line_id and component_id are hashes of the line's form.
     """
-    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    shape = _lines(numbered, "_row").select("_row", "doc_id", "pos", "h1", "h2", "line")
-    seen = written(shape.mapInArrow(_keys, f"_row long, doc_id {kind}, pos int, h1 long, h2 long, bands array<long>"), "lines")
-    line_id = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
-
-    # Most lines occur once: only those that a bounded Bloom filter cannot clear are shuffled with their bands.
-    held = seen.where("h1 IS NOT NULL")
-    maybe, single = split_repeated(held, "h1", held.count())
-    repeated = written(maybe.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.any_value("bands").alias("bands")), "repeated")
-    distinct = single.select("h1", "h2", F.lit(1).cast("long").alias("copies"), first, "bands").unionByName(repeated)
-
-    # So it is with bands: most are one line's alone.
-    banded = distinct.select("h1", "h2", "copies", "first", F.explode("bands").alias("band"))
-    entries = split_repeated(banded, "band", BANDS * distinct.count())[0]
-    entries = entries.select("h1", "h2", "copies", "first", line_id.alias("id"), F.struct((-F.col("copies")).alias("c"), line_id.alias("id")).alias("rank"), "band")
-    buckets = written(entries.groupBy("band").agg(F.count("*").alias("n"), F.min("rank").alias("rank")).where("n > 1").select("band", F.col("rank.id").alias("leader")), "buckets")
-    members = written(entries.drop("rank").join(buckets, "band"), "members")
-
-    wanted = written(members.select("id", "h1", "h2", "copies", "first").dropDuplicates(["id"]), "wanted")
-    all_lines = _lines(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where("h1 IS NOT NULL").select("h1", "h2", "line")
-    # First by half the hash, whose table of longs is small enough to broadcast, or else by a shuffle.
-    near = all_lines.join(F.broadcast(wanted.select("h1").distinct()), "h1", "left_semi") if wanted.count() <= BROADCAST_ROWS else all_lines
-    texts = written(near.select(line_id.alias("id"), "line").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-
-    star = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = written(_verified(star, texts), "links")
-    joined = connected_components(links)
-    placed = written(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
-    mixed = written(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
-    open_ = placed.join(mixed, "band", "left_semi")
-    # Lines travel once a bucket, not once a pair: pairs are formed, verified and dropped within one stage.
-    told = open_.join(texts, "id")
-    left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("line").alias("line_a"))
-    right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("line").alias("line_b"))
-    more = written(left.join(right, "band").where("ca < cb").where(jaccard("line_a", "line_b") >= SIMILARITY).select("a", "b"), "more")
-    final = connected_components(links.unionByName(more))
-
-    # Verdicts only for lines that occur again or have a like; all others are kept and never looked up.
-    again = wanted.select("h1", "h2", "id", "copies", "first").unionByName(repeated.where("copies > 1").select("h1", "h2", line_id.alias("id"), "copies", "first")).dropDuplicates(["id"])
-    classes = again.join(final, again["id"] == final["node"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"), "copies", "first")
-    firsts = written(classes.groupBy("component_id").agg(F.min("first").alias("keep"), F.sum("copies").alias("all")).where("all > 1").drop("all"), "firsts")
-    verdicts = written(classes.drop("copies", "first").join(firsts, "component_id"), "verdicts")
-    kept = (F.col("keep._row") == F.col("_row")) & (F.col("keep.pos") == F.col("pos"))
-    out = seen.drop("bands").join(verdicts, ["h1", "h2"], "left")
-    return out.select("_row", "doc_id", "pos", line_id.alias("line_id"), F.coalesce("component_id", line_id).alias("component_id"), F.when(F.col("h1").isNotNull(), F.coalesce(kept, F.lit(True))).alias("kept"))
+    found = _Lines(docs, text, doc_id)
+    out = found.seen.select("_row", "doc_id", "pos", "id").join(found.verdicts, "id", "left")
+    return out.select("_row", "doc_id", "pos", F.hex("id").alias("line_id"), F.hex(F.coalesce("component", "id")).alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce(_kept(), F.lit(True))).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, lines (non-blank), dropped, and clean_text without the dropped lines."""
     held = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_own")), "texts")
-    verdicts = line_verdicts(held.select("text", F.col("_own").alias("doc_id")))
-    by_doc = verdicts.groupBy(F.col("doc_id").alias("_own")).agg(F.count("pos").alias("lines"), F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("gone"))
+    by_doc = _Lines(held, "text", "_own").by_document().select(F.col("doc_id").alias("_own"), "lines", "gone")
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return held.join(by_doc, "_own", "left").select(
-        "doc_id", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("dropped"), F.when(F.size("gone") > 0, clean).otherwise(F.col("text")).alias("clean_text")
-    )
+    return held.join(by_doc, "_own").select("doc_id", "lines", F.size("gone").alias("dropped"), F.when(F.size("gone") > 0, clean).otherwise(F.col("text")).alias("clean_text"))
 
 
 def count_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Digest of line_verdicts, one row per document: doc_id, lines, dropped, dropped_positions (from 0)."""
-    found = line_verdicts(docs, text, doc_id).groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.count("pos").alias("lines"), F.count_if(~F.col("kept")).alias("dropped"), F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("pos")))).alias("dropped_positions")
-    )
-    return found.drop("_row")
+    """Digest of the verdicts, one row per document: doc_id, lines, dropped, dropped_positions (from 0)."""
+    return _Lines(docs, text, doc_id).by_document().select("doc_id", "lines", F.size("gone").alias("dropped"), F.col("gone").alias("dropped_positions"))

@@ -28,6 +28,7 @@ from pagewarden.llm._minhash import mix
 
 BLOOM_KEYS = 64_000_000  # band keys that one filter of 64 MB serves; beyond them every key is shuffled
 CELLS_PER_KEY = 8
+BROADCAST_IDS = 500_000  # of 16 bytes each; more are joined by a shuffle
 LONGS = 8
 FILTER_TASKS = 12  # each task sends a whole filter
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +93,16 @@ def _cells(keys: np.ndarray, cells: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return ((k >> np.uint64(32)) * cells >> np.uint64(32)).astype(np.int64), ((k & np.uint64(0xFFFFFFFF)) * cells >> np.uint64(32)).astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> pa.Array:
+    """(items, bands) keys as one binary value an item."""
+    width = keys.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, (len(keys) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
+def _keys(packed: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), np.int64)
+
+
 def _hit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
@@ -102,7 +113,7 @@ def _count_hits(cells: int, pieces: int):
     def run(batches):
         once, twice, any_ = np.zeros(cells >> 3, np.uint8), np.zeros(cells >> 3, np.uint8), False
         for batch in batches:
-            keys = batch.column("bands").flatten().to_numpy(zero_copy_only=False)
+            keys = _keys(batch.column("bands"))
             for at in range(0, len(keys), 1 << 17):
                 any_ = True
                 hit = np.sort(np.concatenate(_cells(keys[at : at + (1 << 17)], np.uint64(cells))))
@@ -127,36 +138,41 @@ def _merge_hits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["piece", "twice"])
 
 
-def shared_bands(items: DataFrame, bands: int) -> DataFrame:
-    """(id, rank, band) of ``items`` (id, rank, bands) whose band may be another item's too.
+def _of_bands(bands: int, cells: int, held):
+    """(id, rank, band) of (id, rank, bands), where the filter allows for another item with the band."""
+
+    def probe(batches):
+        for batch in batches:
+            keys = _keys(batch.column("bands"))
+            taken = np.arange(len(keys))
+            if held is not None:
+                one, two = _cells(keys, np.uint64(cells))
+                taken = np.flatnonzero(_hit(held.value, one) & _hit(held.value, two))
+            owner = pa.array(taken // bands)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("rank").take(owner), pa.array(keys[taken])], names=["id", "rank", "band"])
+
+    return probe
+
+
+def shared_bands(items: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, rank, band) of ``items`` (id, rank, bands; ``rows`` at most) whose band may be another item's too.
 
     A counting Bloom filter of bounded size clears most bands before any row is made of them; a hot band is
     never one task's work. With over BLOOM_KEYS keys no bounded filter clears many, and all rows go on.
     """
-    spark, keys = items.sparkSession, items.count() * bands
+    spark, keys, shape = items.sparkSession, rows * bands, "id binary, rank long, band long"
+    items = items.select("id", "rank", "bands")
     if keys > BLOOM_KEYS:
-        return items.select("id", "rank", F.explode("bands").alias("band"))
+        return items.mapInArrow(_of_bands(bands, 0, None), shape)
     pieces = max(1, -(-keys * CELLS_PER_KEY // (1 << 23)))
     cells = pieces << 23 if pieces > 1 else max(1 << 10, 1 << (keys * CELLS_PER_KEY).bit_length())
     hits = items.select("bands").coalesce(FILTER_TASKS).mapInArrow(_count_hits(cells, pieces), "piece int, once binary, twice binary")
     merged = hits.groupBy("piece").applyInArrow(_merge_hits, "piece int, twice binary").collect()
     filter_ = np.zeros(cells >> 3, np.uint8)
+    step = len(filter_) // pieces
     for r in merged:
-        step = len(filter_) // pieces
         filter_[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["twice"], np.uint8)
-    held = spark.sparkContext.broadcast(filter_)
-
-    def probe(batches):
-        for batch in batches:
-            lists, bits = batch.column("bands"), held.value
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            one, two = _cells(keys, np.uint64(cells))
-            maybe = np.flatnonzero(_hit(bits, one) & _hit(bits, two))
-            taken = pa.array(owner[maybe])
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(taken), batch.column("rank").take(taken), pa.array(keys[maybe])], names=["id", "rank", "band"])
-
-    return items.select("id", "rank", "bands").mapInArrow(probe, "id binary, rank long, band long")
+    return items.mapInArrow(_of_bands(bands, cells, spark.sparkContext.broadcast(filter_)), shape)
 
 
 def sizes_allow(a: Column, b: Column, similarity: float) -> Column:
@@ -170,13 +186,13 @@ def sketches_allow(a: str, b: str, similarity: float, longs: int) -> Column:
     return apart <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Hashes, bands: int, similarity: float, longs: int = LONGS) -> DataFrame:
+def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Hashes, bands: int, rows: int, similarity: float, longs: int = LONGS) -> DataFrame:
     """(node, component) for every id that is not its component's smallest.
 
-    ``items`` (id binary, rank long, bands array<long>) has each id once; of a bucket the smallest rank leads.
+    ``items`` (id binary, rank long, bands binary: packed keys) has each id once, in ``rows`` rows at most; of a bucket the smallest rank leads.
     ``texts_of`` gives (id, text), each id once, for a table of ids.
     """
-    entries = written(shared_bands(items, bands), "entries")
+    entries = written(shared_bands(items, bands, rows), "entries")
     # Two leaders a bucket: its smallest rank, and one by a hash, for families whose first is far from the others.
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot band.
     by_hash = F.struct(F.xxhash64("id", F.lit(5)).alias("by"), "id")
@@ -194,8 +210,11 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
         return sizes_allow(F.col(f"{a}.size"), F.col(f"{b}.size"), similarity) & sketches_allow(a, b, similarity, longs)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        named = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+        # Few texts are verified; their ids are broadcast only if they are known to be few.
+        own = texts.select("id", "text").join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "id", "left_semi")
+        one = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        two = one.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return two.where(jaccard("text_a", "text_b") >= similarity).drop("text_a", "text_b")
 
     star = members.select(F.col("id").alias("a"), F.explode(F.array("first", "other")).alias("b")).where("a <> b").distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm._common import written
-from pagewarden.llm._families import similar_components
+from pagewarden.llm._families import pack_keys, similar_components
 from pagewarden.llm._minhash import mix
 from pagewarden.llm.exact_dedup import split_repeated
 
@@ -116,23 +116,26 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _signed(batches):
-    """A row a line of (_row, doc_id, text): _row, doc_id, pos, id, h1, bands; one of nulls if a text has none."""
+    """A row a line of (_row, doc_id, text): _row, doc_id, pos, id, h1, bands; one of nulls if a text has none.
+
+    A text's first row has the number of its lines too.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            owner, pos, lines = [], [], []
+            owner, pos, lines, counts = [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
                 found = lines_of(text)
                 owner += [i] * max(1, len(found))
                 pos += [p for p, _ in found] or [None]
                 lines += [x for _, x in found] or [None]
+                counts += [len(found)] + [None] * (len(found) - 1)
             keys = np.concatenate([band_keys([x or "" for x in lines[j : j + 512]]) for j in range(0, len(lines), 512)])
             ids = [None if x is None else _id(x) for x in lines]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
             taken = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array([None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in ids], pa.int64()), bands],
-                names=["_row", "doc_id", "pos", "id", "h1", "bands"],
+                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array([None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in ids], pa.int64()), pa.array(counts, pa.int64()), pack_keys(keys)],
+                names=["_row", "doc_id", "pos", "id", "h1", "lines", "bands"],
             )
 
 
@@ -181,12 +184,13 @@ class _Lines:
     def __init__(self, docs: DataFrame, text: str, doc_id: str):
         numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         kind = docs.schema[doc_id].dataType.simpleString()
-        self.seen = written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, bands array<long>"), "lines")
+        self.seen = written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, lines long, bands binary"), "lines")
         at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
 
         # Most lines occur once: only those that a bounded Bloom filter cannot clear are shuffled with their bands.
         held = self.seen.where("id IS NOT NULL")
-        self.maybe, single = split_repeated(held, "h1", held.count())
+        rows = held.count()
+        self.maybe, single = split_repeated(held, "h1", rows)
         repeated = written(self.maybe.groupBy("id").agg(F.count("*").alias("copies"), F.min(at).alias("first"), F.any_value("bands").alias("bands")), "repeated")
         distinct = single.select("id", F.lit(0).cast("long").alias("rank"), "bands").unionByName(repeated.select("id", (1 - F.col("copies")).alias("rank"), "bands"))
 
@@ -195,7 +199,7 @@ class _Lines:
             lines = _wanted_lines(docs.select(F.col(text).alias("text")), wanted)
             return lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
 
-        final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, SIMILARITY), "final")
+        final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, rows, SIMILARITY), "final")
         named = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")
         self.alike = written(single.select("id", at).join(named, "id").select("id", "component", F.lit(1).cast("long").alias("copies"), "first"), "alike")
         again = repeated.select("id", "copies", "first").join(named, "id", "left").where("copies > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("component"), "copies", "first")
@@ -210,7 +214,7 @@ class _Lines:
 
     def by_document(self) -> DataFrame:
         """_row, doc_id, lines, and gone: the positions of lines that go."""
-        counts = self.seen.groupBy("_row").agg(F.any_value("doc_id").alias("doc_id"), F.count("pos").alias("lines"))
+        counts = self.seen.where("lines IS NOT NULL").select("_row", "doc_id", "lines")
         gone = self.dropped().groupBy("_row").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
         return counts.join(gone, "_row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 

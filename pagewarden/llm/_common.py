@@ -16,6 +16,23 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def named(column: str) -> Column:
+    """The column of this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

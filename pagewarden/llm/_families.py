@@ -14,6 +14,7 @@ Shingles are compared as 52-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,8 +58,8 @@ def odd_sketches(sets: np.ndarray, sizes: np.ndarray, longs: int) -> np.ndarray:
 def _sketch(hashes: Hashes, longs: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 sets, sizes = sets_of(part.column("text").to_pylist(), hashes)
                 odd = odd_sketches(sets, sizes, longs)
                 yield pa.RecordBatch.from_arrays(
@@ -74,8 +75,8 @@ def _similarity(hashes: Hashes):
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
         sets: list[np.ndarray] = []
-        for at in range(0, len(texts), 1024):
-            flat, sizes = sets_of(list(texts[at : at + 1024]), hashes)
+        for at in range(0, len(texts), 128):
+            flat, sizes = sets_of(list(texts[at : at + 128]), hashes)
             sets += np.split(flat, np.cumsum(sizes)[:-1])
         out = np.zeros(len(a))
         for i, (x, y) in enumerate(zip(codes[: len(a)], codes[len(a) :])):
@@ -139,7 +140,10 @@ def _merge_hits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
 
 
 def _of_bands(bands: int, cells: int, held):
-    """(id, rank, band) of (id, rank, bands), where the filter allows for another item with the band."""
+    """(id, rank, band) of (id, rank, bands), where the filter allows for another item with the band.
+
+    Of equal ranks the item that shares most bands comes first: copies that differ little from their family.
+    """
 
     def probe(batches):
         for batch in batches:
@@ -148,8 +152,10 @@ def _of_bands(bands: int, cells: int, held):
             if held is not None:
                 one, two = _cells(keys, np.uint64(cells))
                 taken = np.flatnonzero(_hit(held.value, one) & _hit(held.value, two))
-            owner = pa.array(taken // bands)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), batch.column("rank").take(owner), pa.array(keys[taken])], names=["id", "rank", "band"])
+            owner = taken // bands
+            shared = np.bincount(owner, minlength=batch.num_rows)
+            rank = batch.column("rank").to_numpy() * 256 - shared
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(rank[owner]), pa.array(keys[taken])], names=["id", "rank", "band"])
 
     return probe
 
@@ -175,6 +181,49 @@ def shared_bands(items: DataFrame, bands: int, rows: int) -> DataFrame:
     return items.mapInArrow(_of_bands(bands, cells, spark.sparkContext.broadcast(filter_)), shape)
 
 
+def _id_cells(ids: list[bytes], cells: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(ids), ">u8")[::2] % np.uint64(cells)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
+    """Bits of a table of 16-byte ids, of a fixed size: each of few tasks gives one row."""
+
+    def run(batches):
+        bits, any_ = np.zeros(cells >> 3, np.uint8), False
+        for batch in batches:
+            at = _id_cells(batch.column("id").to_pylist(), cells)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            any_ = any_ or len(at) > 0
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = np.zeros(cells >> 3, np.uint8)
+    for r in ids.coalesce(FILTER_TASKS).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def wanted_texts(docs: DataFrame, wanted: DataFrame, units: Callable[[list[str]], list[str]], id_of: Callable[[str], bytes]) -> DataFrame:
+    """(id, text) of the wanted ids, each once, of the units that the texts of docs (text) are cut into.
+
+    The units are cut again rather than kept; those that no bit of the wanted ones allows, in a filter of 32 MB at most, are dropped at once.
+    """
+    cells = min(1 << 28, max(1 << 10, 1 << (16 * wanted.count()).bit_length()))
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, cells))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                texts = units(batch.slice(at, 64).column("text").to_pylist())
+                ids, bits = [id_of(x) for x in texts], held.value
+                cell = _id_cells(ids, cells)
+                keep = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array([texts[i] for i in keep], pa.string())], names=["id", "text"])
+
+    found = docs.mapInArrow(run, "id binary, text string")
+    return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+
+
 def sizes_allow(a: Column, b: Column, similarity: float) -> Column:
     """Sets of these sizes can be so similar; a necessary condition, with room for rounding."""
     return F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)

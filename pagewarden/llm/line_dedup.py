@@ -9,16 +9,14 @@ The first line of each component (smallest doc_id, then position) is kept.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import written
-from pagewarden.llm._families import pack_keys, similar_components
+from pagewarden.llm._common import named, written
+from pagewarden.llm._families import pack_keys, similar_components, wanted_texts
 from pagewarden.llm._minhash import mix
 from pagewarden.llm.exact_dedup import split_repeated
 
@@ -41,7 +39,7 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(at, x) for at, line in enumerate((text or "").lower().split("\n")) if (x := line_form(line))]
 
 
-def _id(line: str) -> bytes:
+def line_id(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
@@ -131,7 +129,7 @@ def _signed(batches):
                 lines += [x for _, x in found] or [None]
                 counts += [len(found)] + [None] * (len(found) - 1)
             keys = np.concatenate([band_keys([x or "" for x in lines[j : j + 512]]) for j in range(0, len(lines), 512)])
-            ids = [None if x is None else _id(x) for x in lines]
+            ids = [None if x is None else line_id(x) for x in lines]
             taken = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array([None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in ids], pa.int64()), pa.array(counts, pa.int64()), pack_keys(keys)],
@@ -139,50 +137,11 @@ def _signed(batches):
             )
 
 
-def _cells(ids: list[bytes], cells: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(ids), ">u8")[::2] % np.uint64(cells)).astype(np.int64)
-
-
-def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
-    """Bits of a table of ids, of a fixed size: each task gives one row."""
-
-    def run(batches):
-        bits, any_ = np.zeros(cells >> 3, np.uint8), False
-        for batch in batches:
-            at = _cells(batch.column("id").to_pylist(), cells)
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-            any_ = any_ or len(at) > 0
-        if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
-
-    out = np.zeros(cells >> 3, np.uint8)
-    for r in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
-
-
-def _wanted_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the lines of docs (text) that may be wanted: all whose bit is set, in a filter of 32 MB at most."""
-    cells = min(1 << 28, max(1 << 10, 1 << (16 * wanted.count()).bit_length()))
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, cells))
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                lines = list({x for text in batch.slice(at, 64).column("text").to_pylist() for _, x in lines_of(text)})
-                ids, bits = [_id(x) for x in lines], held.value
-                cell = _cells(ids, cells)
-                keep = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array([lines[i] for i in keep], pa.string())], names=["id", "text"])
-
-    return docs.mapInArrow(run, "id binary, text string")
-
-
 class _Lines:
     """Lines of ``docs``: ``seen`` has a row each, ``verdicts`` (id, component, keep) the lines that occur again or have a like."""
 
     def __init__(self, docs: DataFrame, text: str, doc_id: str):
-        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), named(doc_id).alias("doc_id"), named(text).alias("text"))
         kind = docs.schema[doc_id].dataType.simpleString()
         self.seen = written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, lines long, bands binary"), "lines")
         at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
@@ -196,13 +155,12 @@ class _Lines:
 
         def texts_of(wanted: DataFrame) -> DataFrame:
             """The lines are cut again; those that no bit of the wanted ones allows are dropped at once."""
-            lines = _wanted_lines(docs.select(F.col(text).alias("text")), wanted)
-            return lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+            return wanted_texts(docs.select(named(text).alias("text")), wanted, lambda texts: list({x for t in texts for _, x in lines_of(t)}), line_id)
 
         final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, rows, SIMILARITY), "final")
-        named = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")
-        self.alike = written(single.select("id", at).join(named, "id").select("id", "component", F.lit(1).cast("long").alias("copies"), "first"), "alike")
-        again = repeated.select("id", "copies", "first").join(named, "id", "left").where("copies > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("component"), "copies", "first")
+        like = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")
+        self.alike = written(single.select("id", at).join(like, "id").select("id", "component", F.lit(1).cast("long").alias("copies"), "first"), "alike")
+        again = repeated.select("id", "copies", "first").join(like, "id", "left").where("copies > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("component"), "copies", "first")
         classes = written(self.alike.unionByName(again), "classes")
         firsts = written(classes.groupBy("component").agg(F.min("first").alias("keep")), "firsts")
         self.verdicts = written(classes.select("id", "component").join(firsts, "component"), "verdicts")
@@ -237,7 +195,7 @@ def line_verdicts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, lines (non-blank), dropped, and clean_text without the dropped lines."""
-    held = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_own")), "texts")
+    held = written(docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"), F.monotonically_increasing_id().alias("_own")), "texts")
     by_doc = _Lines(held, "text", "_own").by_document().select(F.col("doc_id").alias("_own"), "lines", "gone")
     clean = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     return held.join(by_doc, "_own").select("doc_id", "lines", F.size("gone").alias("dropped"), F.when(F.size("gone") > 0, clean).otherwise(F.col("text")).alias("clean_text"))

@@ -34,12 +34,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only in a local session without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -48,12 +50,12 @@ def scratch_root(spark: SparkSession) -> str:
 class Written:
     """A DataFrame written to the shared folder: lineage ends there and lost executors cost no recomputation."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, partition: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/pagewarden/{uuid.uuid4().hex}-{label}"
         schema = df.schema
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(schema).parquet(self.path)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(self.path)
+        self.df = self.spark.read.schema(schema).parquet(self.path).select(*(named(c) for c in schema.names))
 
     def drop(self) -> None:
         """Deletes the files; only for tables that no returned DataFrame reads."""
@@ -62,8 +64,8 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    return Written(df, label).df
+def written(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
+    return Written(df, label, partition).df
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -77,26 +79,20 @@ def buckets_for(rows: int) -> int:
     return max(64, -(-rows // 50_000))
 
 
-def number_rows(df: DataFrame, keys: list[str], row: str, out: str, buckets: int) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], row: str, out: str, buckets: int | Column) -> DataFrame:
     """Numbers the rows of each key from 0 without gaps, never one key in one task.
 
-    Rows fall into hash buckets of their unique id ``row``; a bucket's start is the running sum of the
-    counts before it (a table of keys x buckets), and only rows within a bucket are ranked.
+    Rows fall into hash buckets of their unique id ``row`` (``buckets`` of them, or as many as a column of
+    the key says); a bucket's start is the running sum of the counts before it (a table of keys x buckets),
+    and only rows within a bucket are ranked. Any column names.
     """
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(row)), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cut.groupBy(*keys, "_bucket")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    ranked = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(row)) - 1)
-    return (
-        ranked.join(starts, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_bucket", "_start", "_rank")
-    )
+    bucket, start, rank, n = fresh(df, "bucket", "start", "rank", "n")
+    by = [named(k) for k in keys]
+    cut = df.withColumn(bucket, F.pmod(F.xxhash64(named(row)), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*by, bucket).agg(F.count("*").alias(n)).withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    ranked = cut.withColumn(rank, F.row_number().over(Window.partitionBy(*by, bucket).orderBy(named(row))) - 1)
+    return ranked.join(starts, [*keys, bucket]).select(*all_of(df), (F.col(start) + F.col(rank)).cast("long").alias(out))
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -7,7 +7,8 @@ are formed on the SHA-256 of the normalised text.
 
 A filter covers one slice of the hash space with at most ``SLICE_ROWS`` expected rows, so that what is
 broadcast has a fixed bound (``CELLS_PER_ROW`` bits a row, 32 MB a slice) at any input size; more rows
-mean more slices, each reading only its own part of the written hash table.
+mean more slices. The hash table is then written in a folder for each slice, so that all slices together
+read it once a pass. Texts are read once more, against one filter of the repeated hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import Written, lower_ascii, written
+from pagewarden.llm._common import all_of, fresh, lower_ascii, named, written
 
 SLICE_ROWS = 32_000_000
 CELLS_PER_ROW = 8
@@ -79,19 +80,19 @@ def _count_cells(segments: int):
     return count
 
 
-def _merge_cells(part: pd.DataFrame) -> pd.DataFrame:
-    once = twice = np.zeros(SEGMENT_CELLS // 8, np.uint8)
-    for a, b in zip(part["once"], part["twice"]):
-        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-        once, twice = once | a, twice | b | (once & a)
-    return pd.DataFrame({"segment": part["segment"].iloc[:1], "words": [twice.view("<i8")]})
-
-
-def _filter_segments(hashes: DataFrame, segments: int) -> DataFrame:
-    """(segment, words): for each touched segment, a bit set where two rows or more hit the cell."""
+def _filter_segments(hashes: DataFrame, segments: int, hits: int = 2) -> DataFrame:
+    """(segment, words): for each touched segment, a bit set where ``hits`` rows (1 or 2) or more hit the cell."""
     cells = hashes.select(_segment(F.col("h"), segments).alias("segment"), *(_cell(F.col("h"), i).alias(f"c{i}") for i in range(PROBES)))
     parts = cells.mapInPandas(_count_cells(segments), "segment int, once binary, twice binary")
-    return parts.groupBy("segment").applyInPandas(_merge_cells, "segment int, words array<long>")
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        once = twice = np.zeros(SEGMENT_CELLS // 8, np.uint8)
+        for a, b in zip(part["once"], part["twice"]):
+            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+            once, twice = once | a, twice | b | (once & a)
+        return pd.DataFrame({"segment": part["segment"].iloc[:1], "words": [(once if hits == 1 else twice).view("<i8")]})
+
+    return parts.groupBy("segment").applyInPandas(merged, "segment int, words array<long>")
 
 
 def _repeated(h: Column, words: Column) -> Column:
@@ -104,50 +105,59 @@ def _repeated(h: Column, words: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _split(rows: DataFrame, segments_df: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
-    """(possibly repeated, certainly unique) of rows that have a hash column _h."""
-    probed = rows.join(
-        F.broadcast(segments_df.withColumnRenamed("segment", "_segment").withColumnRenamed("words", "_words")),
-        _segment(F.col("_h"), segments) == F.col("_segment"),
-        "left",
-    )
-    mark = _repeated(F.col("_h"), F.col("_words"))
-    return tuple(probed.where(x).drop("_segment", "_words") for x in (mark, ~mark))
+def _segments_for(rows: int) -> int:
+    return max(1, -(-rows * CELLS_PER_ROW // SEGMENT_CELLS))
+
+
+def _split(rows: DataFrame, h: str, segments_df: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
+    """(rows all of whose cells are set, all others) of rows that have a hash column ``h``."""
+    segment, words = fresh(rows, "segment", "words")
+    probed = rows.join(F.broadcast(segments_df.select(F.col("segment").alias(segment), F.col("words").alias(words))), _segment(named(h), segments) == F.col(segment), "left")
+    mark = _repeated(named(h), F.col(words))
+    return tuple(probed.where(x).drop(segment, words) for x in (mark, ~mark))
 
 
 class _Filters:
-    """A bounded Bloom filter for each slice of the hash space of ``hashes``, which has a hash column _h."""
+    """A bounded Bloom filter for each slice of the hash space of ``hashes``, which has a hash column _h.
+
+    With several slices the table has a partition column _slice: a slice's branch reads that folder alone.
+    """
 
     def __init__(self, hashes: DataFrame, rows: int):
-        self.slices = max(1, -(-rows // SLICE_ROWS))
-        self.segments = max(1, -(-rows * CELLS_PER_ROW // (self.slices * SEGMENT_CELLS)))
-        h = F.col("_h")
-        self.filters = []
-        for k in range(self.slices):
-            own = hashes if self.slices == 1 else hashes.where(_slice(h, self.slices) == k)
-            self.filters.append(written(_filter_segments(own.select(h.alias("h")), self.segments), "bloom"))
+        self.slices = slices_for(rows)
+        self.segments = _segments_for(-(-rows // self.slices))
+        self.filters = [written(_filter_segments(self._own(hashes, k).select(F.col("_h").alias("h")), self.segments), "bloom") for k in range(self.slices)]
+
+    def _own(self, rows: DataFrame, k: int) -> DataFrame:
+        return rows if self.slices == 1 else rows.where(F.col("_slice") == k)
 
     def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All slices' (possibly repeated, certainly unique) rows."""
         maybe, unique = None, None
         for k, words in enumerate(self.filters):
-            own = rows if self.slices == 1 else rows.where(_slice(F.col("_h"), self.slices) == k)
-            m, u = _split(own, words, self.segments)
+            m, u = _split(self._own(rows, k), "_h", words, self.segments)
             maybe, unique = (m, u) if maybe is None else (maybe.unionByName(m), unique.unionByName(u))
         return maybe, unique
 
 
+def slices_for(rows: int) -> int:
+    return max(1, -(-rows // SLICE_ROWS))
+
+
 def split_repeated(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose long ``key`` may occur again, rows whose key certainly does not) of a table of ``rows`` rows."""
-    keyed = df.withColumn("_h", F.col(key).bitwiseAND(F.lit((1 << 60) - 1)))
-    return tuple(x.drop("_h") for x in _Filters(keyed, rows).split(keyed))
+    h = F.col(key).bitwiseAND(F.lit((1 << 60) - 1))
+    keyed = df.withColumn("_h", h).withColumn("_slice", _slice(h, slices_for(rows)))
+    return tuple(x.drop("_h", "_slice") for x in _Filters(keyed, rows).split(keyed))
 
 
 def _hash_table(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, _Filters]:
-    """The written hash table (_sha, _h, and the columns asked for) and its filters."""
-    held = docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(F.col(text)).alias("_sha"))
-    hashes = written(held, "hashes").withColumn("_h", _hash(F.col("_sha")))
-    return hashes, _Filters(hashes, hashes.count())
+    """The written hash table (_sha, _h, _slice, and the columns asked for) and its filters."""
+    rows = docs.count()
+    held = docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(named(text)).alias("_sha"))
+    held = held.withColumn("_slice", _slice(_hash(F.col("_sha")), slices_for(rows)))
+    hashes = written(held, "hashes", "_slice" if slices_for(rows) > 1 else None).withColumn("_h", _hash(F.col("_sha")))
+    return hashes, _Filters(hashes, rows)
 
 
 def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -157,7 +167,7 @@ def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     largest doc_id stays (a null doc_id is smaller than any other). Where rows repeat both text and
     largest doc_id, exactly one of them is kept; rows may have any other columns, which are not read.
     """
-    hashes, f = _hash_table(docs, {"doc_id": F.col(doc_id), "_row": F.monotonically_increasing_id()}, text)
+    hashes, f = _hash_table(docs, {"doc_id": named(doc_id), "_row": F.monotonically_increasing_id()}, text)
     maybe, unique = f.split(hashes)
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot text.
     groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_keep")), "groups")
@@ -169,20 +179,21 @@ def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns. Unique texts are never shuffled.
+    """The documents that stay, with all their columns, whatever their names. Unique texts are never shuffled.
 
     The rule is find_duplicates'; rows that repeat text and doc_id become one.
     """
-    hashes, f = _hash_table(docs, {"_id": F.col(doc_id)}, text)
+    hashes, f = _hash_table(docs, {"_id": named(doc_id)}, text)
     maybe, _ = f.split(hashes)
-    keep = written(maybe.groupBy("_sha").agg(F.max(F.struct("_id")).alias("_keep")).select("_sha", "_keep._id"), "keep")
-    marked = docs.withColumn("_sha", text_sha256(F.col(text))).withColumn("_h", _hash(F.col("_sha")))
-    rows, unique = f.split(marked)
-    first = Window.partitionBy("_sha").orderBy(F.monotonically_increasing_id())
-    keep = keep.withColumnRenamed("_sha", "_keep_sha")
-    winners = (
-        rows.join(keep, (F.col("_sha") == F.col("_keep_sha")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-        .withColumn("_first", F.row_number().over(first))
-        .where("_first = 1")
-    )
-    return unique.select(*docs.columns).unionByName(winners.select(*docs.columns))
+    groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("n"), F.max(F.struct("_id")).alias("keep")).where("n > 1"), "repeated")
+    sha, h, winner, keep_sha, first = fresh(docs, "sha", "h", "winner", "keep_sha", "first")
+    # One filter of the repeated hashes, of 32 MB at most whatever their number, over one reading of the texts.
+    segments = min(_segments_for(groups.count()), _segments_for(SLICE_ROWS))
+    held = written(_filter_segments(groups.select(_hash(F.col("_sha")).alias("h")), segments, hits=1), "repeated-bits")
+    marked = docs.select("*", text_sha256(named(text)).alias(sha)).withColumn(h, _hash(F.col(sha)))
+    rows, unique = _split(marked, h, held, segments)
+    joined = rows.join(groups.select(F.col("_sha").alias(keep_sha), F.col("keep._id").alias(winner)), F.col(sha) == F.col(keep_sha), "left")
+    alone = joined.where(F.col(keep_sha).isNull())
+    of_group = joined.where(F.col(keep_sha).isNotNull() & named(doc_id).eqNullSafe(F.col(winner)))
+    one = of_group.withColumn(first, F.row_number().over(Window.partitionBy(sha).orderBy(F.monotonically_increasing_id()))).where(F.col(first) == 1)
+    return unique.select(*all_of(docs)).unionByName(alone.select(*all_of(docs))).unionByName(one.select(*all_of(docs)))

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,12 +212,15 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, units: Callable[[list[str]]
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, cells))
 
     def run(batches):
+        told: set[bytes] = set()  # a frequent unit is sent once a task, not once a text
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 texts = units(batch.slice(at, 64).column("text").to_pylist())
                 ids, bits = [id_of(x) for x in texts], held.value
                 cell = _id_cells(ids, cells)
-                keep = np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
+                keep = [i for i in np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1) if ids[i] not in told]
+                told = set() if len(told) > 100_000 else told
+                told.update(ids[i] for i in keep)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array([texts[i] for i in keep], pa.string())], names=["id", "text"])
 
     found = docs.mapInArrow(run, "id binary, text string")
@@ -272,10 +275,13 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
     joined = written(connected_components(verified(near)), "joined")
     placed = written(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
     mixed = written(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
-    told = written(placed.join(mixed, "band", "left_semi").join(marks, "id"), "told")
-    left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("ma"))
-    right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mb"))
-    pairs = written(left.join(right, "band").where(F.col("ca") < F.col("cb")).where(allowed("ma", "mb")).select("a", "b", "ca", "cb").distinct(), "pairs")
+    own_bands = F.collect_list("band").over(Window.partitionBy("id"))  # ``bands`` at most
+    told = written(placed.join(mixed, "band", "left_semi").join(marks, "id").withColumn("bands", own_bands), "told")
+    left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("ma"), F.col("bands").alias("bands_a"))
+    right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mb"), F.col("bands").alias("bands_b"))
+    # A pair that shares several bands meets in the smallest of them only.
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+    pairs = written(left.join(right, "band").where(F.col("ca") < F.col("cb")).where(allowed("ma", "mb")).where(once).select("a", "b", "ca", "cb"), "pairs")
     # What is left joins components, not their members.
     over = written(connected_components(verified(pairs).select("ca", "cb")).select(F.col("node").alias("from"), F.col("component").alias("to")), "over")
     moved = joined.join(over, joined["component"] == over["from"], "left").select("node", F.coalesce("to", "component").alias("component"))

@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Documents with equal texts form a group. Groups that weigh little are gathered by hash into lots of
-their size class; a group that outweighs a lot is an item of its own, cut into pieces where it exceeds
-``PIECE`` of a shard. Either way the number of items depends on the number of shards alone
+their size class; a group that outweighs a lot is an item of its own. Only a group that exceeds a whole shard is
+cut, into equal pieces of half a shard at most. The number of items depends on the number of shards alone
 (``LOTS_PER_SHARD`` lots a size class, and at most three heavy items for each lot), so the placement is a
 short loop on the driver: items by falling size, each onto the shard where the dot product with the
 residual capacity is highest. Rows find their shard by a broadcast of that bounded table.
@@ -14,10 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import buckets_for, number_rows, written
+from pagewarden.llm._common import buckets_for, named, number_rows, written
 
 LOTS_PER_SHARD = 32
-PIECE = 1 / 16
 WEIGHTS = (4.0, 1.0, 1.0)  # bytes are the law; tokens and rows follow
 
 
@@ -30,8 +29,11 @@ def place(items: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
     for i in np.lexsort((np.arange(len(items)), -share.max(axis=1))):
         v = share[i]
         score = residual @ (w * v)
+        # Where no shard has room for all three, the law's measure decides which may take the item.
         fits = (residual >= v).all(axis=1)
-        at = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
+        if not fits.any():
+            fits = residual[:, 0] >= v[0]
+        at = int(np.argmax(np.where(fits, score, -np.inf)) if fits.any() else np.argmax(residual[:, 0]))
         residual[at] -= v
         out[i] = at
     return out
@@ -42,14 +44,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", doc_i
 
     Size is the text's UTF-8 bytes (null: none) plus 8, tokens its runs of non-blanks. The law is
     ``bytes``: shards' sizes are near equal. Slots count each shard's documents from 0 without gaps.
-    Equal texts share a shard unless their group exceeds a sixteenth of one. Repeated and null doc_ids
+    Equal texts share a shard unless their group exceeds a shard's even share of all bytes, tokens or rows. Repeated and null doc_ids
     are documents like any other; an empty table gives no rows.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(named(text), F.lit(""))
     base = written(
         docs.select(
             F.monotonically_increasing_id().alias("_row"),
-            F.col(doc_id).alias("doc_id"),
+            named(doc_id).alias("doc_id"),
             (F.octet_length(body) + 8).cast("long").alias("size"),
             F.regexp_count(body, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
@@ -63,15 +65,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", doc_i
     heavy = written(
         base.groupBy("_group").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
         .where((share > 1 / lots) & (F.col("r") > 1))
-        .select(F.col("_group").alias("_heavy"), F.ceil(share * shards / PIECE).alias("_pieces")),
+        .select(F.col("_group").alias("_heavy"), F.when(share > 1 / shards, F.ceil(2 * share * shards)).otherwise(1).cast("long").alias("_pieces"), F.col("r").alias("_copies")),
         "heavy",
     )
+    marked = base.join(F.broadcast(heavy), F.col("_group") == F.col("_heavy"), "left")
+    # Copies of a group over a shard are alike, so that runs of equally many rows weigh the same.
+    whole = marked.where("_pieces IS NULL OR _pieces <= 1").withColumn("_piece", F.lit(0).cast("long"))
+    over = number_rows(marked.where("_pieces > 1"), ["_group"], "_row", "_nth", buckets_for(total[2]))
+    cut = over.withColumn("_piece", F.floor(F.col("_nth") * F.col("_pieces") / F.col("_copies")).cast("long")).drop("_nth")
     light = F.col("_heavy").isNull()
-    keyed = base.join(F.broadcast(heavy), F.col("_group") == F.col("_heavy"), "left").select(
+    keyed = whole.unionByName(cut).select(
         *base.columns,
         F.when(light, F.floor(F.log2("size"))).otherwise(-1).cast("int").alias("_class"),
         F.when(light, F.pmod("_group", F.lit(lots))).otherwise(F.col("_group")).alias("_lot"),
-        F.when(light, 0).otherwise(F.pmod(F.xxhash64("_row"), F.col("_pieces"))).cast("long").alias("_piece"),
+        "_piece",
     )
     key = ["_class", "_lot", "_piece"]
     items = keyed.groupBy(*key).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy(*key).toPandas()

@@ -11,7 +11,6 @@ table of combinations, which is bounded by the capacity too.
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
@@ -19,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import buckets_for, number_rows, written
+from pagewarden.llm._common import all_of, buckets_for, fresh, named, number_rows, written
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k"
 END_OF_DOCUMENT = 0
 
 
-@functools.cache
 def _encoder(name: str):
-    """The public vocabulary as ranks: the ids of tokenizers' file of that name, added tokens too, some five times as fast."""
+    """The public vocabulary as ranks: the ids of tokenizers' file of that name, added tokens too, some five times as fast.
+
+    Held in the library's own registry, so that the tasks of one worker read the vocabulary once.
+    """
     import base64
     import json
     import os
@@ -36,13 +37,16 @@ def _encoder(name: str):
     import public_tokenizers as P
     import tiktoken
 
-    with open(P.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    added = {}
-    if os.path.exists(P.path(f"{name}.json")):
-        with open(P.path(f"{name}.json"), encoding="utf-8") as f:
-            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    return tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    held, key = tiktoken.registry.ENCODINGS, f"ranks:{P.path(f'{name}.tiktoken')}"
+    if key not in held:
+        with open(P.path(f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        added = {}
+        if os.path.exists(P.path(f"{name}.json")):
+            with open(P.path(f"{name}.json"), encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        held[key] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return held[key]
 
 
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -74,7 +78,7 @@ def _tokenise(capacity: int, tokenizer: str, schema: pa.Schema):
 def cut_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as token pieces of at most ``capacity``."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).mapInArrow(
         _tokenise(capacity, tokenizer, None), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -137,16 +141,16 @@ def _places(histogram: dict[int, int], capacity: int):
     return np.array(sorted(rows), np.int64).reshape(-1, 5), sequence
 
 
-def _look_up(places: np.ndarray):
+def _look_up(places: np.ndarray, length_name: str, number_name: str):
     keys = places[:, 0] << 44 | places[:, 1]
 
     def run(batches):
         for batch in batches:
-            number, length = batch["_number"].to_numpy(), batch["length"].to_numpy()
+            number, length = batch[number_name].to_numpy(), batch[length_name].to_numpy()
             _, first, copies, sequence, offset = places[np.searchsorted(keys, length << 44 | number, side="right") - 1].T
             k = number - first
             batch["sequence_id"], batch["offset"] = sequence + k // copies, offset + k % copies * length
-            yield batch.drop(columns="_number")
+            yield batch.drop(columns=number_name)
 
     return run
 
@@ -154,17 +158,23 @@ def _look_up(places: np.ndarray):
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to ``pieces`` (any columns, among them length of 1 to capacity).
 
-    Pieces of the full capacity are sequences of their own, with negative ids, and are not shuffled.
+    Columns that are called so already are replaced. Pieces of the full capacity are sequences of their
+    own, with negative ids, and are not shuffled.
     """
-    held = written(pieces.withColumn("_piece_row", F.monotonically_increasing_id()), "pieces")
-    counts = {r["length"]: r["n"] for r in held.where(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    kept = pieces.drop("sequence_id", "offset")
+    row, number = fresh(kept, "piece_row", "piece_number")
+    held = written(kept.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    length = next(c for c in kept.columns if c.lower() == "length")
+    counts = {r[0]: r[1] for r in held.where(named(length) < capacity).groupBy(named(length)).agg(F.count("*")).collect()}
     places, _ = _places(counts, capacity)
-    full = held.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("_piece_row")).withColumn("offset", F.lit(0).cast("long"))
-    short = number_rows(held.where(F.col("length") < capacity), ["length"], "_piece_row", "_number", buckets_for(sum(counts.values()) // max(len(counts), 1)))
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-    ordered = short.select(*held.columns, "_number")
-    packed = ordered.mapInPandas(_look_up(places), f"{columns}, sequence_id long, offset long")
-    return full.unionByName(packed).drop("_piece_row")
+    full = held.where(named(length) == capacity).select(*all_of(kept), (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # As many buckets for each length as its pieces need: one length may be most of them.
+    buckets = F.get(F.lit([buckets_for(counts.get(x, 0)) if counts.get(x, 0) > 50_000 else 1 for x in range(capacity + 1)]), named(length).cast("int"))
+    short = number_rows(held.where(named(length) < capacity), [length], row, number, buckets)
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
+    ordered = short.select(*all_of(kept), F.col(number))
+    packed = ordered.mapInPandas(_look_up(places, length, number), f"{columns}, sequence_id long, offset long")
+    return full.unionByName(packed)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

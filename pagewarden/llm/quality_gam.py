@@ -197,26 +197,33 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def features(text: pd.Series) -> pd.Series:
+    return pd.Series(list(feature_matrix(text)), dtype="object")
+
+
 def _learn(part: pd.DataFrame) -> pd.DataFrame:
     import pickle
 
     part = part.sort_values(["doc_id", "label"])
-    model = fit(feature_matrix(part["text"]), part["label"].to_numpy(float))
-    return pd.DataFrame({"model": [zlib.compress(pickle.dumps(model))]})
+    x = np.array([np.asarray(v, float) for v in part["x"]]).reshape(-1, len(FEATURES))
+    return pd.DataFrame({"model": [zlib.compress(pickle.dumps(fit(x, part["label"].to_numpy(float))))]})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Fits on at most ``sample_rows`` labelled documents that are not held out.
 
     Null labels and labels without a document are left out; a document with several labels counts once
-    for each. Without any labelled document every score is one half.
+    for each, and of several documents of one doc_id the one with the smallest features. Without any
+    labelled document every score is one half.
     """
     import pickle
 
-    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
+    known = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).distinct()
     sample = known.where(~is_held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "label").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    # One task learns: the sample is bounded, whatever the size of the corpus.
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    # Texts stay where they are: their features are what one task learns from, ``sample_rows`` rows at most.
+    rows = found.select("doc_id", "label", features("text").alias("x")).groupBy("doc_id", "label").agg(F.min("x").alias("x"))
     got = rows.groupBy().applyInPandas(_learn, "model binary").collect()
     return pickle.loads(zlib.decompress(bytes(got[0]["model"]))) if got else fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 
@@ -240,6 +247,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score ``threshold`` or more, with all their columns."""
-    score = scorer(train(docs, labels))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") >= threshold).drop("_score")
+    """The documents that score ``threshold`` or more, with all their columns, whatever their names."""
+    return docs.where(scorer(train(docs, labels))(F.col("text")) >= threshold)

@@ -1,16 +1,17 @@
 """Nearest neighbours by additive quantisation.
 
-A vector is approximated by a sum of one codeword from each of ``BOOKS`` full-dimensional codebooks. The
-codebooks are fitted to residuals on a bounded sample (``SAMPLE_ROWS`` vectors of the smallest hashes),
-and every vector is then encoded by beam search over all books jointly; its reconstruction's norm is
-stored with the codes. A query is scored against codes by adding one entry of its lookup table a book;
-the best by that score are reranked on the original vectors in double precision.
-
-The index is packed into blocks of some ``BLOCK_ROWS`` vectors, the queries into blocks of
-``QUERY_ROWS``; each pair of blocks is one row for a task, which returns k rows a query. Equal vectors
-of a block are encoded, scored and reranked once and only its k + 1 smallest ids go on: no more of them
-can be among a query's k nearest, ties going to the smaller id. Full blocks keep what a task holds the
-same at any size of the corpus.
+A vector is its norm times a unit vector, which is approximated by a sum of one codeword from each of
+``BOOKS`` full-dimensional codebooks. The codebooks are fitted to residuals on a bounded sample
+(``SAMPLE_ROWS`` vectors of the smallest hashes), and every unit vector is then encoded by beam search
+over all books jointly; its norm is stored with the codes. A query is scored against codes by adding one
+entry of its lookup table a book, times the stored norm; a query's ``RERANK`` best by that score are
+reranked on the original vectors in double precision.
+
+The index is packed into blocks of some ``BLOCK_ROWS`` vectors, the queries into blocks of ``QUERY_ROWS``;
+each pair of blocks is one row for a task. Only codes and norms (24 bytes a vector) meet the queries;
+original vectors stay where they are until the few that are reranked are joined by their place in the
+index. Equal vectors of a block are one entry with its k + 1 smallest ids: no more of them can be among a
+query's k nearest, ties going to the smaller id.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import written
+from pagewarden.llm._common import named, written
 
 BOOKS = 16
 WORDS = 256
@@ -28,7 +29,7 @@ BEAM = 4
 SAMPLE_ROWS = 8192
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
-RERANK = 320
+RERANK = 160
 
 
 def is_valid(vector: Column) -> Column:
@@ -94,12 +95,22 @@ def _matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in values])
 
 
+def unit_vectors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, norms) in double precision, for components of any finite size; no row is zero."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    scaled = x / top
+    length = np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+    return scaled / length, np.minimum(top * length, np.finfo(float).max)[:, 0]
+
+
 def _learn(part: pd.DataFrame) -> pd.DataFrame:
-    books = fit_codebooks(_matrix(part.sort_values("vec_id")["vector"]))
+    books = fit_codebooks(unit_vectors(_matrix(part.sort_values("vec_id")["vector"]))[0])
     return pd.DataFrame({"books": [books.tobytes()]})
 
 
 def _pack_index(books: np.ndarray, keep: int):
+    """A row a block: for each distinct vector its codes and norm, and for the rerank the vector and its ``keep`` smallest ids."""
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
         x = _matrix(part["vector"]) + 0.0
@@ -107,18 +118,31 @@ def _pack_index(books: np.ndarray, keep: int):
         order = np.argsort(same, kind="stable")
         nth = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(same))[:-1]])[same[order]]
         order = order[nth < keep]
-        codes, norms = encode(x[first], books)
+        units, norms = unit_vectors(x[first])
         return pd.DataFrame({
-            "block": part["block"].iloc[:1].to_numpy(), "ids": [part["vec_id"].to_numpy()[order].astype("<i8").tobytes()], "same": [same[order].astype("<i4").tobytes()],
-            "codes": [codes.tobytes()], "norms": [norms.astype("<f4").tobytes()], "vectors": [x[first].astype("<f8").tobytes()],
+            "block": part["block"].iloc[:1].to_numpy(), "codes": [encode(units, books)[0].tobytes()], "norms": [norms.astype("<f8").tobytes()],
+            "vectors": [x[first].astype("<f8").tobytes()], "ids": [part["vec_id"].to_numpy()[order].astype("<i8").tobytes()], "sizes": [np.bincount(same[order]).astype("<i4").tobytes()],
         })
 
     return run
 
 
+def _entries(batches):
+    """(block, at, original, ids) of the packed index: its entries as rows."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            sizes = np.frombuffer(r.sizes, "<i4")
+            vectors = np.frombuffer(r.vectors).reshape(len(sizes), -1)
+            ids = np.split(np.frombuffer(r.ids, "<i8"), np.cumsum(sizes)[:-1])
+            for at in range(0, len(sizes), 1024):
+                own = slice(at, at + 1024)
+                yield pd.DataFrame({"block": np.full(len(sizes[own]), r.block, np.int32), "at": np.arange(at, at + len(sizes[own]), dtype=np.int32), "original": list(vectors[own]), "ids": ids[own]})
+
+
 def _pack_queries(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("vec_id", kind="stable")
-    return pd.DataFrame({"query_block": part["query_block"].iloc[:1].to_numpy(), "query_ids": [part["vec_id"].to_numpy().astype("<i8").tobytes()], "queries": [_matrix(part["vector"]).astype("<f8").tobytes()]})
+    part = part.sort_values("query_id", kind="stable")
+    units = unit_vectors(_matrix(part["query"]))[0]
+    return pd.DataFrame({"query_block": part["query_block"].iloc[:1].to_numpy(), "query_ids": [part["query_id"].to_numpy().astype("<i8").tobytes()], "queries": [units.astype("<f4").tobytes()]})
 
 
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -129,37 +153,27 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(q_ids, q, ids, same, codes, vectors, books, k: int, rerank: int):
-    """(query index, vec_id, score) of the k nearest of a block for each query, its own id aside."""
-    tables = np.einsum("qd,mkd->qmk", q.astype(np.float32), books)
-    sizes = np.bincount(same, minlength=len(codes))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    width = min(rerank, len(codes))
-    for i in range(len(q)):
-        approx = tables[i, 0][codes[:, 0]]
+def look_up(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, keep: int):
+    """For each query (entries, approximate scores) of the ``keep`` best of a block by lookup tables and stored norms."""
+    tables = np.einsum("qd,mkd->qmk", queries, books)
+    for t in tables:
+        approx = t[0][codes[:, 0]]
         for m in range(1, len(books)):
-            approx += tables[i, m][codes[:, m]]
-        near = np.argpartition(-approx, width - 1)[:width]
-        score = exact_products(q[i], vectors[near])
-        # Members of all reranked classes; the best k of them without the query.
-        n = sizes[near]
-        at = np.repeat(starts[near] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found, value = ids[at], np.repeat(score, n)
-        other = found != q_ids[i]
-        found, value = found[other], value[other]
-        best = np.lexsort((found, -value))[:k]
-        yield i, found[best], value[best]
-
-
-def _score(books: np.ndarray, k: int, rerank: int):
+            approx += t[m][codes[:, m]]
+        score = approx * norms
+        best = np.argpartition(-score, keep - 1)[:keep] if keep < len(score) else np.arange(len(score))
+        yield best, score[best]
+
+
+def _score(books: np.ndarray, keep: int):
     def run(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                vectors = np.frombuffer(r.vectors).reshape(-1, books.shape[2])
-                q_ids, q = np.frombuffer(r.query_ids, "<i8"), np.frombuffer(r.queries).reshape(-1, books.shape[2])
-                ids, same, codes = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.same, "<i4"), np.frombuffer(r.codes, np.uint8).reshape(len(vectors), -1)
-                out = [(np.full(len(f), q_ids[i]), f, v) for i, f, v in search_block(q_ids, q, ids, same, codes, vectors, books, k, rerank)]
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
+                ids, norms = np.frombuffer(r.query_ids, "<i8"), np.frombuffer(r.norms)
+                q, codes = np.frombuffer(r.queries, "<f4").reshape(len(ids), -1), np.frombuffer(r.codes, np.uint8).reshape(len(norms), -1)
+                best, scores = zip(*look_up(q, codes, norms, books, keep))
+                n = [len(x) for x in best]
+                yield pd.DataFrame({"query_id": np.repeat(ids, n), "block": np.full(sum(n), r.block, np.int32), "at": np.concatenate(best).astype(np.int32), "approx": np.concatenate(scores)})
 
     return run
 
@@ -168,6 +182,12 @@ def _full_blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
+def _share(rerank: int, blocks: int) -> int:
+    """How many of a query's ``rerank`` best may lie in one of ``blocks`` random blocks: six deviations over the mean."""
+    mean = rerank / blocks
+    return min(rerank, int(np.ceil(mean + 6 * np.sqrt(mean))) + 16)
+
+
 def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:
     """(packed index, number of its blocks, codebooks) of valid vectors (vec_id, vector)."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)
@@ -175,29 +195,37 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]
     books = np.frombuffer(bytes(row["books"]), np.float32).reshape(BOOKS, WORDS, -1)
     blocks = _full_blocks(vectors.count(), BLOCK_ROWS)
     cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = cut.groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, ids binary, same binary, codes binary, norms binary, vectors binary")
+    packed = cut.groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, codes binary, norms binary, vectors binary, ids binary, sizes binary")
     return written(packed, "index"), blocks, books
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """For each query row its k nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
+    """For each query id its k nearest other rows by inner product: query_id, rank (from 1), vec_id, score.
 
     Nearest first, ties to the smaller vec_id; all candidates if fewer than k. Vectors that is_valid
     rejects, null ids, and vectors of another than the most frequent dimension take no part. Rows that
-    repeat a vec_id are candidates once each. No valid vector, or no query: no rows.
+    repeat a vec_id are candidates once each; of queries with one id the smallest vector asks. No valid
+    vector, or no query: no rows. Components may have any finite size; products beyond double's range are infinite.
     """
-    picked = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(is_valid(F.col("vector")) & F.col("vec_id").isNotNull())
+    picked = vectors.select(named(vec_id).cast("long").alias("vec_id"), named(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(is_valid(F.col("vector")) & F.col("vec_id").isNotNull())
     common = picked.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
     valid = picked.where(F.size("vector") == common["d"])
     index, blocks, books = build_index(valid.select("vec_id", "vector"), k)
-    asked = valid.where("is_query")
+    asked = valid.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"))
     groups = _full_blocks(asked.count(), QUERY_ROWS)
-    queries = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int")).groupBy("query_block").applyInPandas(_pack_queries, "query_block int, query_ids binary, queries binary")
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block").select("query_ids", "queries", "ids", "same", "codes", "vectors")
+    queries = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(groups)).cast("int")).groupBy("query_block").applyInPandas(_pack_queries, "query_block int, query_ids binary, queries binary")
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index.select("block", "codes", "norms"), "block")
     tasks = pairs.repartition(max(1, min(blocks * groups, 10_000)), F.monotonically_increasing_id())
-    scored = tasks.mapInPandas(_score(books, k, RERANK), "query_id long, vec_id long, score double")
+    rerank = max(rerank, 2 * k + 1)
+    scored = tasks.mapInPandas(_score(books, _share(rerank, blocks)), "query_id long, block int, at int, approx double")
+    by_approx = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "block", "at"))
+    near = written(scored.withColumn("nth", by_approx).where(F.col("nth") <= rerank).select("query_id", "block", "at"), "near")
+
+    entries = index.select("block", "vectors", "ids", "sizes").mapInPandas(_entries, "block int, at int, original array<double>, ids array<long>")
+    product = F.aggregate(F.zip_with("query", "original", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    found = near.join(entries, ["block", "at"]).join(asked, "query_id").select("query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

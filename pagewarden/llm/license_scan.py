@@ -152,8 +152,9 @@ def score_units(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The templates' vectors: a fixed list, so broadcasting them is bounded.
     vectors = _weighted(known, idf, "template").join(templates.select("template", "license"), "template").withColumnRenamed("w", "wt")
     dots = _weighted(own, idf, "id").join(F.broadcast(vectors), "term").groupBy("id", "license", "template").agg(F.sum(F.col("w") * F.col("wt")).alias("score"))
-    best = dots.groupBy("id").agg(F.max(F.struct("score", F.concat(F.lit(""), "license").alias("license"))).alias("b"))
-    return best.select("id", "b.license", F.col("b.score").alias("score")).where(F.col("score") >= threshold)
+    # Rounded before they are compared: ties are not left to the order of a sum, and go to the smaller name.
+    best = dots.groupBy("id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), F.concat(F.lit(""), "license").alias("license"))).alias("b"))
+    return best.select("id", "b.license", (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
 
 
 def directory(path: Column) -> Column:
@@ -206,7 +207,7 @@ def scan(files: DataFrame, *keep: str, threshold: float = THRESHOLD) -> DataFram
     units = found.select("_file", F.explode("_units").alias("unit")).withColumn("id", F.xxhash64("unit"))
     distinct = written(units.groupBy("id").agg(F.count("*").alias("n"), F.min("unit").alias("unit")), "units")
     scores = written(score_units(distinct, threshold), "scores")
-    own = written(units.drop("unit").join(scores, "id").groupBy("_file").agg(F.max(F.struct("score", "license")).alias("b")).select("_file", "b.license", F.round("b.score", 6).alias("score")), "own")
+    own = written(units.drop("unit").join(scores, "id").groupBy("_file").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("_file", "b.license", (-F.col("b.s")).alias("score")), "own")
     judged = written(found.drop("_units", "_lines", "_size").join(own, "_file", "left"), "judged")
 
     in_folder = (

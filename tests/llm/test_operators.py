@@ -100,7 +100,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -162,22 +161,55 @@ def test_combinations_use_every_piece_once():
 # sharding
 
 
+def brute_places(items, shards, weights):
+    """The shard that is chosen for each item, one shard after another."""
+    total = [max(sum(x[d] for x in items), 1) for d in range(3)]
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i][d] / total[d] * shards for d in range(3)), i)):
+        v = [items[i][d] / total[d] * shards for d in range(3)]
+        dots = [sum(w * x * y for w, x, y in zip(weights, r, v)) for r in left]
+        able = [s for s in range(shards) if all(left[s][d] >= v[d] for d in range(3))] or [s for s in range(shards) if left[s][0] >= v[0]]
+        out[i] = max(able, key=lambda s: (dots[s], -s)) if able else max(range(shards), key=lambda s: (left[s][0], -s))
+        left[out[i]] = [x - y for x, y in zip(left[out[i]], v)]
+    return [out[i] for i in range(len(items))]
+
+
+def test_items_go_where_the_dot_product_is_highest():
+    rng = random.Random(2)
+    for n, shards in ((0, 3), (1, 2), (40, 4), (150, 7)):
+        items = [(rng.randrange(1, 64) * 64, rng.randrange(0, 32), rng.randrange(1, 8)) for _ in range(n)]
+        assert sharding.place(np.array(items, float).reshape(-1, 3), shards).tolist() == brute_places(items, shards, sharding.WEIGHTS)
+
+
 def test_shards(spark, sf, odd, nothing):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    many = docs.crossJoin(spark.range(10)).selectExpr("doc_id * 10 + id AS doc_id", "concat(text, id) AS text").union(spark.range(1500).selectExpr("id + 50000", "'one very common text'"))
-    rows = sharding.shard_documents(many, 8).collect()
-    texts = {r["doc_id"]: r["text"] for r in many.collect()}
-    assert len(rows) == len(texts)
-    size, count, slots = Counter(), Counter(), defaultdict(list)
-    for r in rows:
-        raw = texts[r["doc_id"]].encode()
-        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
-        size[r["shard"]] += r["size"]
-        count[r["shard"]] += 1
-        slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(size) == 8
-    assert max(size.values()) < 1.03 * min(size.values()) and max(count.values()) < 1.1 * min(count.values())
+    many = docs.crossJoin(spark.range(10)).selectExpr("doc_id * 10 + id AS doc_id", "concat(text, id) AS text")
+    copies = many.where("doc_id % 10 = 1").selectExpr("doc_id + 20000", "text").union(spark.range(150).selectExpr("id + 40000", "'a text of some copies'"))
+    hot = spark.range(1500).selectExpr("id + 50000", "'one very common text'")
+    for df, bound in ((many.union(copies), 1.1), (many.union(copies).union(hot), None)):
+        rows = sharding.shard_documents(df, 8).collect()
+        texts = {r["doc_id"]: r["text"] for r in df.collect()}
+        assert len(rows) == len(texts)
+        size, count, slots, of = Counter(), Counter(), defaultdict(list), defaultdict(Counter)
+        for r in rows:
+            raw = texts[r["doc_id"]].encode()
+            assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+            size[r["shard"]] += r["size"]
+            count[r["shard"]] += 1
+            slots[r["shard"]].append(r["slot"])
+            of[raw][r["shard"]] += 1
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(size) == 8
+        assert max(size.values()) < 1.03 * min(size.values())
+        assert not bound or max(count.values()) < bound * min(count.values())
+        # Groups are whole unless they exceed a shard, and then no piece is over half of one.
+        for raw, own in of.items():
+            if sum(own.values()) <= len(rows) / 8:
+                assert len(own) == 1, (raw[:40], own)
+            else:
+                assert len(own) <= -(-2 * 8 * sum(own.values()) // len(rows)) and max(own.values()) <= len(rows) / 16 + 1
     assert sorted(r["size"] for r in sharding.shard_documents(odd).collect()) == sorted(len((r[1] or "").encode()) + 8 for r in ODD_ROWS)
+    same = sharding.shard_documents(spark.createDataFrame([(None, "x")] * 3 + [(None, None)], "doc_id long, text string"), 2).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in same) == [(None, 8), (None, 9), (None, 9), (None, 9)] and all(sorted(r["slot"] for r in same if r["shard"] == s) == list(range(sum(r["shard"] == s for r in same))) for s in (0, 1))
     assert sharding.shard_documents(nothing).collect() == []
 
 

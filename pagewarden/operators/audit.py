@@ -2,37 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.functions import pii
 
-#: Broadcast only under this many secrets; more are joined on their first words.
+#: Keys of secrets are broadcast only under this many; more are joined by a shuffle.
 BROADCAST_SECRETS = 20_000
-_WORD = r"[^\s]+"
+#: Secrets without an inner word are filed under their first characters, as many as this.
+GRAM = 6
+
+
+def _within(texts: DataFrame, keys: Column, filed: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Texts with the secrets filed under one of their ``keys``, tested by substring."""
+    tokens = texts.select(*columns, text, F.explode(F.array_distinct(keys)).alias("_key"))
+    side = F.broadcast(filed) if filed.count() <= BROADCAST_SECRETS else filed
+    return tokens.join(side, "_key").where(F.contains(F.col(text), F.col("_value"))).select(*columns, F.col("_label").alias("label"))
 
 
 def leaks(texts: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:
     """(columns of texts but the text, label): which secrets (label, value) occur in which texts.
 
-    A small table of secrets is broadcast and tested by substring. A large one is not: every secret is
-    filed under its longest run of inner words, whose hash is joined with the hashes of the texts' word
-    runs of that length, and only those pairs are tested. Empty and null values never leak.
+    Every secret is filed under its longest inner word and joined with the texts' words; only pairs that
+    share it are tested. Its first and last words may be cut by the text around it, so a secret of one or
+    two words is filed under its first characters instead. Empty and null values never leak.
     """
-    known = secrets.where("value IS NOT NULL AND value <> ''").select("label", "value").distinct()
-    keys = [c for c in texts.columns if c != text]
-    if known.count() <= BROADCAST_SECRETS:
-        return texts.join(F.broadcast(known), F.contains(F.col(text), F.col("value"))).select(*keys, "label")
-    # A secret's first and last words may be cut by the text around it; those within it are whole.
-    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    known = secrets.where("value IS NOT NULL AND value <> ''").select(F.col("label").alias("_label"), F.col("value").alias("_value")).distinct()
+    columns = [c for c in texts.columns if c != text]
+    words = F.filter(F.split("_value", r"\s+"), lambda w: w != "")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    filed = known.withColumn("k", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    long_ = filed.where("k IS NOT NULL")
-    rows = texts.withColumn("_row", F.monotonically_increasing_id())
-    tokens = rows.select("_row", *keys, text, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("k"))
-    by_word = tokens.join(long_, "k").where(F.contains(F.col(text), F.col("value"))).select(*keys, "label")
-    short = filed.where("k IS NULL").select("label", "value")
-    return by_word.unionByName(texts.join(short, F.contains(F.col(text), F.col("value"))).select(*keys, "label"))
+    filed = known.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    found = _within(texts, F.split(text, r"\s+"), filed.where("_key IS NOT NULL"), text, columns)
+    short = filed.where("_key IS NULL").withColumn("_key", F.substring("_value", 1, GRAM))
+    chars = F.split(text, "")
+    for r in short.select(F.length("_key").alias("n")).distinct().collect():  # GRAM lengths at most
+        n = r["n"]
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))  # noqa: B023
+        found = found.unionByName(_within(texts, grams, short.where(F.length("_key") == n), text, columns))
+    return found
 
 
 def leaked_labels(texts: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:

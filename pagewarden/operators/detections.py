@@ -7,6 +7,8 @@ aggregates on (image, class).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,19 +172,40 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(sorted_, F.floor(F.lit(p / 100.0) * (F.size(values) - 1) + 0.5).cast("int"))
 
 
+RANGES = 64  # value ranges of a group, numbered apart from each other
+
+
+def _value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values per group with _first and _last, the indices their rows have in order, and _n, the group's rows.
+
+    Equal values are counted first. A group's values fall into ranges between approximate quantiles; a range
+    starts at the running sum of those before it, and only values within a range are ranked: no group is one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
+    same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    placed = counts.join(cuts, same).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value))))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    starts = starts.select(*(F.col(c).alias(f"_s_{c}") for c in by), F.col("_range").alias("_s_range"), "_start")
+    at_start = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by), F.col("_range") == F.col("_s_range"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_upto", upto).join(starts, at_start).select(*by, value, "_n", (F.col("_start") + F.col("_upto") - F.col("_c")).alias("_first"), (F.col("_start") + F.col("_upto") - 1).alias("_last"))
+
+
+def _value_at(value: str, index: Column) -> Column:
+    return F.max(F.when((F.col("_first") <= index) & (index <= F.col("_last")), F.col(value)))
+
+
 def percentile(df: DataFrame, by: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
-    """Nearest-rank percentiles p<point> per group, by numbered rows: no group becomes one array."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    """Nearest-rank percentiles p<point> per group: the value at index round(p / 100 * (n - 1)), halves up."""
     at = lambda p: F.floor(F.lit(p / 100.0) * (F.col("_n") - 1) + 0.5)
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == at(p), F.col(value))).alias(f"p{p:g}") for p in points))
+    return _value_ranks(df, by, value).groupBy(*by).agg(*(_value_at(value, at(p)).alias(f"p{p:g}") for p in points))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The value at index floor(n / 2) per group."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col(value))).alias("median"))
+    return _value_ranks(df, by, value).groupBy(*by).agg(_value_at(value, F.floor(F.col("_n") / 2)).alias("median"))
 
 
 def image_recall(truth_counts: DataFrame, dets: DataFrame) -> DataFrame:

@@ -22,29 +22,29 @@ from pagewarden.operators.captures import valid_command
 
 # The contract's aliases, wrappers and allowed fields.
 ACTION_ALIASES = {
-    "click": "click press tap select choose check toggle submit click_element left_click push activate",
-    "type": "type type_text input input_text fill fill_in enter_text write set_value send_keys",
-    "scroll": "scroll scroll_down scroll_up scrolldown scrollup",
-    "navigate": "navigate navigate_to go_to goto open open_url visit load",
-    "wait": "wait sleep pause delay",
-    "done": "done finish finished complete completed stop end task_complete task_done success",
-    "ask_user": "ask_user ask question clarify ask_human request_input need_input",
-    "noop": "noop no_op none nothing idle no_action skip null",
+    "click": ("click", "press", "tap", "select", "choose", "check", "toggle", "submit", "click_element", "left_click", "push", "activate"),
+    "type": ("type", "type_text", "input", "input_text", "fill", "fill_in", "enter_text", "write", "set_value", "send_keys"),
+    "scroll": ("scroll", "scroll_down", "scroll_up", "scrolldown", "scrollup"),
+    "navigate": ("navigate", "navigate_to", "go_to", "goto", "open", "open_url", "visit", "load"),
+    "wait": ("wait", "sleep", "pause", "delay"),
+    "done": ("done", "finish", "finished", "complete", "completed", "stop", "end", "task_complete", "task_done", "success"),
+    "ask_user": ("ask_user", "ask", "question", "clarify", "ask_human", "request_input", "need_input"),
+    "noop": ("noop", "no_op", "none", "nothing", "idle", "no_action", "skip", "null"),
 }
 KEY_ALIASES = {
-    "action": "action",
-    "target": "target element element_id elementid target_id targetid target_element id selector element_index index",
-    "text": "text value input input_text content query keys text_to_type",
-    "direction": "direction dir",
-    "amountPx": "amountpx amount_px amount pixels px distance",
-    "url": "url href link address",
-    "ms": "ms milliseconds millis duration duration_ms time_ms seconds",
-    "summary": "summary result_summary",
-    "question": "question",
-    "reason": "reason",
-    "reasoning": "reasoning explanation rationale thought thoughts why justification",
-    "confidence": "confidence score probability",
-    "submit": "submit press_enter enter_after hit_enter",
+    "action": ("action",),
+    "target": ("target", "element", "element_id", "elementid", "target_id", "targetid", "target_element", "id", "selector", "element_index", "index"),
+    "text": ("text", "value", "input", "input_text", "content", "query", "keys", "text_to_type"),
+    "direction": ("direction", "dir"),
+    "amountPx": ("amountpx", "amount_px", "amount", "pixels", "px", "distance"),
+    "url": ("url", "href", "link", "address"),
+    "ms": ("ms", "milliseconds", "millis", "duration", "duration_ms", "time_ms", "seconds"),
+    "summary": ("summary", "result_summary"),
+    "question": ("question",),
+    "reason": ("reason",),
+    "reasoning": ("reasoning", "explanation", "rationale", "thought", "thoughts", "why", "justification"),
+    "confidence": ("confidence", "score", "probability"),
+    "submit": ("submit", "press_enter", "enter_after", "hit_enter"),
 }
 WRAPPERS = ("command", "action_command", "actioncommand", "next_action", "response", "result", "output", "data")
 ALLOWED = {
@@ -145,8 +145,8 @@ def unwrap(df: DataFrame, obj: str = "object") -> DataFrame:
     return df
 
 
-def _lookup(words: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for k, aliases in words.items() for a in aliases.split() for x in (a, k)))
+def _lookup(words: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*(F.lit(x) for k, aliases in words.items() for a in aliases for x in (a, k)))
 
 
 def canonical_fields(df: DataFrame, obj: str = "object") -> DataFrame:
@@ -237,7 +237,7 @@ def normalise(replies: DataFrame, raw: str = "raw", elements: str = "elements")
     lacks = F.coalesce(*(F.when((act == a) & c[f].isNull(), F.concat(F.lit(f"{a}.{f}: Field required"))) for a, fields in REQUIRED.items() for f in fields))
     unknown = F.concat(F.lit("unknown target '"), c["target"], F.lit("'; valid ids are "), S.describe_ids(els))
     reject = (
-        F.when(F.trim(F.coalesce(F.col(raw), F.lit(""))) == "", "model returned empty output")
+        F.when(F.coalesce(F.col(raw), F.lit("")).rlike(r"^\s*$"), "model returned empty output")
         .when(F.col("object").isNull(), "no JSON object found in model output")
         .when(act.isNull(), F.concat(F.lit("unknown action '"), F.coalesce(_field("action"), F.lit("")), F.lit("'")))
         .when(lacks.isNotNull(), lacks)

@@ -35,21 +35,21 @@ def _in_order(session: str = "session", step: str = "step"):
     return Window.partitionBy(session).orderBy(step)
 
 
-def with_repeats(steps: DataFrame, same: Column) -> DataFrame:
-    """Adds is_repeat (equal to the step before), repeats (so far) and stopped (over the budget of two).
+def with_repeats(steps: DataFrame, same: Column, forgets: Column | None = None) -> DataFrame:
+    """Adds is_repeat (equal to the command before), repeats (so far) and stopped (over the budget of two).
 
-    ``same`` is what steps are compared by. This is the window form, where the step before counts whether
-    or not it ran; the exact one, in which skipped steps are never "before", is the stateful stream.
+    ``same`` is what steps are compared by; ``forgets`` marks steps after which nothing counts as done
+    before. A skipped repeat equals what it repeats, so the step before stands for the last one that ran.
     """
     w = _in_order()
-    again = F.coalesce(F.lag(same).over(w) == same, F.lit(False))
+    before = F.lag(same if forgets is None else F.when(~F.coalesce(forgets, F.lit(False)), same)).over(w)
     so_far = F.sum(F.col("is_repeat").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return steps.withColumn("is_repeat", again).withColumn("repeats", so_far).withColumn("stopped", F.col("repeats") > MAX_REPEATS)
+    return steps.withColumn("is_repeat", F.coalesce(before == same, F.lit(False))).withColumn("repeats", so_far).withColumn("stopped", F.col("repeats") > MAX_REPEATS)
 
 
-def with_history(steps: DataFrame, value: Column, out: str = "history") -> DataFrame:
-    """Adds what came before each step of its session, in order."""
-    return steps.withColumn(out, F.collect_list(value).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)))
+def with_history(steps: DataFrame, value: Column, out: str = "history", limit: int = MAX_STEPS) -> DataFrame:
+    """Adds what came before each step of its session, in order: a task's ``limit`` steps at most, so that no array grows with a session."""
+    return steps.withColumn(out, F.collect_list(value).over(_in_order().rowsBetween(-limit, -1)))
 
 
 def element_of(elements: Column, target: Column) -> Column:
@@ -141,15 +141,26 @@ def gate(steps: DataFrame, auto_confirm: bool = False) -> DataFrame:
     """Adds verdict (run, needs_user, stopped, skip_repeat, skip_field, confirm) and message to a step log.
 
     ``steps`` has session, step, task, command, elements, and missing (names of placeholders without a
-    saved value). First match decides: missing detail, repeat, empty text, text from elsewhere, risk.
+    saved value). First match decides: missing detail, repeat, empty text, text from elsewhere, risk. The
+    command before is the last that ran; questions are taken as answered and risks as allowed.
     """
     c, els = F.col("command"), F.col("elements")
     e = element_of(els, c["target"])
     name = F.coalesce(F.nullif(e["label"], F.lit("")), c["target"])
-    s = with_repeats(steps, canonical(c)).withColumn("what", describe(c, e["label"])).withColumn("risk", risky(c, els))
     filled = F.try_element_at(e["attributes"], F.lit("filled"))
-    empty = (c["action"] == "type") & (T.trim_all(c["text"]) == "") & (filled.isNull() | filled.isin("", "skipped"))
-    foreign = (c["action"] == "type") & ~has_placeholder(c["text"]) & ~T.comes_from(c["text"], F.col("task"))
+    is_type = F.coalesce(c["action"] == "type", F.lit(False))
+    empty = is_type & F.coalesce(T.trim_all(c["text"]) == "", F.lit(False)) & (filled.isNull() | filled.isin("", "skipped"))
+    foreign = is_type & ~F.coalesce(has_placeholder(c["text"]), F.lit(False)) & ~F.coalesce(T.comes_from(c["text"], F.col("task")), F.lit(True))
+    asks = (F.size("missing") > 0) | foreign | F.coalesce(c["action"] == "ask_user", F.lit(False))
+    # After a question, and after a field's first skip, no command counts as the one before. An empty text
+    # that repeats what ran (the field was filled then) is a repeat and no skip.
+    w = _in_order()
+    marked = steps.withColumn("_same", canonical(c)).withColumn("_asks", asks).withColumn("_empty", empty & ~asks)
+    ran = F.coalesce(F.lag(F.when(~F.col("_asks") & ~F.col("_empty"), F.col("_same"))).over(w) == F.col("_same"), F.lit(False))
+    of_field = Window.partitionBy("session", c["target"])
+    skips = marked.withColumn("_skips", F.col("_empty") & ~ran).withColumn("_first", F.min(F.when(F.col("_skips"), F.col("step"))).over(of_field))
+    s = with_repeats(skips, F.col("_same"), F.col("_asks") | (F.col("_skips") & (F.col("_first") == F.col("step")))).drop("_same", "_asks", "_empty", "_skips", "_first")
+    s = s.withColumn("what", describe(c, e["label"])).withColumn("risk", risky(c, els))
     verdict = (
         F.when(F.size("missing") > 0, "needs_user")
         .when(F.col("is_repeat") & (F.col("repeats") <= MAX_REPEATS), "skip_repeat")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions import pii
@@ -46,14 +47,17 @@ def questions(spark, sf):
 
 
 def provenance(spark, sf):
-    """Does a piece of a turn, quoted, come from the first 200 characters of it?"""
-    typed = F.concat(F.lit('"'), F.substring("text", 150, 60), F.lit('!"'))
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.comes_from(typed, F.substring("text", 1, 200)).alias("from_task"))
+    """Was a turn typed, in quotes, from the words before? Even turns: their second half, from the turn; odd ones: the turn, from the turn before."""
+    c = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
+    own = F.col("turn") % 2 == 0
+    half = F.expr("substr(text, CAST(floor(length(text) / 2) AS INT) + 1)")
+    typed = F.concat(F.lit('"'), F.when(own, half).otherwise(F.col("text")), F.lit('!"'))
+    return c.select("conv_id", "turn", T.comes_from(typed, F.coalesce(F.when(own, F.col("text")).otherwise(F.col("before")), F.lit(""))).alias("from_task"))
 
 
 def text_forms(spark, sf):
-    t = F.substring("text", 1, 300)
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 50)).alias("slug"), T.ellipsis(t, 60).alias("label"), T.comparable(F.substring("text", 1, 80)).alias("norm"), F.length(T.page_text(F.col("text"))).alias("page_chars"), F.length(T.ask_text(F.col("text"))).alias("ask_chars"))
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", T.slug(t).alias("slug"), T.ellipsis(t, 60).alias("label"), F.md5(T.comparable(t)).alias("norm"), F.length(T.page_text(t)).alias("page_chars"), F.length(T.ask_text(t)).alias("ask_chars"))
 
 
 def sensitive_lines(spark, sf):
@@ -151,13 +155,17 @@ ORACLE_SQL = {
         CASE WHEN regexp_matches(url, '\?[^#]') THEN '?[REDACTED]' ELSE '' END, CASE WHEN regexp_matches(url, '#.') THEN '#[REDACTED]' ELSE '' END) AS url FROM pages""",
     "questions": f"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(regexp_replace(trim(text), '{_POLITE}', '', 'i'), '{_POLITE}', '', 'i'), '{_POLITE}', '', 'i') AS t FROM conversations)
       SELECT conv_id, turn, NOT regexp_matches(t, '{T._ACTION}') AND (contains(t, '?') OR regexp_matches(t, '{T._QUESTION}') OR regexp_matches(trim(text), '{T._QUESTION}')) AS question FROM t""",
-    "provenance": f"""WITH t AS (SELECT conv_id, turn, {_NORM.format("concat('\"', text[150:209], '!\"')")} AS a, {_NORM.format('text[1:200]')} AS b FROM conversations)
+    "provenance": f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations),
+      t AS (SELECT conv_id, turn, {_NORM.format("concat('\"', CASE WHEN turn % 2 = 0 THEN text[length(text) // 2 + 1:] ELSE text END, '!\"')")} AS a, {_NORM.format("coalesce(CASE WHEN turn % 2 = 0 THEN text ELSE before END, '')")} AS b FROM c)
       SELECT conv_id, turn, length(a) = 0 OR contains(b, a) AS from_task FROM t""",
-    "text_forms": f"""WITH t AS (SELECT doc_id, text, {_CUT.format('text[1:300]')} AS c FROM documents),
+    "text_forms": f"""WITH t AS (SELECT doc_id, text, {_CUT.format('text')} AS c FROM documents),
       p AS (SELECT *, regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS pt FROM t)
-      SELECT doc_id, regexp_replace(regexp_replace(lower(text[1:50]), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[1:40] AS slug, CASE WHEN length(c) <= 60 THEN c ELSE c[1:59] || '…' END AS label,
-        {_NORM.format('text[1:80]')} AS norm, least(15000, length(regexp_replace(pt, '^\\s+|\\s+$', '', 'g')))::INT AS page_chars,
+      SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[1:40] AS slug, CASE WHEN length(c) <= 60 THEN c ELSE c[1:59] || '…' END AS label,
+        md5({_NORM.format('text')}) AS norm, least(15000, length(regexp_replace(pt, '^\\s+|\\s+$', '', 'g')))::INT AS page_chars,
         CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 6000 THEN 6026 ELSE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) END::INT AS ask_chars FROM p""",
+    "pii_conversations": f"""WITH {_pii('conversations', 'conv_id, turn', '[REDACTED]', '[REDACTED]', '[REDACTED]')}
+      SELECT conv_id, turn, t3 AS masked, len(cards) + len(emails) + len(phones) > 0 AS redacted,
+             array_to_string(list_distinct(list_transform(list_sort(list_concat(list_transform(cards, lambda v: printf('%09d', strpos(t0, v)) || 'payment_card'), list_transform(emails, lambda v: printf('%09d', strpos(t0, v)) || 'email'), list_transform(phones, lambda v: printf('%09d', strpos(t0, v)) || 'phone'))), lambda x: x[10:])), ',') AS categories FROM h""",
     "leaks": "SELECT d.doc_id, b.item_id AS label FROM documents d JOIN (SELECT DISTINCT item_id, text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text)",
     "leaked_labels": "SELECT b.item_id AS label, count(*) AS texts FROM documents d JOIN (SELECT DISTINCT item_id, text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text) GROUP BY b.item_id",
     "rescan": f"{_DOCS} SELECT count(*) AS scanned, 0::BIGINT AS left_over FROM h WHERE len(cards) + len(emails) + len(phones) > 0",

@@ -55,38 +55,39 @@ def node(url: Column) -> Column:
     return F.concat(url_host(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
-def _absolute(target: Column, base: Column) -> Column:
-    """A link target as a url: with a scheme, by the base's scheme or host, or within its folder."""
-    t = F.trim(target)
-    scheme, origin = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+def _absolute(target: Column, scheme: Column, origin: Column, folder: Column) -> Column:
+    """A link target as a url: with a scheme, by its page's scheme or host, or within its page's folder."""
     return (
-        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
-        .when(F.startswith(t, F.lit("//")), F.concat(scheme, t))
-        .when(F.startswith(t, F.lit("/")), F.concat(origin, t))
-        .when(F.length(t) > 0, F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/"), t))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        .when(F.length(target) > 0, F.concat(folder, target))
     )
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    quoted = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*(F.regexp_extract(tag, quoted, i) for i in (1, 2, 3)))
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(quoted, r"""^["']|["']$""", "")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): nodes of a page's url and of what its canonical link or refresh header names."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)
-    named = (
-        pages.where(F.col("html").rlike("(?i)canonical|http-equiv"))
-        .select("url", F.explode(tags).alias("tag"))
-        .withColumn("rel", lower_ascii(_attribute(F.col("tag"), "rel")))
-        .withColumn("header", lower_ascii(_attribute(F.col("tag"), "http-equiv")))
-        .where("rel = 'canonical' OR header = 'refresh'")
-        .withColumn("content", _attribute(F.col("tag"), "content"))
-        .withColumn("target", F.when(F.col("rel") == "canonical", _attribute(F.col("tag"), "href")).otherwise(F.regexp_extract("content", r"(?is)url\s*=\s*'?([^']*)", 1)))
-        .withColumn("target", _absolute(F.col("target"), F.col("url")))
-    )
-    return named.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")).where("b IS NOT NULL AND a <> b AND a <> '' AND b <> ''")
+
+    def named_by(tag: Column) -> Column:
+        canonical, refresh = lower_ascii(_attribute(tag, "rel")) == "canonical", lower_ascii(_attribute(tag, "http-equiv")) == "refresh"
+        later = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*'?([^']*)", 1)
+        return F.trim(F.when(canonical, _attribute(tag, "href")).when(refresh, later))
+
+    # What a page's own url gives is taken once a page, and each tag is read once: nothing is expanded into long code.
+    url = F.col("url")
+    folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    pages_tags = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select(
+        node(url).alias("a"), F.regexp_extract(url, r"(?s)^(.*?:)//", 1).alias("scheme"), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1).alias("origin"),
+        F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/")).alias("folder"), F.explode(F.transform(tags, named_by)).alias("target"),
+    )
+    found = pages_tags.where("target IS NOT NULL").select("a", F.explode(F.array(_absolute(F.col("target"), F.col("scheme"), F.col("origin"), F.col("folder")))).alias("to"))
+    return found.select("a", node(F.col("to")).alias("b")).where("b IS NOT NULL AND a <> b AND a <> '' AND b <> ''")
 
 
 def judge_pages(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:

@@ -141,16 +141,16 @@ def _places(histogram: dict[int, int], capacity: int):
     return np.array(sorted(rows), np.int64).reshape(-1, 5), sequence
 
 
-def _look_up(places: np.ndarray, length_name: str, number_name: str):
+def _look_up(places: np.ndarray):
     keys = places[:, 0] << 44 | places[:, 1]
 
     def run(batches):
         for batch in batches:
-            number, length = batch[number_name].to_numpy(), batch[length_name].to_numpy()
+            number, length = batch.column("number").to_numpy(), batch.column("length").to_numpy()
             _, first, copies, sequence, offset = places[np.searchsorted(keys, length << 44 | number, side="right") - 1].T
             k = number - first
-            batch["sequence_id"], batch["offset"] = sequence + k // copies, offset + k % copies * length
-            yield batch.drop(columns=number_name)
+            own = [batch.column(i) for i in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence + k // copies), pa.array(offset + k % copies * length)], names=[*batch.schema.names[:-2], "sequence_id", "offset"])
 
     return run
 
@@ -171,9 +171,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # As many buckets for each length as its pieces need: one length may be most of them.
     buckets = F.get(F.lit([buckets_for(counts.get(x, 0)) if counts.get(x, 0) > 50_000 else 1 for x in range(capacity + 1)]), named(length).cast("int"))
     short = number_rows(held.where(named(length) < capacity), [length], row, number, buckets)
-    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    ordered = short.select(*all_of(kept), F.col(number))
-    packed = ordered.mapInPandas(_look_up(places, length, number), f"{columns}, sequence_id long, offset long")
+    # Python sees the columns by their places, so that any names will do.
+    safe = [f"c{i}" for i in range(len(kept.columns))]
+    columns = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(safe, kept.schema))
+    ordered = short.select(*(c.alias(n) for c, n in zip(all_of(kept), safe)), named(length).cast("long").alias("length"), F.col(number).alias("number"))
+    packed = ordered.mapInArrow(_look_up(places), f"{columns}, sequence_id long, offset long").toDF(*kept.columns, "sequence_id", "offset")
     return full.unionByName(packed)
 
 

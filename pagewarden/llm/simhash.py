@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewarden.llm._common import connected_components, written
+from pagewarden.llm._common import all_of, connected_components, fresh, named, written
 
 MAX_BITS = 2
 SHINGLE_WORDS = 3
@@ -196,7 +196,7 @@ def find_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     doc_id reachable. Null and wordless texts have fingerprint zero and are linked like any other. Rows
     without a doc_id get a component but neither name nor bridge one; an empty table gives no rows.
     """
-    fps = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
+    fps = written(docs.select(named(doc_id).alias("doc_id"), fingerprint(named(text)).alias("fp")), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = connected_components(near_links(nodes.where("rep IS NOT NULL")))
     by_fp = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -204,10 +204,11 @@ def find_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns.
+    """The documents whose doc_id names their component, with all their columns, whatever their names.
 
     The ids to drop are a written table: Spark broadcasts it if its size is under the session's
     threshold and shuffles otherwise. Rows without a doc_id stay.
     """
-    gone = written(find_components(docs, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "dropped")
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    dropped = written(find_components(docs, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)), "dropped")
+    return docs.join(dropped, named(doc_id) == F.col(gone), "left_anti").select(*all_of(docs))

@@ -226,26 +226,54 @@ def test_shortages_go_to_siblings_first():
     assert sum(mixing.split_budget(room, lambda p: 1.0, 1e9).values()) == sum(room.values())
 
 
-def test_mixture_meets_budgets(spark, sf, odd, nothing):
+def test_a_shortage_below_a_zero_weight_goes_up():
+    room = {("a", "x", "1"): 10.0, ("a", "y", "1"): 500.0, ("b", "x", "1"): 1000.0}
+    got = mixing.split_budget(room, lambda p: 0.0 if p[:2] == ("a", "y") else 1.0, 200)
+    assert got == pytest.approx({("a", "x", "1"): 10, ("a", "y", "1"): 0, ("b", "x", "1"): 190})
+
+
+def test_budgets_in_tables_are_those_of_the_driver(spark):
+    rng = random.Random(9)
+    for k in range(3):
+        weight = lambda p: [0.0, 0.5, 1.0, 2.0, 4.0][zlib.crc32(repr((k, p)).encode()) % 5]  # noqa: E731, B023
+        room = {(f"d{rng.randrange(3)}", f"l{rng.randrange(3)}", f"s{i}"): float(rng.randrange(0, 500)) for i in range(40)}
+        for amount in (0.0, 0.3 * sum(room.values()), 2.0 * sum(room.values())):
+            want = mixing.split_budget(room, weight, amount)
+            leaves = spark.createDataFrame([(*p, c) for p, c in room.items()], "domain string, lang string, source string, capacity double")
+            got = {tuple(r[:3]): r["budget"] for r in mixing.budget_table(leaves, weight, amount).collect()}
+            assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("leaves", [100_000, 0])
+def test_mixture_meets_budgets(spark, sf, odd, nothing, monkeypatch, leaves):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "LEAVES", leaves)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    all_rows = docs.collect()
+    orders = [mixing._order(F.lit(e), F.col("doc_id"), mixing.SEED).alias(f"e{e}") for e in (0, 1)]
+    all_rows = docs.select("*", *orders).collect()
     count = lambda t: len(__import__("re").findall(r"[^\x20\x09-\x0D]+", t or ""))
-    tokens, longest = Counter(), Counter()
+    tokens, by_leaf = Counter(), defaultdict(list)
     domain = lambda s: "d" + str(int(__import__("re").search(r"(\d*)$", s).group(1) or 0) % 4)
     for r in all_rows:
         leaf = (domain(r["source"]), r["lang"], r["source"])
         tokens[leaf] += count(r["text"])
-        longest[leaf] = max(longest[leaf], count(r["text"]))
+        by_leaf[leaf].append(r)
     budget = mixing.split_budget({k: 2.0 * t for k, t in tokens.items()}, mixing.default_weight, 0.6 * sum(tokens.values()))
-    got, seen = Counter(), Counter()
-    for r in mixing.mix_documents(docs).collect():
-        assert r["mix_tokens"] == count(r["text"])
-        got[(r["mix_domain"], r["lang"], r["source"])] += r["mix_tokens"]
-        seen[r["doc_id"]] += 1
-        assert r["mix_epoch"] in (0, 1)
-    for leaf in tokens:
-        assert budget[leaf] - longest[leaf] <= got[leaf] <= budget[leaf] + 1e-6
-    assert max(seen.values()) <= 2
+    # A leaf takes whole epochs, then documents by their seeded hashes until the next one would exceed what is left.
+    want = Counter()
+    for leaf, rows in by_leaf.items():
+        whole, left = int(budget[leaf] // tokens[leaf]), budget[leaf] % tokens[leaf]
+        for e in range(whole):
+            want.update((r["doc_id"], e) for r in rows)
+        for r in sorted(rows, key=lambda r: r[f"e{whole}"]) if whole < 2 else ():
+            left -= count(r["text"])
+            if left < 0:
+                break
+            want[(r["doc_id"], whole)] += 1
+    got = mixing.mix_documents(docs).collect()
+    assert Counter((r["doc_id"], r["mix_epoch"]) for r in got) == want
+    assert all(r["mix_tokens"] == count(r["text"]) and r["mix_domain"] == domain(r["source"]) for r in got)
     mixed = mixing.mix_documents(odd, fraction=1.0)
     assert set(mixed.columns) == {*odd.columns, "mix_domain", "mix_tokens", "mix_epoch"} and mixed.count() > 0
     assert mixing.mix_documents(nothing).collect() == []
@@ -305,6 +333,46 @@ def test_aliases_take_block_decisions(spark):
     assert url_filters.judge_pages(more.where("false")).collect() == []
 
 
+def test_aliases_against_union_find(spark):
+    """Random pages whose canonical links and refreshes name each other, in several forms."""
+    rng, hosts = random.Random(12), ["a.org", "b.org", "x.net", "y.net", "q.io", "shop.com"]
+    paths = ["/en/1", "/es/2", "/fr/3", "/", "/k/7", "/k/8", "/k/9"]
+    nodes = [h + p for h in hosts for p in paths]
+    rows, edges = [], []
+    for i in range(24):
+        own, to = rng.choice(nodes), rng.choice(nodes)
+        href = rng.choice(["https://" + to, "//" + to])
+        head = rng.choice([f'<link rel="canonical" href="{href}">', f"<LINK href='{href}' rel=canonical>", f'<meta http-equiv="Refresh" content="0; url=https://{to}">', f'<link rel="stylesheet" href="{href}">', ""])
+        if head and "stylesheet" not in head:
+            edges.append((own, to))
+        rows.append(page(i, "http://" + own + rng.choice(["", "#top"]), head))
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def rule_of(n):
+        host, path = n.split("/", 1)
+        fits = [(len(h + p), v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    for x, y in edges:
+        parent[find(x)] = find(y)
+    classes = defaultdict(set)
+    for n in {n for e in edges for n in e}:
+        classes[find(n)].add(rule_of(n))
+    want = {}
+    for i, url, _ in rows:
+        n = url.split("://")[1].split("#")[0]
+        seen = classes[find(n)]
+        want[i] = rule_of(n) or ("allow" if "allow" in seen else "block" if "block" in seen else "allow")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge_pages(df).collect()} == want
+    assert "block" in want.values() and any(rule_of(u.split("://")[1].split("#")[0]) is None and want[i] == "block" for i, u, _ in rows)
+
+
 # neighbours
 
 
@@ -338,6 +406,40 @@ def test_recall_and_ties(spark, sf):
     assert ann_additive.nearest(df.where("false"), F.lit(True)).collect() == []
 
 
+def test_recall_over_several_blocks(spark):
+    """24,000 distinct vectors around 400 centres, of norms within a factor of a hundred: three blocks, a rerank of 160 in all."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 32))[rng.integers(0, 400, 24_000)] + 0.4 * rng.normal(size=(24_000, 32))
+    x = (x * 10 ** rng.uniform(-1, 1, (24_000, 1))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = np.arange(0, 24_000, 80)
+    got = defaultdict(list)
+    for r in sorted(ann_additive.nearest(df, F.col("vec_id") % 80 == 0, 20).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in queries:
+        score = ann_additive.exact_products(x[q], x)
+        best = [j for j in np.lexsort((np.arange(len(x)), -score)) if j != q][:20]
+        hits += len({j for j, _ in got[q]} & set(best))
+        assert all(v == score[j] for j, v in got[q]) and len(got[q]) == 20
+    assert hits >= 0.95 * 20 * len(queries), hits / 20 / len(queries)
+
+
+def test_components_of_any_finite_size(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-30, 31)).tolist()) for i in range(600)] + [(600, [1e39] + [0.0] * 7), (601, [1e150] * 8), (602, [5e-324] + [0.0] * 7)]
+    got = ann_additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    want = brute_nearest(rows, 20)
+    found = defaultdict(set)
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    assert found.keys() == want.keys() and np.mean([len(found[q] & {j for j, _ in w}) / 20 for q, w in want.items()]) >= 0.95
+
+
 # pipeline
 
 

@@ -234,11 +234,25 @@ def _sql_spans() -> str:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """pii_spans(text), pii_mask(text) and box_iou(8 doubles) for SQL, as SQL functions that Catalyst inlines."""
+    """pii_spans(text), pii_mask(text), scrub_url(url) and box_iou(8 doubles) for SQL, as SQL functions that Catalyst inlines."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(t STRING) RETURNS array<{SPAN}> RETURN ({_sql_spans()})")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION pii_mask(t STRING) RETURNS STRING RETURN aggregate(pii_spans(t), named_struct('out', '', 'at', 0), "
         f"(acc, s) -> named_struct('out', concat(acc.out, substr(t, acc.at + 1, s.start - acc.at), '{REDACTED}'), 'at', s.end), acc -> concat(acc.out, substr(t, acc.at + 1)))"
     )
+    # The steps of scrub_url above as one SQL expression; masks are pii_mask's.
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION _scrubbed(u STRING, scheme STRING, host STRING, port STRING, path STRING, query STRING, ref STRING) RETURNS STRING RETURN "
+        "IF(scheme IS NULL OR host IS NULL, pii_mask(u), concat("
+        "IF(scheme IN ('http', 'https', 'ws', 'wss', 'ftp'), concat(scheme, '://', host, IF(port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443'), '', concat(':', port))), 'null'), "
+        "pii_mask(IF(scheme IN ('http', 'https', 'ws', 'wss', 'ftp') AND path = '', '/', coalesce(try_url_decode(replace(path, '+', '%2B')), path))), "
+        f"IF(coalesce(query, '') <> '', '?{REDACTED}', ''), IF(coalesce(ref, '') <> '', '#{REDACTED}', '')))"
+    )
+    part = lambda p: f"try_parse_url(u, '{p}')"
+    port = f"regexp_extract({part('AUTHORITY')}, r':(\\d+)$', 1)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION scrub_url(u STRING) RETURNS STRING RETURN "
+        f"_scrubbed(u, lower({part('PROTOCOL')}), lower({part('HOST')}), {port}, {part('PATH')}, {part('QUERY')}, {part('REF')})"
+    )
     names = ", ".join(f"{n} DOUBLE" for n in ("ax", "ay", "aw", "ah", "bx", "by", "bw", "bh"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION box_iou({names}) RETURNS DOUBLE RETURN ({_IOU})")

@@ -103,3 +103,14 @@ def test_masked_documents_scan_clean(spark, sf):
     docs = pii.with_spans(spark.read.parquet(f"{sf}/documents.parquet"), "text").where("size(spans) > 0")
     again = docs.select(pii.mask_labelled(F.col("text"), F.col("spans")).alias("t")).select(F.size(pii.pii_spans(F.col("t"))).alias("n"))
     assert docs.count() > 0 and again.where("n > 0").count() == 0
+
+
+def test_urls_in_sql_as_in_columns(spark):
+    pii.register_sql(spark)
+    urls = [
+        "https://Shop.example.net:443/a/b?x=1#y", "http://h.example:8080", "http://h.example:80/p%20q/jane.doe@example.com", "https://e.org/+44%2020%207946%200958/", "ftp://f.example/x?", "about:blank", "no url, call (415) 555-0132", "", None,
+        "https://e.org/%zz?q", "custom://host/path#f",
+    ]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    both = df.select("i", pii.scrub_url(F.col("url")).alias("a"), F.expr("scrub_url(url)").alias("b")).collect()
+    assert [r["a"] for r in sorted(both)] == [r["b"] for r in sorted(both)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewarden.llm._common import connected_components, written
+from pagewarden.llm._common import Written, connected_components, written
 from pagewarden.llm._minhash import mix
 
 BLOOM_KEYS = 64_000_000  # band keys that one filter of 64 MB serves; beyond them every key is shuffled
@@ -244,17 +244,24 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
     ``items`` (id binary, rank long, bands binary: packed keys) has each id once, in ``rows`` rows at most; of a bucket the smallest rank leads.
     ``texts_of`` gives (id, text), each id once, for a table of ids.
     """
-    entries = written(shared_bands(items, bands, rows), "entries")
+    own: list[Written] = []
+
+    def hold(df: DataFrame, label: str) -> DataFrame:
+        """Written for this call alone; deleted at its end."""
+        own.append(Written(df, label))
+        return own[-1].df
+
+    entries = hold(shared_bands(items, bands, rows), "entries")
     # Two leaders a bucket: its smallest rank, and one by a hash, for families whose first is far from the others.
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot band.
     by_hash = F.struct(F.xxhash64("id", F.lit(5)).alias("by"), "id")
     leaders = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("first"), F.min(by_hash).alias("other"))
-    buckets = written(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), F.col("other.id").alias("other")), "buckets")
-    members = written(entries.join(buckets, "band").select("band", "id", "first", "other"), "members")
-    wanted = written(members.select("id").distinct(), "wanted")
+    buckets = hold(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), F.col("other.id").alias("other")), "buckets")
+    members = hold(entries.join(buckets, "band").select("band", "id", "first", "other"), "members")
+    wanted = hold(members.select("id").distinct(), "wanted")
     columns = ["size", *(f"o{i}" for i in range(longs))]
     sketched = texts_of(wanted).mapInArrow(_sketch(hashes, longs), "id binary, text string, " + ", ".join(f"{c} long" for c in columns))
-    texts = written(sketched, "texts")
+    texts = hold(sketched, "texts")
     marks = texts.select("id", F.struct(*columns).alias("mark"))
     jaccard = _similarity(hashes)
 
@@ -262,27 +269,31 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
         return sizes_allow(F.col(f"{a}.size"), F.col(f"{b}.size"), similarity) & sketches_allow(a, b, similarity, longs)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        named = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+        named = hold(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
         # Few texts are verified; their ids are broadcast only if they are known to be few.
-        own = texts.select("id", "text").join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "id", "left_semi")
-        one = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        few = texts.select("id", "text").join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "id", "left_semi")
+        one = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        two = one.join(few.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return two.where(jaccard("text_a", "text_b") >= similarity).drop("text_a", "text_b")
 
-    star = members.select(F.col("id").alias("a"), F.explode(F.array("first", "other")).alias("b")).where("a <> b").distinct()
+    leaders_of = F.array_except(F.array("first", "other"), F.array("id"))
+    met = members.select("id", F.explode(leaders_of).alias("leader"))
+    star = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
     marked = star.join(marks.select(F.col("id").alias("a"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("mark").alias("mb")), "b")
-    near = written(marked.where(allowed("ma", "mb")).select("a", "b"), "star")
+    near = hold(marked.where(allowed("ma", "mb")).select("a", "b"), "star")
     joined = written(connected_components(verified(near)), "joined")
-    placed = written(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
-    mixed = written(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
+    placed = hold(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    mixed = hold(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
     own_bands = F.collect_list("band").over(Window.partitionBy("id"))  # ``bands`` at most
-    told = written(placed.join(mixed, "band", "left_semi").join(marks, "id").withColumn("bands", own_bands), "told")
+    told = hold(placed.join(mixed, "band", "left_semi").join(marks, "id").withColumn("bands", own_bands), "told")
     left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("ma"), F.col("bands").alias("bands_a"))
     right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mb"), F.col("bands").alias("bands_b"))
     # A pair that shares several bands meets in the smallest of them only.
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    pairs = written(left.join(right, "band").where(F.col("ca") < F.col("cb")).where(allowed("ma", "mb")).where(once).select("a", "b", "ca", "cb"), "pairs")
+    pairs = hold(left.join(right, "band").where(F.col("ca") < F.col("cb")).where(allowed("ma", "mb")).where(once).select("a", "b", "ca", "cb"), "pairs")
     # What is left joins components, not their members.
     over = written(connected_components(verified(pairs).select("ca", "cb")).select(F.col("node").alias("from"), F.col("component").alias("to")), "over")
+    for table in own:
+        table.drop()
     moved = joined.join(over, joined["component"] == over["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
     return moved.unionByName(over.select(F.col("from").alias("node"), F.col("to").alias("component")))

@@ -130,9 +130,10 @@ def _signed(batches):
                 counts += [len(found)] + [None] * (len(found) - 1)
             keys = np.concatenate([band_keys([x or "" for x in lines[j : j + 512]]) for j in range(0, len(lines), 512)])
             ids = [None if x is None else line_id(x) for x in lines]
+            h1 = np.frombuffer(b"".join(x or bytes(16) for x in ids), ">i8")[::2].astype(np.int64)
             taken = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array([None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in ids], pa.int64()), pa.array(counts, pa.int64()), pack_keys(keys)],
+                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(h1), pa.array(counts, pa.int64()), pack_keys(keys)],
                 names=["_row", "doc_id", "pos", "id", "h1", "lines", "bands"],
             )
 

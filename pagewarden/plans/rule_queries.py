@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewarden import schema, sources, streaming
 from pagewarden.functions import boxes as B
 from pagewarden.functions import pii
+from pagewarden.functions import text as T
 from pagewarden.functions import values as V
 from pagewarden.operators import captures as C
 from pagewarden.operators import pages as P
@@ -257,7 +258,24 @@ _LINE = r"coalesce(" + _FIRST + r", CASE WHEN regexp_matches(t0, '\d([\s-]?\d){8
 _SHOWN = "CASE c WHEN 'payment_card' THEN '[HIDDEN CARD NUMBER]' WHEN 'email' THEN '[HIDDEN EMAIL]' WHEN 'phone' THEN '[HIDDEN PHONE]' WHEN 'pii_text' THEN '[HIDDEN NUMBER]' ELSE t0 END"
 _CLIPPED = "greatest(x, 0) AS cx, greatest(y, 0) AS cy, least(x + width, 220) - greatest(x, 0) AS cw, least(y + height, 90) - greatest(y, 0) AS ch"
 
+_TITLE = f"(WITH {_pii('(SELECT conv_id, turn, text[1:60] AS text FROM conversations)', 'conv_id, turn', *['[REDACTED]'] * 3)} SELECT conv_id, turn, t3 AS title FROM h)"
+_BODY = f"(WITH {_pii('conversations', 'conv_id, turn')} SELECT conv_id, turn, t3 AS body FROM h)"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_PAGE = "concat('Page: \"', CASE WHEN length({0}) <= 80 THEN {0} ELSE {0}[1:79] || '…' END, '\" (https://chat.example.org/c/', conv_id, '?[REDACTED])')".format("trim(regexp_replace(title, '\\s+', ' ', 'g'))")
+_HELD = f"(SELECT c.conv_id, c.turn, c.text, {_STRIP.format('c.text')} AS task, title, body, {_STRIP.format('body')} AS shown FROM conversations c JOIN {_TITLE} t USING (conv_id, turn) JOIN {_BODY} b USING (conv_id, turn))"
+_CLICKED = 'Already clicked: "Submit order". Do not click these again unless the task asks for more than one or a page message says it is still needed.'
+
 ORACLE_SQL = {
+    "sanitised_texts": f"""SELECT conv_id::VARCHAR AS "sessionId", turn::INT AS "stepIndex", title, body AS "pageText" FROM {_TITLE} JOIN {_BODY} USING (conv_id, turn)""",
+    "action_prompts": f"""SELECT conv_id::VARCHAR AS "sessionId", turn::INT AS "stepIndex", concat_ws(chr(10), concat('Task: ', CASE WHEN task = '' THEN '(none given)' ELSE task END), '', {_PAGE},
+        'Viewport: 640x480 CSS px. Locations are approximate: a 3x3 grid word, then x, y, width, height.', concat('Step: ', turn), 'Previous actions (all already done successfully):', '  1. click el_1 "Submit order"', '{_CLICKED}',
+        'Saved details (values hidden; type one by using its placeholder as the text):', '  {{{{email}}}} = Email', 'Empty fields still to fill, in order (fill the first one that has a matching saved detail):', '  el_0 "Search"',
+        'Redacted regions: 1 area(s) hidden for privacy; their contents are unavailable.', CASE WHEN turn % 2 <> 0 THEN 'Screenshot: not provided; rely on the element list.' END, '', 'UI elements (id | role | label | location [notes]):',
+        'el_0 | textbox | "Search" | top-left (x=0, y=0, w=30, h=20) [type=text]', 'el_1 | button | "Submit order" | top-left (x=40, y=30, w=30, h=20) [type=submit]', '(1 more elements omitted)', '',
+        'Choose the single next action. Reply with ONLY the JSON object.') AS prompt FROM {_HELD}""",
+    "question_prompts": f"""SELECT conv_id::VARCHAR AS "sessionId", turn::INT AS "stepIndex", concat_ws(chr(10), concat('Question: ', CASE WHEN task = '' THEN 'Describe this page.' ELSE task END), '', {_PAGE},
+        concat('Hidden on the user''s device before sending: ', CASE WHEN turn % 2 = 0 THEN '1 face.' ELSE '1 email address.' END), '', 'Buttons, links and fields on screen:', '  - textbox (text): Search', '  - button: Submit order', '',
+        CASE WHEN shown = '' THEN 'Visible page text: not provided.' ELSE concat('Visible page text:', chr(10), '\"\"\"', chr(10), CASE WHEN length(shown) > 6000 THEN shown[1:6000] || {"'" + T.ASK_TEXT_MARK.replace("'", "''") + "'"} ELSE shown END, chr(10), '\"\"\"') END, '', 'Answer the question.') AS prompt FROM {_HELD}""",
     "sensitive_lines": f"WITH {_pii(_LINES, 'doc_id, i')}, s AS (SELECT doc_id, {_LINE} AS category FROM h) SELECT doc_id, category, count(*) AS lines FROM s WHERE category IS NOT NULL GROUP BY ALL",
     "hidden_lines": f"WITH {_pii(_LINES, 'doc_id, i')}, s AS (SELECT doc_id, i, t0, {_LINE} AS c FROM h) SELECT doc_id, string_agg({_SHOWN}, chr(10) ORDER BY i) AS shown FROM s GROUP BY doc_id",
     "typed_values": """WITH t AS (SELECT c_custkey, c_custkey % 7 AS k, c_custkey % 3 AS v, c_custkey % 5 = 0 AS own FROM customer)

@@ -292,6 +292,18 @@ ORACLE_SQL = {
              WHEN verdict = 'stopped' THEN 'The agent kept proposing the same action (' || what || '), so it was stopped.' WHEN text = '' THEN 'Left "' || label || '" empty.'
              WHEN text = 'hotels' THEN 'The agent wanted to type "hotels", which is not in your task, so nothing was typed.' WHEN action = 'click' AND target = 'el_1' THEN 'Click "Submit order"' END AS message
       FROM walk JOIN q USING (session, step)""",
+    "task_log": f"""WITH RECURSIVE s AS (SELECT *, CASE WHEN action = 'type' THEN {_TEXT} END AS text, action = 'type' AND event_id % 8 = 2 AS miss FROM {_S}),
+      q AS (SELECT *, concat_ws('|', action, target, text) AS k FROM s),
+      walk AS (
+        SELECT session, -1 AS place, 0 AS step, NULL::VARCHAR AS previous, []::VARCHAR[] AS skipped, 0 AS repeats, 'running' AS status, NULL::VARCHAR AS verdict FROM (SELECT DISTINCT session FROM q)
+        UNION ALL
+        SELECT session, place, CASE WHEN verdict = 'ignored' THEN was ELSE was + 1 END, CASE verdict WHEN 'skip_field' THEN CASE WHEN list_contains(skipped, target) THEN k END WHEN 'run' THEN k ELSE previous END,
+               CASE WHEN verdict = 'skip_field' AND NOT list_contains(skipped, target) THEN list_append(skipped, target) ELSE skipped END, CASE WHEN verdict = 'skip_repeat' THEN repeats + 1 ELSE repeats END,
+               CASE WHEN verdict = 'ignored' THEN status WHEN verdict = 'stopped' THEN 'stopped' WHEN verdict = 'vetoed' THEN 'needs_user' WHEN verdict = 'run' AND action = 'noop' THEN 'stopped' WHEN was + 1 >= 25 THEN 'max_steps' ELSE 'running' END, verdict
+        FROM (SELECT q.session, q.step AS place, q.k, q.target, q.action, w.step AS was, w.previous, w.skipped, w.repeats, w.status,
+                CASE WHEN w.status <> 'running' THEN 'ignored' WHEN w.previous = q.k AND w.repeats < 2 THEN 'skip_repeat' WHEN w.previous = q.k THEN 'stopped' WHEN q.text = '' THEN 'skip_field' WHEN q.miss THEN 'vetoed' ELSE 'run' END AS verdict
+              FROM walk w JOIN q ON q.session = w.session AND q.step = w.place + 1))
+      SELECT session::VARCHAR AS session, (CASE WHEN verdict = 'ignored' THEN step ELSE step - 1 END)::INT AS step, verdict, status, repeats::INT AS repeats FROM walk WHERE place >= 0""",
     "mock_policy": f"""SELECT CASE WHEN step >= 5 THEN 'done' ELSE 'click' END AS action, CASE WHEN step < 5 THEN 'el_1' END AS target,
       CASE WHEN step >= 5 THEN 'Mock reasoner stops after 5 steps.' ELSE '[mock] clicking first candidate button ''Submit order''' END AS words, count(*) AS n FROM {_S} GROUP BY ALL""",
     "kept_elements": f"SELECT CASE WHEN event_id % 2 = 0 THEN 'el_1,el_0' ELSE 'el_0,el_1' END AS kept, 1 AS omitted, count(*) AS n FROM {_S} GROUP BY 1",

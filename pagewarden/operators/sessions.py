@@ -159,7 +159,8 @@ def gate(steps: DataFrame, auto_confirm: bool = False) -> DataFrame:
     ran = F.coalesce(F.lag(F.when(~F.col("_asks") & ~F.col("_empty"), F.col("_same"))).over(w) == F.col("_same"), F.lit(False))
     of_field = Window.partitionBy("session", c["target"])
     skips = marked.withColumn("_skips", F.col("_empty") & ~ran).withColumn("_first", F.min(F.when(F.col("_skips"), F.col("step"))).over(of_field))
-    s = with_repeats(skips, F.col("_same"), F.col("_asks") | (F.col("_skips") & (F.col("_first") == F.col("step")))).drop("_same", "_asks", "_empty", "_skips", "_first")
+    # A question that equals the command before is no repeat and leaves the budget as it is.
+    s = with_repeats(skips, F.when(F.size("missing") == 0, F.col("_same")), F.col("_asks") | (F.col("_skips") & (F.col("_first") == F.col("step")))).drop("_same", "_asks", "_empty", "_skips", "_first")
     s = s.withColumn("what", describe(c, e["label"])).withColumn("risk", risky(c, els))
     verdict = (
         F.when(F.size("missing") > 0, "needs_user")

@@ -185,15 +185,20 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     hashes, f = _hash_table(docs, {"_id": named(doc_id)}, text)
     maybe, _ = f.split(hashes)
-    groups = written(maybe.groupBy("_sha").agg(F.count("*").alias("n"), F.max(F.struct("_id")).alias("keep")).where("n > 1"), "repeated")
+    groups = written(maybe.groupBy("_sha").agg(F.max(F.struct("_id")).alias("keep")).select("_sha", F.col("keep._id").alias("_id")), "repeated")
     sha, h, winner, keep_sha, first = fresh(docs, "sha", "h", "winner", "keep_sha", "first")
-    # One filter of the repeated hashes, of 32 MB at most whatever their number, over one reading of the texts.
-    segments = min(_segments_for(groups.count()), _segments_for(SLICE_ROWS))
-    held = written(_filter_segments(groups.select(_hash(F.col("_sha")).alias("h")), segments, hits=1), "repeated-bits")
     marked = docs.select("*", text_sha256(named(text)).alias(sha)).withColumn(h, _hash(F.col(sha)))
-    rows, unique = _split(marked, h, held, segments)
-    joined = rows.join(groups.select(F.col("_sha").alias(keep_sha), F.col("keep._id").alias(winner)), F.col(sha) == F.col(keep_sha), "left")
-    alone = joined.where(F.col(keep_sha).isNull())
-    of_group = joined.where(F.col(keep_sha).isNotNull() & named(doc_id).eqNullSafe(F.col(winner)))
-    one = of_group.withColumn(first, F.row_number().over(Window.partitionBy(sha).orderBy(F.monotonically_increasing_id()))).where(F.col(first) == 1)
-    return unique.select(*all_of(docs)).unionByName(alone.select(*all_of(docs))).unionByName(one.select(*all_of(docs)))
+    keep = groups.select(F.col("_sha").alias(keep_sha), F.col("_id").alias(winner))
+    same = F.col(sha) == F.col(keep_sha)
+    if f.slices == 1:
+        rows, unique = _split(marked, h, f.filters[0], f.segments)
+        stay = rows.join(keep, same & named(doc_id).eqNullSafe(F.col(winner)), "left_semi")
+    else:
+        # One filter of the groups' hashes, of 32 MB whatever their number, over one reading of the texts. What it lets
+        # through without a group is unique too.
+        segments = min(_segments_for(groups.count()), _segments_for(SLICE_ROWS))
+        held = written(_filter_segments(groups.select(_hash(F.col("_sha")).alias("h")), segments, hits=1), "group-bits")
+        rows, unique = _split(marked, h, held, segments)
+        stay = rows.join(keep, same, "left").where(F.col(keep_sha).isNull() | named(doc_id).eqNullSafe(F.col(winner))).drop(keep_sha, winner)
+    one = stay.withColumn(first, F.row_number().over(Window.partitionBy(sha).orderBy(F.monotonically_increasing_id()))).where(F.col(first) == 1)
+    return unique.select(*all_of(docs)).unionByName(one.select(*all_of(docs)))

@@ -11,6 +11,7 @@ table of combinations, which is bounded by the capacity too.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -49,6 +50,23 @@ def _encoder(name: str):
     return held[key]
 
 
+@functools.cache
+def _whole_file(name: str):
+    """The same vocabulary as tokenizers loads it; only for texts that the fast encoder refuses."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path(f"{name}.json"))
+
+
+def ids_of(text: str, name: str) -> np.ndarray:
+    """A whole text's ids. Runs of some million blanks exhaust the fast encoder's pattern; such a text goes to tokenizers."""
+    try:
+        return _encoder(name).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(_whole_file(name).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of one document's ids; the first piece takes what is over."""
     ids = np.ascontiguousarray(ids, "<u4")
@@ -59,13 +77,12 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]
 
 def _tokenise(capacity: int, tokenizer: str, schema: pa.Schema):
     def run(batches):
-        encode = _encoder(tokenizer).encode_to_numpy
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 index, rows = [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    own = pieces_of(np.append(encode(text or "", allowed_special="all"), END_OF_DOCUMENT), capacity)
+                    own = pieces_of(np.append(ids_of(text or "", tokenizer), END_OF_DOCUMENT), capacity)
                     rows += own
                     index += [i] * len(own)
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
@@ -184,6 +201,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
 
     A document is its ids and one end id (0); null texts count as empty and are the end id alone. Only
     documents over the capacity are cut. The tokenizer's added tokens (<|endoftext|>) are one id
-    each wherever their strings occur, as in its file. Repeated documents are packed once each; an empty table gives no rows.
+    each wherever their strings occur, as in its file. Texts of any length are encoded whole, runs of millions of blanks too. Repeated documents are packed once each; an empty table gives no rows.
     """
     return pack(cut_documents(docs, capacity, tokenizer, text, doc_id), capacity)

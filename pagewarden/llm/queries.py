@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, mixing, packing, quality_gam, sharding, simhash, url_filters
+from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, mixing, packing, quality_gam, quality_rules, sharding, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")), "doc_id")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op13_quality_rules": op13_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op7_license_scan": op7_license_scan,
     "op1_ann_additive": op1_ann_additive,
@@ -68,7 +73,56 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+def _rules_sql() -> str:
+    fences = []
+    for name, (least, both) in quality_rules.MEASURES.items():
+        reach = quality_rules.REACH
+        fences.append(f"max(CASE WHEN measure = '{name}' THEN {f'q25 - {reach} * greatest(q50 - q25, {least})' if both else '0'} END) AS {name}_low")
+        fences.append(f"max(CASE WHEN measure = '{name}' THEN q75 + {reach} * greatest(q75 - q50, {least}) END) AS {name}_high")
+    of = lambda level: f"""
+        SELECT lang, source, max(n) AS n, {', '.join(fences)} FROM (
+          SELECT lang, source, measure, max(n) AS n, min(CASE WHEN 100 * upto >= 25 * n THEN bucket END) AS q25,
+                 min(CASE WHEN 100 * upto >= 50 * n THEN bucket END) AS q50, min(CASE WHEN 100 * upto >= 75 * n THEN bucket END) AS q75
+          FROM (SELECT *, sum(n1) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n1) OVER (PARTITION BY lang, source, measure) AS n
+                FROM (SELECT {level}, measure, bucket, count(*) AS n1 FROM b GROUP BY 1, 2, 3, 4))
+          GROUP BY lang, source, measure)
+        GROUP BY lang, source"""
+    sides = [f"{m}_{side}" for m in quality_rules.MEASURES for side in ("low", "high")]
+    few = quality_rules.LEAST_ROWS
+    picked = ", ".join(f"CASE WHEN x.n >= {few} THEN x.{m} WHEN y.n >= {few} THEN y.{m} ELSE z.{m} END AS {m}" for m in sides)
+    within = " AND ".join(f"{m} BETWEEN {m}_low AND {m}_high" for m in quality_rules.MEASURES)
+    return rf"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+          FROM documents),
+        g AS (SELECT r, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) || ' ' || list_extract(w, i + 3) || ' ' || list_extract(w, i + 4) AS win
+              FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM g) WHERE c > 1),
+        cover AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY r),
+        s AS (
+          SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                 CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+                 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+          FROM d LEFT JOIN cover USING (r)),
+        m AS (
+          SELECT *, 100 * word_chars // greatest(n_words, 1) AS letters_per_word, 100 * n_symbols // greatest(n_words, 1) AS symbols_per_word,
+                 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_words,
+                 n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+          FROM s),
+        v AS (UNPIVOT (SELECT r, lang, source, letters_per_word, symbols_per_word, dup_lines, repeat_words FROM m) ON letters_per_word, symbols_per_word, dup_lines, repeat_words INTO NAME measure VALUE x),
+        b AS (SELECT lang, source, measure, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) AS bucket FROM v),
+        own AS ({of('lang, source')}), by_lang AS ({of('lang, NULL AS source')}), by_all AS ({of('NULL AS lang, NULL AS source')}),
+        f AS (SELECT x.lang, x.source, {picked} FROM own x JOIN by_lang y ON x.lang IS NOT DISTINCT FROM y.lang, by_all z)
+        SELECT doc_id, m.lang, m.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, letters_per_word, symbols_per_word, dup_lines, repeat_words,
+               base_failed, NOT base_failed AND {within} AS kept
+        FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
+    """
+
+
 ORACLE_SQL = {
+    "op13_quality_rules": _rules_sql(),
     # The given pages carry no canonical links or refreshes, so the method's own verdict is always allow;
     # aliases are tested on small pages in tests/llm.
     "op5_url_filters": """

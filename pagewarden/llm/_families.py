@@ -15,7 +15,7 @@ Shingles are compared as 52-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewarden.llm._bloom import FILTER_TASKS, bits_of, cells_of, is_set, possibly_repeated
 from pagewarden.llm._common import Written, connected_components, written
 from pagewarden.llm._minhash import mix
 
-BLOOM_KEYS = 64_000_000  # band keys that one filter of 64 MB serves; beyond them every key is shuffled
-CELLS_PER_KEY = 8
+BLOOM_KEYS = 4_000_000  # band keys of a slice of the filter, a task's work
+MOST_CELLS = 1 << 29  # of the filter that is broadcast, 64 MB
 BROADCAST_IDS = 500_000  # of 16 bytes each; more are joined by a shuffle
 LONGS = 8
-FILTER_TASKS = 12  # each task sends a whole filter
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 12
 
@@ -88,12 +88,6 @@ def _similarity(hashes: Hashes):
     return jaccard
 
 
-def _cells(keys: np.ndarray, cells: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Two cells of each key, whose bits are mixed already."""
-    k = keys.view(np.uint64)
-    return ((k >> np.uint64(32)) * cells >> np.uint64(32)).astype(np.int64), ((k & np.uint64(0xFFFFFFFF)) * cells >> np.uint64(32)).astype(np.int64)
-
-
 def pack_keys(keys: np.ndarray) -> pa.Array:
     """(items, bands) keys as one binary value an item."""
     width = keys.shape[1] * 8
@@ -104,41 +98,6 @@ def _keys(packed: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(packed.to_pylist()), np.int64)
 
 
-def _hit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def _count_hits(cells: int, pieces: int):
-    """A row a piece of the filter: the cells hit once and twice by the task's keys; a key hits two cells."""
-
-    def run(batches):
-        once, twice, any_ = np.zeros(cells >> 3, np.uint8), np.zeros(cells >> 3, np.uint8), False
-        for batch in batches:
-            keys = _keys(batch.column("bands"))
-            for at in range(0, len(keys), 1 << 17):
-                any_ = True
-                hit = np.sort(np.concatenate(_cells(keys[at : at + (1 << 17)], np.uint64(cells))))
-                again = np.concatenate([hit[1:] == hit[:-1], [False]]) | _hit(once, hit)
-                np.bitwise_or.at(twice, hit[again] >> 3, np.uint8(1) << (hit[again] & 7).astype(np.uint8))
-                np.bitwise_or.at(once, hit >> 3, np.uint8(1) << (hit & 7).astype(np.uint8))
-        if any_:
-            step = len(once) // pieces
-            for p in range(pieces):
-                a, b = once[p * step : (p + 1) * step], twice[p * step : (p + 1) * step]
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["piece", "once", "twice"])
-
-    return run
-
-
-def _merge_hits(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once = twice = None
-    for batch in batches:
-        for x, y in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist()):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            once, twice = (x, y) if once is None else (once | x, twice | y | (once & x))
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()], pa.binary())], names=["piece", "twice"])
-
-
 def _of_bands(bands: int, cells: int, held):
     """(id, rank, band) of (id, rank, bands), where the filter allows for another item with the band.
 
@@ -148,10 +107,8 @@ def _of_bands(bands: int, cells: int, held):
     def probe(batches):
         for batch in batches:
             keys = _keys(batch.column("bands"))
-            taken = np.arange(len(keys))
-            if held is not None:
-                one, two = _cells(keys, np.uint64(cells))
-                taken = np.flatnonzero(_hit(held.value, one) & _hit(held.value, two))
+            one, two = cells_of(keys, cells)
+            taken = np.flatnonzero(is_set(held.value, one) & is_set(held.value, two))
             owner = taken // bands
             shared = np.bincount(owner, minlength=batch.num_rows)
             rank = batch.column("rank").to_numpy() * 256 - shared
@@ -163,22 +120,14 @@ def _of_bands(bands: int, cells: int, held):
 def shared_bands(items: DataFrame, bands: int, rows: int) -> DataFrame:
     """(id, rank, band) of ``items`` (id, rank, bands; ``rows`` at most) whose band may be another item's too.
 
-    A counting Bloom filter of bounded size clears most bands before any row is made of them; a hot band is
-    never one task's work. With over BLOOM_KEYS keys no bounded filter clears many, and all rows go on.
+    A two-pass Bloom filter clears most bands before any row is made of them: slices of the keys find those that
+    may be shared, and one filter of these, of 64 MB at most, is held against the bands. A hot band is never one task's work.
     """
-    spark, keys, shape = items.sparkSession, rows * bands, "id binary, rank long, band long"
-    items = items.select("id", "rank", "bands")
-    if keys > BLOOM_KEYS:
-        return items.mapInArrow(_of_bands(bands, 0, None), shape)
-    pieces = max(1, -(-keys * CELLS_PER_KEY // (1 << 23)))
-    cells = pieces << 23 if pieces > 1 else max(1 << 10, 1 << (keys * CELLS_PER_KEY).bit_length())
-    hits = items.select("bands").coalesce(FILTER_TASKS).mapInArrow(_count_hits(cells, pieces), "piece int, once binary, twice binary")
-    merged = hits.groupBy("piece").applyInArrow(_merge_hits, "piece int, twice binary").collect()
-    filter_ = np.zeros(cells >> 3, np.uint8)
-    step = len(filter_) // pieces
-    for r in merged:
-        filter_[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["twice"], np.uint8)
-    return items.mapInArrow(_of_bands(bands, cells, spark.sparkContext.broadcast(filter_)), shape)
+    held = Written(possibly_repeated(items.select("bands"), lambda batch: _keys(batch.column("bands")), rows * bands, BLOOM_KEYS), "shared")
+    cells = min(MOST_CELLS, max(1 << 10, 1 << (16 * held.df.count()).bit_length()))
+    bits = items.sparkSession.sparkContext.broadcast(bits_of(held.df, cells))
+    held.drop()
+    return items.select("id", "rank", "bands").mapInArrow(_of_bands(bands, cells, bits), "id binary, rank long, band long")
 
 
 def _id_cells(ids: list[bytes], cells: int) -> np.ndarray:

@@ -1,14 +1,14 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass one adds every text's hash to counting Bloom segments and keeps the cells that were hit twice;
-pass two sends only rows all of whose cells were hit twice through a shuffle. Every other row is unique
-for certain and passes straight through. False positives merely shuffle in vain: the groups themselves
-are formed on the SHA-256 of the normalised text.
-
-A filter covers one slice of the hash space with at most ``SLICE_ROWS`` expected rows, so that what is
-broadcast has a fixed bound (``CELLS_PER_ROW`` bits a row, 32 MB a slice) at any input size; more rows
-mean more slices. The hash table is then written in a folder for each slice, so that all slices together
-read it once a pass. Texts are read once more, against one filter of the repeated hashes.
+Pass one adds every text's hash to a counting Bloom filter, pass two keeps the hashes all of whose cells
+were hit twice. Only rows of such hashes go through a shuffle; every other row is unique for certain and
+passes straight through. False positives merely shuffle in vain: the groups themselves are formed on the
+SHA-256 of the normalised text.
+
+The filter is cut into slices of the hash space with some ``SLICE_ROWS`` hashes each, a task's work (see
+_bloom), so one reading serves any number of rows. Rows find out whether their hash is a possibly repeated
+one by one filter of those hashes, of 32 MB at most whatever their number; the texts are read once more,
+against the same filter.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewarden.llm._bloom import FILTER_TASKS, possibly_repeated
 from pagewarden.llm._common import all_of, fresh, lower_ascii, named, written
 
-SLICE_ROWS = 32_000_000
+SLICE_ROWS = 4_000_000
+FILTER_ROWS = 32_000_000  # hashes that the broadcast filter serves well; with more, more rows pass it
 CELLS_PER_ROW = 8
 PROBES = 4
 SEGMENT_CELLS = 1 << 16
@@ -43,10 +45,6 @@ def _hash(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
 
 
-def _slice(h: Column, slices: int) -> Column:
-    return F.pmod(F.shiftright(h, 40), F.lit(slices)).cast("int")
-
-
 def _segment(h: Column, segments: int) -> Column:
     return F.pmod(F.shiftright(h, 20), F.lit(segments)).cast("int")
 
@@ -56,47 +54,40 @@ def _cell(h: Column, i: int) -> Column:
     return F.pmod(F.xxhash64(h, F.lit(i)), F.lit(SEGMENT_CELLS)).cast("int")
 
 
-def _pack(bits: np.ndarray) -> bytes:
-    return zlib.compress(bits.tobytes(), 1)
-
+def _set_cells(segments: int):
+    """For each task, a row a touched segment: the cells of the task's hashes."""
 
-def _count_cells(segments: int):
-    """For each task, a row a touched segment: the cells hit once and twice or more by the task's rows."""
-
-    def count(batches):
+    def run(batches):
         width = SEGMENT_CELLS // 8
-        once, twice = np.zeros(segments * width, np.uint8), np.zeros(segments * width, np.uint8)
+        bits = np.zeros(segments * width, np.uint8)
         for batch in batches:
             base = batch["segment"].to_numpy().astype(np.int64) * SEGMENT_CELLS
-            cells, hits = np.unique(np.concatenate([base + batch[f"c{i}"].to_numpy() for i in range(PROBES)]), return_counts=True)
-            byte, bit = cells >> 3, (1 << (cells & 7)).astype(np.uint8)
-            again = (hits > 1) | (once[byte] & bit > 0)
-            np.bitwise_or.at(twice, byte[again], bit[again])
-            np.bitwise_or.at(once, byte, bit)
-        once, twice = once.reshape(segments, width), twice.reshape(segments, width)
-        touched = np.flatnonzero(once.any(axis=1))
-        yield pd.DataFrame({"segment": touched.astype("int32"), "once": [_pack(once[s]) for s in touched], "twice": [_pack(twice[s]) for s in touched]})
+            for i in range(PROBES):
+                cells = base + batch[f"c{i}"].to_numpy()
+                np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+        bits = bits.reshape(segments, width)
+        touched = np.flatnonzero(bits.any(axis=1))
+        yield pd.DataFrame({"segment": touched.astype("int32"), "bits": [zlib.compress(bits[s].tobytes(), 1) for s in touched]})
 
-    return count
+    return run
 
 
-def _filter_segments(hashes: DataFrame, segments: int, hits: int = 2) -> DataFrame:
-    """(segment, words): for each touched segment, a bit set where ``hits`` rows (1 or 2) or more hit the cell."""
+def _filter_segments(hashes: DataFrame, segments: int) -> DataFrame:
+    """(segment, words): the filter of a table of hashes (h), a row for each touched segment."""
     cells = hashes.select(_segment(F.col("h"), segments).alias("segment"), *(_cell(F.col("h"), i).alias(f"c{i}") for i in range(PROBES)))
-    parts = cells.mapInPandas(_count_cells(segments), "segment int, once binary, twice binary")
+    parts = cells.coalesce(FILTER_TASKS).mapInPandas(_set_cells(segments), "segment int, bits binary")
 
     def merged(part: pd.DataFrame) -> pd.DataFrame:
-        once = twice = np.zeros(SEGMENT_CELLS // 8, np.uint8)
-        for a, b in zip(part["once"], part["twice"]):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            once, twice = once | a, twice | b | (once & a)
-        return pd.DataFrame({"segment": part["segment"].iloc[:1], "words": [(once if hits == 1 else twice).view("<i8")]})
+        bits = np.zeros(SEGMENT_CELLS // 8, np.uint8)
+        for x in part["bits"]:
+            bits = bits | np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"segment": part["segment"].iloc[:1], "words": [bits.view("<i8")]})
 
     return parts.groupBy("segment").applyInPandas(merged, "segment int, words array<long>")
 
 
 def _repeated(h: Column, words: Column) -> Column:
-    """Were all of the hash's cells hit twice or more?"""
+    """Are all of the hash's cells set?"""
     hit = F.lit(True)
     for i in range(PROBES):
         c = _cell(h, i)
@@ -117,47 +108,30 @@ def _split(rows: DataFrame, h: str, segments_df: DataFrame, segments: int) -> tu
     return tuple(probed.where(x).drop(segment, words) for x in (mark, ~mark))
 
 
-class _Filters:
-    """A bounded Bloom filter for each slice of the hash space of ``hashes``, which has a hash column _h.
-
-    With several slices the table has a partition column _slice: a slice's branch reads that folder alone.
-    """
+class Filter:
+    """The bounded filter of the possibly repeated ones among ``rows`` hashes at most (column _h) of a table."""
 
     def __init__(self, hashes: DataFrame, rows: int):
-        self.slices = slices_for(rows)
-        self.segments = _segments_for(-(-rows // self.slices))
-        self.filters = [written(_filter_segments(self._own(hashes, k).select(F.col("_h").alias("h")), self.segments), "bloom") for k in range(self.slices)]
-
-    def _own(self, rows: DataFrame, k: int) -> DataFrame:
-        return rows if self.slices == 1 else rows.where(F.col("_slice") == k)
-
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """All slices' (possibly repeated, certainly unique) rows."""
-        maybe, unique = None, None
-        for k, words in enumerate(self.filters):
-            m, u = _split(self._own(rows, k), "_h", words, self.segments)
-            maybe, unique = (m, u) if maybe is None else (maybe.unionByName(m), unique.unionByName(u))
-        return maybe, unique
-
+        again = possibly_repeated(hashes.select("_h"), lambda batch: batch.column("_h").to_numpy(), rows, SLICE_ROWS)
+        held = written(again.select(F.col("key").alias("h")), "repeated")
+        self.segments = _segments_for(min(held.count(), FILTER_ROWS))
+        self.words = written(_filter_segments(held, self.segments), "bloom")
 
-def slices_for(rows: int) -> int:
-    return max(1, -(-rows // SLICE_ROWS))
+    def split(self, rows: DataFrame, h: str = "_h") -> tuple[DataFrame, DataFrame]:
+        """(possibly repeated, certainly unique) rows of a table with a hash column."""
+        return _split(rows, h, self.words, self.segments)
 
 
 def split_repeated(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows whose long ``key`` may occur again, rows whose key certainly does not) of a table of ``rows`` rows."""
-    h = F.col(key).bitwiseAND(F.lit((1 << 60) - 1))
-    keyed = df.withColumn("_h", h).withColumn("_slice", _slice(h, slices_for(rows)))
-    return tuple(x.drop("_h", "_slice") for x in _Filters(keyed, rows).split(keyed))
+    """(rows whose long ``key`` may occur again, rows whose key certainly does not) of a table of ``rows`` rows at most."""
+    keyed = df.withColumn("_h", F.col(key).bitwiseAND(F.lit((1 << 60) - 1)))
+    return tuple(x.drop("_h") for x in Filter(keyed, rows).split(keyed))
 
 
-def _hash_table(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, _Filters]:
-    """The written hash table (_sha, _h, _slice, and the columns asked for) and its filters."""
-    rows = docs.count()
-    held = docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(named(text)).alias("_sha"))
-    held = held.withColumn("_slice", _slice(_hash(F.col("_sha")), slices_for(rows)))
-    hashes = written(held, "hashes", "_slice" if slices_for(rows) > 1 else None).withColumn("_h", _hash(F.col("_sha")))
-    return hashes, _Filters(hashes, rows)
+def _hash_table(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, Filter]:
+    """The written hash table (_sha, _h, and the columns asked for) and its filter."""
+    hashes = written(docs.select(*(c.alias(n) for n, c in columns.items()), text_sha256(named(text)).alias("_sha")), "hashes").withColumn("_h", _hash(F.col("_sha")))
+    return hashes, Filter(hashes, hashes.count())
 
 
 def find_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -189,16 +163,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sha, h, winner, keep_sha, first = fresh(docs, "sha", "h", "winner", "keep_sha", "first")
     marked = docs.select("*", text_sha256(named(text)).alias(sha)).withColumn(h, _hash(F.col(sha)))
     keep = groups.select(F.col("_sha").alias(keep_sha), F.col("_id").alias(winner))
-    same = F.col(sha) == F.col(keep_sha)
-    if f.slices == 1:
-        rows, unique = _split(marked, h, f.filters[0], f.segments)
-        stay = rows.join(keep, same & named(doc_id).eqNullSafe(F.col(winner)), "left_semi")
-    else:
-        # One filter of the groups' hashes, of 32 MB whatever their number, over one reading of the texts. What it lets
-        # through without a group is unique too.
-        segments = min(_segments_for(groups.count()), _segments_for(SLICE_ROWS))
-        held = written(_filter_segments(groups.select(_hash(F.col("_sha")).alias("h")), segments, hits=1), "group-bits")
-        rows, unique = _split(marked, h, held, segments)
-        stay = rows.join(keep, same, "left").where(F.col(keep_sha).isNull() | named(doc_id).eqNullSafe(F.col(winner))).drop(keep_sha, winner)
+    rows, unique = f.split(marked, h)
+    stay = rows.join(keep, (F.col(sha) == F.col(keep_sha)) & named(doc_id).eqNullSafe(F.col(winner)), "left_semi")
     one = stay.withColumn(first, F.row_number().over(Window.partitionBy(sha).orderBy(F.monotonically_increasing_id()))).where(F.col(first) == 1)
     return unique.select(*all_of(docs)).unionByName(one.select(*all_of(docs)))

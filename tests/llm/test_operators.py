@@ -77,9 +77,10 @@ def brute_duplicates(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("slice_rows", [32_000_000, 60])
-def test_exact_duplicates(spark, sf, odd, nothing, monkeypatch, slice_rows):
+@pytest.mark.parametrize("slice_rows,filter_rows", [(32_000_000, 32_000_000), (6, 10)])
+def test_exact_duplicates(spark, sf, odd, nothing, monkeypatch, slice_rows, filter_rows):
     monkeypatch.setattr(exact_dedup, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(exact_dedup, "FILTER_ROWS", filter_rows)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     more = docs.where("doc_id % 3 = 0").selectExpr("doc_id + 100000", "upper(text)")
     for df in (docs.union(more), odd, nothing):

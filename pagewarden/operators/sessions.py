@@ -6,8 +6,10 @@ url, ms, summary, question, reason); elements come as an array per step.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from pagewarden.functions import text as T
 
@@ -47,9 +49,29 @@ def with_repeats(steps: DataFrame, same: Column, forgets: Column | None = None)
     return steps.withColumn("is_repeat", F.coalesce(before == same, F.lit(False))).withColumn("repeats", so_far).withColumn("stopped", F.col("repeats") > MAX_REPEATS)
 
 
-def with_history(steps: DataFrame, value: Column, out: str = "history", limit: int = MAX_STEPS) -> DataFrame:
-    """Adds what came before each step of its session, in order: a task's ``limit`` steps at most, so that no array grows with a session."""
-    return steps.withColumn(out, F.collect_list(value).over(_in_order().rowsBetween(-limit, -1)))
+def in_tasks(steps: DataFrame, limit: int = MAX_STEPS) -> DataFrame:
+    """Adds task_no: a session's steps in tasks of ``limit``, the most that a task has."""
+    return steps.withColumn("task_no", F.floor(F.col("step") / limit).cast("int"))
+
+
+def with_history(steps: DataFrame, value: Column, *task: str, out: str = "history") -> DataFrame:
+    """Adds all that came before each step of its task, in order. Tasks have 25 steps at most; sessions that go on are cut by in_tasks()."""
+    before = Window.partitionBy(*(task or ("session",))).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumn(out, F.collect_list(value).over(before))
+
+
+def with_clicked(steps: DataFrame) -> DataFrame:
+    """Adds clicked: the distinct labels (else ids) of all targets clicked before each step of its session, in order of first click.
+
+    ``steps`` has session, step, command, elements. A label counts from its first click on, and only first clicks
+    are joined back, so no array grows with a session's steps, only with the labels on its pages.
+    """
+    c = F.col("command")
+    name = F.coalesce(F.nullif(element_of(F.col("elements"), c["target"])["label"], F.lit("")), c["target"])
+    firsts = steps.where(c["action"] == "click").groupBy("session", name.alias("_label")).agg(F.min("step").alias("_at"))
+    of_session = firsts.where("_label IS NOT NULL").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("_at", "_label"))).alias("_firsts"))
+    known = F.filter(F.coalesce("_firsts", F.array().cast("array<struct<_at:int,_label:string>>")), lambda f: f["_at"] < F.col("step"))
+    return steps.join(of_session, "session", "left").withColumn("clicked", F.transform(known, lambda f: f["_label"])).drop("_firsts")
 
 
 def element_of(elements: Column, target: Column) -> Column:
@@ -57,7 +79,7 @@ def element_of(elements: Column, target: Column) -> Column:
 
 
 def clicked_labels(history: Column, elements: Column) -> Column:
-    """Distinct labels (else ids) of clicked targets, in order of first click."""
+    """Distinct labels (else ids) of clicked targets of a history, in order of first click."""
     clicks = F.filter(history, lambda c: c["action"] == "click")
     name = lambda t: F.coalesce(F.nullif(element_of(elements, t)["label"], F.lit("")), t)
     return F.array_distinct(F.transform(clicks, lambda c: name(c["target"])))
@@ -226,7 +248,36 @@ def field_fill(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.groupBy("form").agg(F.concat(F.count_if("ok").cast("string"), F.lit("/"), F.count("*").cast("string")).alias("filled"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("key")))).alias("wrong"))
 
 
+def accepts_run(state: dict, started: int | None, finished: int | None) -> bool:
+    """May a run begin, given what is held of its tab's runs so far? Runs come in the order they begin; None or NaN for unknown times."""
+    if started is None or started != started:
+        return True
+    if state.get("open") or started < state.get("end", started):
+        return False
+    state.update({"open": True} if finished is None or finished != finished else {"end": int(finished)})
+    return True
+
+
 def overlapping_steps(runs: DataFrame) -> DataFrame:
-    """Runs (tab, started_at, finished_at) that began while an earlier run of the tab went on: they are refused."""
-    before = Window.partitionBy("tab").orderBy("started_at", "finished_at").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("refused", F.coalesce(F.max("finished_at").over(before) > F.col("started_at"), F.lit(False)))
+    """Adds refused to runs (tab, started_at, finished_at): it began while the tab's last accepted run went on.
+
+    A refused run blocks nobody. Runs of a tab pass one task in the order they begin, and nothing but the end of
+    the last accepted one is held; a run without an end goes on, one without a beginning takes no part. Any other columns.
+    """
+    names = [f"c{i}" for i in range(len(runs.columns))]  # columns of any names
+    us = [F.unix_micros(F.col(c).cast("timestamp")).alias(f"_{c}") for c in ("started_at", "finished_at")]
+    keyed = runs.select("*", F.col("tab").cast("string").alias("_tab"), *us).toDF(*names, "_tab", "_started", "_finished")
+    ordered = keyed.repartition("_tab").sortWithinPartitions("_tab", "_started", "_finished")
+
+    def fold(batches):
+        key, state = None, {}
+        for batch in batches:
+            refused = []
+            for tab, started, finished in zip(*(batch.column(c).to_pylist() for c in ("_tab", "_started", "_finished"))):
+                if tab != key:
+                    key, state = tab, {}
+                refused.append(not accepts_run(state, started, finished))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(refused, pa.bool_())], names=[*names, "refused"])
+
+    shape = T_.StructType([*(T_.StructField(n, f.dataType) for n, f in zip(names, runs.schema)), T_.StructField("refused", T_.BooleanType())])
+    return ordered.mapInArrow(fold, shape).toDF(*runs.columns, "refused")

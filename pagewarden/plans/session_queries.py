@@ -57,13 +57,14 @@ def session_repeats(spark, sf):
 
 
 def session_history(spark, sf):
-    h = S.with_history(_steps(spark, sf), F.col("action"))
-    return h.select("session", "step", F.array_join("history", ",").alias("history"))
+    """A session's steps in tasks of 25, as a task has at most, with all commands before each."""
+    tasks = S.in_tasks(_steps(spark, sf))
+    return S.with_history(tasks, F.col("action"), "session", "task_no").select("session", "step", F.array_join("history", ",").alias("history"))
 
 
 def clicked_labels(spark, sf):
-    c = S.with_history(_commands(spark, sf), F.col("command"))
-    return c.select("session", "step", F.array_join(S.clicked_labels(F.col("history"), F.col("elements")), ", ").alias("clicked"))
+    """The labels clicked in the whole session before each step."""
+    return S.with_clicked(_commands(spark, sf)).select("session", "step", F.array_join("clicked", ", ").alias("clicked"))
 
 
 def session_outcomes(spark, sf):
@@ -114,14 +115,21 @@ def task_log(spark, sf):
     return streaming.task_states(rows)
 
 
-def frame_hellos(spark, sf):
-    """Views as frames and clicks as hellos of a user's hour; a match within two minutes."""
+def _hello_events(spark, sf):
+    """Each two events are a frame and its hello, seconds apart either way; one in eleven comes from another tab."""
     e = views.table(spark, sf, "events")
-    nonce = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMddHH"))
-    frames = e.where("event_type = 'view'").select("event_id", nonce.alias("nonce"), "ts")
-    hellos = e.where("event_type = 'click'").select(nonce.alias("nonce"), "ts")
-    m = streaming.match_within(frames, hellos, ["nonce"], 120)
-    return m.groupBy("event_id").agg(F.count("r_nonce").alias("hellos"))
+    pair = F.floor(F.col("event_id") / 2)
+    at = F.timestamp_millis(pair * 5000 + F.when(F.col("event_id") % 2 == 1, (F.col("event_id") * 37) % 1900 - 950).otherwise(0))
+    return e.select("event_id", (F.floor(pair / 400) % 5).alias("browser"), pair.alias("nonce"), F.when((F.col("event_id") % 22) == 1, 9).otherwise(1).alias("tab"), at.alias("ts"))
+
+
+def frame_hellos(spark, sf):
+    """Frames with the hello that reads them: one parked before, or one within 400 ms."""
+    e = _hello_events(spark, sf)
+    frames = e.where("event_id % 2 = 0").withColumn("id", F.col("event_id"))
+    hellos = e.where("event_id % 2 = 1").withColumn("frame", F.col("event_id"))
+    r = streaming.hello_frames(frames, hellos, by="browser")
+    return r.select(F.col("id").cast("long").alias("event_id"), "read", F.col("frame").cast("long").alias("hello_id"))
 
 
 def latest_states(spark, sf):
@@ -266,9 +274,9 @@ ORACLE_SQL = {
     "session_repeats": f"""WITH s AS (SELECT *, concat(action, ':', coalesce(target, '')) AS k FROM {_S}),
       r AS (SELECT session, step, coalesce(lag(CASE WHEN action <> 'noop' THEN k END) OVER (PARTITION BY session ORDER BY step) = k, false) AS is_repeat FROM s),
       c AS (SELECT *, sum(is_repeat::INT) OVER (PARTITION BY session ORDER BY step)::INT AS repeats FROM r) SELECT *, repeats > 2 AS stopped FROM c""",
-    "session_history": f"SELECT session, step, coalesce(string_agg(action, ',') OVER (PARTITION BY session ORDER BY step ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING), '') AS history FROM {_S}",
+    "session_history": f"SELECT session, step, coalesce(string_agg(action, ',') OVER (PARTITION BY session, step // 25 ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM {_S}",
     "clicked_labels": f"""WITH s AS (SELECT session, step, CASE WHEN action = 'click' THEN {_LABEL} END AS label FROM {_S}),
-      f AS (SELECT s.session, s.step, b.label, min(b.step) AS clicked_at FROM s JOIN s b ON b.session = s.session AND b.step BETWEEN s.step - 25 AND s.step - 1 WHERE b.label IS NOT NULL GROUP BY ALL),
+      f AS (SELECT s.session, s.step, b.label, min(b.step) AS clicked_at FROM s JOIN s b ON b.session = s.session AND b.step < s.step WHERE b.label IS NOT NULL GROUP BY ALL),
       g AS (SELECT session, step, string_agg(label, ', ' ORDER BY clicked_at) AS clicked FROM f GROUP BY session, step)
       SELECT session, step, coalesce(clicked, '') AS clicked FROM s LEFT JOIN g USING (session, step)""",
     "session_outcomes": f"""WITH s AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN concat('vis_', event_id) ELSE target END AS t FROM {_S})
@@ -315,12 +323,30 @@ ORACLE_SQL = {
              CASE action WHEN 'click' THEN 'click ' || target || ' "' || label || '"' WHEN 'type' THEN 'type "' || text || '" into ' || target || ' "' || label || '"' WHEN 'scroll' THEN 'scroll down' ELSE 'noop: wait' END AS prompt,
              CASE action WHEN 'click' THEN 'Click “' || label || '”' WHEN 'type' THEN 'Type ' || CASE WHEN contains(text, '{{{{') THEN 'the saved ' || text ELSE '“' || text || '”' END || ' into “' || label || '”' WHEN 'scroll' THEN 'Scroll down' ELSE 'wait' END AS viewer,
              count(*) AS n FROM s GROUP BY ALL""".replace("{{{{", "{{"),
-    "frame_hellos": """WITH e AS (SELECT *, concat(user_id, '-', strftime(ts, '%Y%m%d%H')) AS nonce FROM events)
-      SELECT f.event_id, count(h.nonce) AS hellos FROM e f LEFT JOIN e h ON h.event_type = 'click' AND h.nonce = f.nonce AND h.ts BETWEEN f.ts AND f.ts + INTERVAL 120 SECOND WHERE f.event_type = 'view' GROUP BY f.event_id""",
+    # What a browser has parked is walked through event by event; a hello that comes later than 400 ms stays parked for ever.
+    "frame_hellos": """WITH RECURSIVE e AS (
+        SELECT event_id, event_id // 2 AS nonce, (event_id // 2 // 400) % 5 AS browser, CASE WHEN event_id % 22 = 1 THEN 9 ELSE 1 END AS tab,
+               event_id // 2 * 5000 + CASE WHEN event_id % 2 = 1 THEN (event_id * 37) % 1900 - 950 ELSE 0 END AS ms, event_id % 2 = 1 AS hello FROM events),
+      q AS (SELECT *, row_number() OVER (PARTITION BY browser ORDER BY ms, hello, event_id) AS i FROM e),
+      walk AS (
+        SELECT browser, 0::BIGINT AS i, []::BIGINT[] AS parked, NULL::BIGINT AS nonce, false AS hello, false AS taken FROM (SELECT DISTINCT browser FROM q)
+        UNION ALL
+        SELECT q.browser, q.i,
+               CASE WHEN NOT q.hello THEN list_filter(w.parked, lambda n: n <> q.nonce) WHEN q.ms BETWEEN q.nonce * 5000 AND q.nonce * 5000 + 400 OR len(w.parked) >= 256 THEN w.parked ELSE list_append(w.parked, q.nonce) END,
+               q.nonce, q.hello, CASE WHEN q.hello THEN q.ms BETWEEN q.nonce * 5000 AND q.nonce * 5000 + 400 ELSE list_contains(w.parked, q.nonce) END
+        FROM walk w JOIN q ON q.browser = w.browser AND q.i = w.i + 1),
+      met AS (SELECT nonce, bool_or(taken) AS taken FROM walk WHERE i > 0 GROUP BY nonce)
+      SELECT f.event_id, coalesce(met.taken AND h.tab = f.tab, false) AS read, CASE WHEN met.taken AND h.tab = f.tab THEN h.event_id END AS hello_id
+      FROM e f JOIN met ON met.nonce = f.nonce LEFT JOIN e h ON h.nonce = f.nonce AND h.hello WHERE NOT f.hello""",
     "latest_states": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "newest_captures": "SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 30",
-    "refused_runs": """WITH r AS (SELECT user_id AS tab, ts, max(ts + INTERVAL 1 HOUR) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
-      SELECT tab, count(*) AS runs, count(*) FILTER (before > ts) AS refused FROM r GROUP BY tab""",
+    # A run is accepted if it begins when the last accepted one has ended; run after run of each tab.
+    "refused_runs": """WITH RECURSIVE r AS (SELECT user_id AS tab, ts, ts + INTERVAL 1 HOUR AS fin, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+      walk AS (
+        SELECT tab, 0::BIGINT AS i, NULL::TIMESTAMP AS until, false AS refused FROM (SELECT DISTINCT tab FROM r)
+        UNION ALL
+        SELECT r.tab, r.i, CASE WHEN r.ts < w.until THEN w.until ELSE r.fin END, coalesce(r.ts < w.until, false) FROM walk w JOIN r ON r.tab = w.tab AND r.i = w.i + 1)
+      SELECT tab, count(*) AS runs, count(*) FILTER (refused) AS refused FROM walk WHERE i > 0 GROUP BY tab""",
     "first_seen": """WITH f AS (SELECT user_id % 50 AS tab, user_id AS frame, min((ts, event_id)) AS first FROM events GROUP BY user_id)
       SELECT tab, frame, concat('f', row_number() OVER (PARTITION BY tab ORDER BY first)) AS id FROM f""",
     "sanitised_captures": """SELECT conv_id::VARCHAR AS "sessionId", turn::INT AS "stepIndex", concat('https://chat.example.org/c/', conv_id, '?[REDACTED]') AS url, 1 AS regions,

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewarden.operators import captures as C
-from pagewarden.operators import sessions as S
+from pagewarden.streaming import keyed
 
-HELLO_MS, APPROVAL_S, ANSWER_S, RING = 400, 120, 600, 30
-TERMINAL = {"done": "done", "ask_user": "needs_user", "noop": "stopped"}
-STEP_LOG = "session string, step int, verdict string, status string, repeats int"
-_STATE = "step int, repeats int, previous string, status string, skipped array<string>"
+APPROVAL_S, ANSWER_S, RING = keyed.APPROVAL_MS // 1000, keyed.ANSWER_MS // 1000, 30
 
 
 def sanitise_stream(steps: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -30,63 +23,49 @@ def record_stream(steps: DataFrame, path: str, checkpoint: str, **trigger) -> St
     return steps.withColumn("outcome", outcome).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session's proposed commands in order against what the session remembers."""
-    step, repeats, previous, status, skipped = state.get if state.exists else (0, 0, None, "running", [])
-    skipped, out = list(skipped or []), []
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-    for r in rows.itertuples(index=False):
-        if status != "running":
-            out.append((key[0], step, "ignored", status, repeats))
-            continue
-        if previous is not None and r.canonical == previous:
-            if repeats < S.MAX_REPEATS:
-                repeats += 1
-                verdict = "skip_repeat"
-            else:
-                verdict, status = "stopped", "stopped"
-        elif r.action == "type" and not (r.text or "").strip() and not r.filled:
-            verdict = "skip_field"
-            previous = r.canonical if r.target in skipped else None
-            skipped = skipped if r.target in skipped else [*skipped, r.target]
-        elif r.veto:
-            verdict, status = "vetoed", r.veto
-        elif not r.ok:
-            verdict, status = "failed", "failed"
-        else:
-            verdict, previous = "run", r.canonical
-            status = TERMINAL.get(r.action, status)
-        out.append((key[0], step, verdict, status, repeats))
-        step += 1
-        if status == "running" and step >= S.MAX_STEPS:
-            status = "max_steps"
-            out[-1] = (*out[-1][:3], status, repeats)
-    state.update((step, repeats, previous, status, skipped))
-    yield pd.DataFrame(out, columns=["session", "step", "verdict", "status", "repeats"])
-
-
-class _Fresh:
-    """The state of a session that is complete in one table."""
-
-    exists = False
-
-    def update(self, _value) -> None:
-        pass
-
-
-def task_states(steps: DataFrame) -> DataFrame:
-    """The task state machine: a log row for every proposed command of a stream or, with the same rules, a batch.
+def _with_defaults(steps: DataFrame) -> DataFrame:
+    given = {c: F.col(c) for c in steps.columns}
+    null = F.lit(None).cast("string")
+    return steps.select(
+        F.col("session").alias("key"), F.col("seq").cast("long").alias("seq"), "ts", F.lit("command").alias("kind"), "action", "target", "text", "canonical", F.coalesce("filled", F.lit(False)).alias("filled"), "veto",
+        F.coalesce("ok", F.lit(True)).alias("ok"), given.get("risk", null).alias("risk"), F.coalesce(given.get("asks", F.lit(False)), F.lit(False)).alias("asks"),
+    )
+
+
+def task_states(steps: DataFrame, replies: DataFrame | None = None, watermark: str = "10 minutes", forget_s: float = keyed.FORGET_MS / 1000) -> DataFrame:
+    """The task state machine: a log row for every proposed command and every reply or time limit that counts, of streams or tables.
 
     ``steps`` has session (string), seq, ts, action, target, text, canonical (sessions.canonical), filled
     (the target holds something), veto (a status that ends the task, or null) and ok (execution
-    succeeded). Skipped commands never count as the one before; the repeat budget of two is per task;
-    done, ask_user and noop end it, as does the 25th step; later commands are ignored.
+    succeeded); if it has risk (words, or null) such a command waits for an approval, and if it has asks, one
+    with it for an answer. ``replies`` has session, ts and kind: allow, refuse, fill, skip, retry, stop.
+    Skipped commands never count as the one before; the repeat budget of two is per task; done, ask_user
+    and noop end it, as do the 25th step, 120 s without an approval and 600 s without an answer. A stream forgets a
+    task ``forget_s`` after its end, so a command that comes later begins a new one; a table's is never forgotten.
+    """
+    events = _with_defaults(steps)
+    if replies is not None:
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in events.schema}
+        said = empty | {"key": F.col("session"), "ts": F.col("ts"), "kind": F.col("kind"), "seq": F.lit(2**31)}
+        events = events.unionByName(replies.select(*(c.alias(n) for n, c in said.items())))
+    return keyed.fold(events, keyed.Task(round(forget_s * 1000) if events.isStreaming else None), "seq", watermark=watermark)
+
+
+def runs_one_at_a_time(runs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """(tab, started_at, finished_at, refused) of a stream of runs; over a table: sessions.overlapping_steps."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    events = runs.select(F.col("tab").alias("key"), F.col("started_at").alias("ts"), us("started_at").alias("started"), us("finished_at").alias("finished"))
+    told = keyed.fold(events, keyed.OneAtATime(), "finished", watermark=watermark)
+    return told.select("tab", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("finished").alias("finished_at"), "refused")
+
+
+def stable_ids(seen: DataFrame, scope: str, node: str, ts: str = "ts", prefix: str = "el_", start: int = 0, watermark: str = "10 minutes") -> DataFrame:
+    """(scope, node, id) of each node when it is first seen in its scope, kept over batches; over a table: pages.first_seen_ids.
+
+    Ids of elements and frames of a page or tab, and of vision cells (pages.vision_cell as node). A scope's memory is its nodes.
     """
-    cols = steps.select("session", "seq", "ts", "action", "target", "text", "canonical", F.coalesce("filled", F.lit(False)).alias("filled"), "veto", F.coalesce("ok", F.lit(True)).alias("ok"))
-    by_session = cols.groupBy("session")
-    if not steps.isStreaming:
-        return by_session.applyInPandas(lambda key, rows: next(_advance(key, iter([rows]), _Fresh())), STEP_LOG)
-    return by_session.applyInPandasWithState(_advance, STEP_LOG, _STATE, "append", GroupStateTimeout.NoTimeout)
+    events = seen.select(F.col(scope).alias("key"), F.col(ts).alias("ts"), F.col(node).cast("string").alias("node"))
+    return keyed.fold(events, keyed.StableIds(prefix, start), "node", watermark=watermark).toDF(scope, node, "id")
 
 
 def match_within(left: DataFrame, right: DataFrame, keys: list[str], seconds: float, left_ts: str = "ts", right_ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
@@ -106,9 +85,20 @@ def match_within(left: DataFrame, right: DataFrame, keys: list[str], seconds: fl
     return l.join(r, condition, "left_outer")
 
 
-def hello_frames(frames: DataFrame, hellos: DataFrame) -> DataFrame:
-    """Frames (nonce, tab, ts) with read: did a hello of the same nonce and tab arrive in 400 ms?"""
-    return match_within(frames, hellos, ["nonce", "tab"], HELLO_MS / 1000).withColumn("read", F.col("r_nonce").isNotNull())
+def hello_frames(frames: DataFrame, hellos: DataFrame, by: str | None = None, limit: int = keyed.PARKED, watermark: str = "10 minutes") -> DataFrame:
+    """Frames (nonce, tab, ts, and id if they have one) with read, and the frame that said hello (hellos: nonce, tab, ts, frame).
+
+    A hello counts if it comes within 400 ms after the frame, or came before and was parked. ``by`` is the
+    column of what parks them (a browser), which holds 256 at most; without it, each nonce is on its own.
+    """
+    null = F.lit(None).cast("string")
+
+    def events(df: DataFrame, kind: str) -> DataFrame:
+        text = {c: F.col(c).cast("string") if c in df.columns else null for c in ("id", "nonce", "tab", "frame")}
+        return df.select(F.col(by or "nonce").cast("string").alias("key"), "ts", F.lit(kind).alias("kind"), *(c.alias(n) for n, c in text.items()))
+
+    told = keyed.fold(events(frames, "frame").unionByName(events(hellos, "hello")), keyed.HelloDesk(limit), "kind", "id", watermark=watermark)
+    return told.withColumnRenamed("key", by) if by and by not in ("nonce", "tab") else told.drop("key")
 
 
 def approvals(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -121,20 +111,44 @@ def given_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
     return match_within(questions, answers, ["session"], ANSWER_S).withColumn("outcome", F.coalesce("r_kind", F.lit("stop")))
 
 
-def keep_ring(captures: DataFrame, path: str, checkpoint: str, by: str = "id", limit: int = RING) -> StreamingQuery:
-    """Keeps the newest ``limit`` captures of a stream at ``path``: each batch rewrites that bounded table."""
+def keep_ring(captures: DataFrame, path: str, checkpoint: str, by: str = "id", limit: int = RING, clear: str = "clear") -> StreamingQuery:
+    """Keeps the newest ``limit`` captures of a stream at ``path``; read_ring() gives them.
+
+    Each batch writes that bounded table anew, in a folder of its number, and then deletes all folders but this
+    and the one before, from which a batch that is run again starts. If captures have a boolean column of the
+    name ``clear``, a row with it empties the ring: of the batch's rows only those with a larger ``by`` stay.
+    """
 
     def rewrite(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.orderBy(F.desc(by)).limit(limit)
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 1}")
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            newest = newest.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}")).orderBy(F.desc(by)).limit(limit)
-        newest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        files, folder = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+        known = sorted(int(f.getPath().getName()) for f in (files.listStatus(folder(path)) if files.exists(folder(path)) else []) if f.getPath().getName().isdigit())
+        before = [n for n in known if n < epoch]
+        kept = batch
+        if before:
+            kept = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{before[-1]}"))
+        if clear in batch.columns:
+            emptied = batch.where(F.col(clear)).agg(F.max(by)).first()[0]
+            kept = kept if emptied is None else kept.where(F.col(by) > F.lit(emptied))
+        kept.orderBy(F.desc(by)).limit(limit).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        for n in before[:-1]:
+            files.delete(folder(f"{path}/{n}"), True)
 
     return captures.writeStream.foreachBatch(rewrite).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_ring(spark: SparkSession, path: str, by: str = "id") -> DataFrame:
+    """The captures that keep_ring holds, newest first: the folder of the last batch that was finished."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = _files(spark, path)
+    done = [int(f.getPath().getName()) for f in files.listStatus(folder(path)) if files.exists(folder(f.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(done)}").orderBy(F.desc(by))
+
+
 def newest(captures: DataFrame, by: str = "id", limit: int = RING) -> DataFrame:
     """The last captures, newest first."""
     return captures.orderBy(F.desc(by)).limit(limit)

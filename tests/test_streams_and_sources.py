@@ -50,11 +50,35 @@ def test_record_keeps_errors(spark, log, tmp_path):
 
 def test_ring(spark, log, tmp_path):
     streaming.keep_ring(sources.stream_captures(spark, log, 2).select("id", "task"), str(tmp_path / "ring"), str(tmp_path / "cp"), limit=3).awaitTermination(120)
-    last = max(int(p.name) for p in (tmp_path / "ring").iterdir())
-    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/ring/{last}").collect()) == [3, 4, 5]
+    assert [r["id"] for r in streaming.read_ring(spark, str(tmp_path / "ring")).collect()] == [5, 4, 3]
+    assert sorted(int(p.name) for p in (tmp_path / "ring").iterdir()) == [1, 2]
     assert [r["id"] for r in streaming.newest(sources.read_captures(spark, log), limit=2).collect()] == [5, 4]
 
 
+def test_ring_clears_and_survives_a_batch_that_is_run_again(spark, tmp_path):
+    import shutil
+
+    src, ring, cp = (str(tmp_path / x) for x in ("src", "ring", "cp"))
+    shape = "id long, clear boolean"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        streaming.keep_ring(spark.readStream.schema(shape).parquet(src), ring, cp, limit=3).awaitTermination(120)
+        return [r["id"] for r in streaming.read_ring(spark, ring).collect()]
+
+    assert arrive([(i, False) for i in range(5)]) == [4, 3, 2]
+    assert arrive([(5, False)]) == [5, 4, 3]
+    assert arrive([(6, False), (7, True), (8, None)]) == [8]
+    assert arrive([(9, False), (10, False)]) == [10, 9, 8]
+    # The last batch was written, but not committed: it runs again from the folder before.
+    last = max(int(p.name) for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    assert arrive([(11, False)]) == [11, 10, 9]
+    assert len(list((tmp_path / "ring").iterdir())) == 2
+    shutil.rmtree(ring)
+
+
 STEPS = "session string, seq int, ts timestamp, action string, target string, text string, canonical string, filled boolean, veto string, ok boolean"
 
 

@@ -18,6 +18,7 @@ from pagewarden.operators import pages as P
 from pagewarden.operators import profile
 from pagewarden.operators import sessions as S
 from pagewarden.plans import views
+from pagewarden.plans.session_queries import _captures
 from pagewarden.plans.text_queries import _pii, _spans
 from pagewarden.plans.views import DETS, duck, table
 
@@ -205,21 +206,45 @@ def decoded_images(spark, sf):
 
 
 def capture_log(spark, sf):
-    """Captures written as a log of one JSON document a step, and read back."""
+    """Captures written as a log of one file <id>.json a step, and read back through read_captures."""
     path = _folder(spark, "captures")
     c = table(spark, sf, "conversations")
-    c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("sessionId"), F.col("turn").cast("int").alias("stepIndex"), F.col("text").alias("task")).repartition(4).write.json(path)
-    log = spark.read.schema(schema.LOG).json(path)
-    return log.groupBy(F.col("sessionId").alias("session")).agg(F.count("*").alias("steps"), F.sum(F.length("task")).alias("chars"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sources.write_captures(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").cast("string").alias("sessionId"), F.col("turn").cast("int").alias("stepIndex"), text.alias("task")), path)
+    log = sources.read_captures(spark, path)
+    return log.groupBy(F.col("sessionId").alias("session")).agg(F.count("*").alias("steps"), F.sum(F.length("task")).alias("chars"), F.sum("id").alias("ids"))
 
 
 def label_files(spark, sf):
-    """Boxes written as label files and read back."""
+    """All images' boxes written as label files <image_id>.txt and read back."""
     path = _folder(spark, "labels")
-    d = _dets(spark, sf).where("image_id % 50 = image_id % 1000")
-    sources.write_labels(d.withColumn("vw", F.lit(400.0)).withColumn("vh", F.lit(300.0)), path)
-    back = sources.read_labels(spark, f"{path}/*")
-    return back.agg(F.count("*").alias("boxes"), F.round(F.sum("w"), 1).alias("width"), F.sum("cls").alias("classes"))
+    sources.write_labels(_dets(spark, sf).withColumn("vw", F.lit(400.0)).withColumn("vh", F.lit(300.0)), path)
+    back = sources.read_labels(spark, path)
+    return back.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.count("*").alias("boxes"), F.round(F.sum("w"), 5).alias("width"), F.sum(F.col("line_no") * F.col("cls")).alias("classes"))
+
+
+def screenshots(spark, sf):
+    """Screenshots saved beside the log, joined to their captures by the file's stem."""
+    path = _folder(spark, "shots")
+    c = table(spark, sf, "conversations").where("turn % 3 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("name"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    for kind, suffix in ((0, ".png"), (1, ".webp"), (2, ".jpg")):
+        sources.write_named(c.where(F.crc32("name") % 3 == kind), f"{path}/{kind}", suffix)
+    shots = sources.read_screenshots(spark, f"{path}/*")
+    ids = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    joined = ids.join(shots, F.col("id").cast("string") == F.col("stem"), "left")
+    return joined.select("id", F.col("mime").isNotNull().alias("has_shot"), F.octet_length("content").cast("int").alias("bytes"))
+
+
+def page_fixtures(spark, sf):
+    """Labelled page fixtures written as files <page>.json and read back as boxes by role."""
+    path = _folder(spark, "fixtures")
+    d = _dets(spark, sf).withColumn("bbox", B.box("x", "y", "width", "height")).withColumn("label", F.concat(F.lit("no. "), F.col("idx").cast("string")))
+    of = lambda cls, item: F.transform(F.sort_array(F.collect_list(F.when(F.col("cls") == cls, F.struct("idx", "label", "bbox")))), item)
+    named = lambda e: F.struct(e["label"].alias("label"), e["bbox"].alias("bbox"))
+    pages = d.groupBy("image_id").agg(of(0, named).alias("links"), of(1, named).alias("buttons"), of(2, lambda e: e["bbox"]).alias("frames"))
+    viewport = F.struct(F.lit(400.0).alias("width"), F.lit(300.0).alias("height")).alias("viewport")
+    sources.write_named(pages.select("image_id", F.to_json(F.struct(viewport, "links", "buttons", "frames"))), path, ".json")
+    return sources.read_fixtures(spark, path).groupBy(F.col("page").cast("long").alias("page"), "role").agg(F.count("*").alias("boxes"), F.sum(F.col("pos") * F.col("width")).alias("weight"), F.max("label").alias("label"), F.max("vw").alias("vw"))
 
 
 def result_sinks(spark, sf):
@@ -238,10 +263,19 @@ def recorded_steps(spark, sf):
     return spark.read.parquet(f"{path}/out").groupBy("outcome").agg(F.count("*").alias("steps"))
 
 
+def sanitised_stream(spark, sf):
+    """Captures that arrive as files, sanitised by the stream and appended to a table."""
+    path = _folder(spark, "arriving")
+    _captures(spark, sf).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    streaming.sanitise_stream(arriving, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("sessionId", "stepIndex", F.col("page.title").alias("title"), F.col("page.url").alias("url"))
+
+
 QUERIES = {f.__name__: f for f in (
     hidden_lines, typed_values, hidden_text, field_regions, kept_nodes, photo_regions, judged_points, saved_names, allowed_details, readable_lines, unread_frames, viewed_frames, nested_frames,
     frame_routes, richest_captures, field_fill, control_texts, reading_times, vision_cells, all_elements, default_details, step_times, skipped_fields, approvals, sql_functions, decoded_images,
-    capture_log, label_files, result_sinks, recorded_steps,
+    capture_log, label_files, screenshots, page_fixtures, result_sinks, recorded_steps, sanitised_stream,
 )}
 
 _D = f"({duck(DETS)})"
@@ -319,8 +353,12 @@ ORACLE_SQL = {
     "sql_functions": r"""SELECT page_id, concat(regexp_extract(url, '^https?://[^/?#]+'), coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/'),
         CASE WHEN regexp_matches(url, '\?[^#]') THEN '?[REDACTED]' ELSE '' END, CASE WHEN regexp_matches(url, '#.') THEN '#[REDACTED]' ELSE '' END) AS url, 'mail [REDACTED] now' AS masked, 1 AS spans FROM pages""",
     "decoded_images": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN strlen(text) END::INT AS bytes FROM documents",
-    "capture_log": "SELECT conv_id::VARCHAR AS session, count(*) AS steps, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id",
-    "label_files": f"SELECT count(*) AS boxes, round(sum(round(width / 400, 6)), 1) AS width, sum(cls)::BIGINT AS classes FROM {_D} WHERE image_id % 50 = image_id % 1000",
+    "capture_log": "SELECT conv_id::VARCHAR AS session, count(*) AS steps, coalesce(sum(length(text)), 0)::BIGINT AS chars, sum(conv_id * 1000 + turn)::BIGINT AS ids FROM conversations GROUP BY conv_id",
+    "label_files": f"SELECT image_id, count(*) AS boxes, round(sum(round(width / 400, 6)), 5) AS width, sum((idx - 1) * cls)::BIGINT AS classes FROM {_D} GROUP BY image_id",
+    "screenshots": "SELECT conv_id * 1000 + turn AS id, turn % 3 = 0 AS has_shot, CASE WHEN turn % 3 = 0 THEN coalesce(strlen(text), 0) END::INT AS bytes FROM conversations",
+    "page_fixtures": f"""SELECT image_id AS page, CASE cls WHEN 0 THEN 'link' WHEN 1 THEN 'button' ELSE 'frame' END AS role, count(*) AS boxes, sum(pos * width) AS weight, CASE WHEN cls < 2 THEN max('no. ' || idx) END AS label, 400.0::DOUBLE AS vw
+      FROM (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY idx) - 1 AS pos FROM {_D}) GROUP BY image_id, cls""",
+    "sanitised_stream": f"""SELECT conv_id::VARCHAR AS "sessionId", turn::INT AS "stepIndex", title, concat('https://chat.example.org/c/', conv_id, '?[REDACTED]') AS url FROM {_TITLE}""",
     "result_sinks": "SELECT event_type, count(*) AS n, count(*) AS m FROM events GROUP BY event_type",
     "recorded_steps": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome, count(*) AS steps FROM events GROUP BY 1",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden import schema
 from pagewarden.functions import boxes as B
+from pagewarden.sources.named import read_named, write_named
 
 ROLE_LISTS = {"links": "link", "buttons": "button", "controls": "control", "frames": "frame", "canvases": "canvas"}
 
@@ -42,20 +43,35 @@ def encode_base64(data: Column) -> Column:
     return F.base64(data)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, id, line_no, cls, cx, cy, w, h) of label files, a line a box; blank lines are dropped before counting."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(stem(F.input_file_name()).alias("image_id"), "value")
-    lines = F.filter(F.split(F.trim("value"), r"\r?\n"), lambda x: F.trim(x) != "")
-    parts = files.select("image_id", F.posexplode(lines).alias("line_no", "line")).withColumn("p", F.split(F.trim("line"), r"\s+"))
+def write_captures(captures: DataFrame, path: str, id: str = "id") -> None:  # noqa: A002
+    """The capture log: a file <id>.json for each capture; null fields are left out."""
+    write_named(captures.select(F.col(id), F.to_json(F.struct(*captures.columns))), path, ".json")
+
+
+def label_lines(files: DataFrame) -> DataFrame:
+    """(image_id, id, line_no, cls, cx, cy, w, h) of label files (name, content), a line a box; blank lines are dropped before counting."""
+    lines = F.filter(F.split(F.trim("content"), r"\r?\n"), lambda x: F.trim(x) != "")
+    parts = files.select(F.col("name").alias("image_id"), F.posexplode(lines).alias("line_no", "line")).withColumn("p", F.split(F.trim("line"), r"\s+"))
     number = lambda i: F.get("p", F.lit(i)).try_cast("double")
     return parts.select("image_id", F.concat(F.lit("gt_"), F.col("line_no").cast("string")).alias("id"), "line_no", F.get("p", F.lit(0)).try_cast("int").alias("cls"), *(number(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """label_lines of the files <image_id>.txt in a folder, or of one file."""
+    return label_lines(read_named(spark, path, ".txt"))
+
+
+def stream_labels(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same as a stream of arriving files."""
+    return label_lines(read_named(spark, path, ".txt", files_per_trigger, stream=True))
+
+
 def write_labels(boxes: DataFrame, path: str) -> None:
-    """A folder of label lines for each image; ``boxes`` has image_id, cls, idx, box, vw, vh."""
+    """A file <image_id>.txt of label lines for each image; ``boxes`` has image_id, cls, idx, box, vw, vh."""
     line = B.norm_line(F.col("cls"), B.box("x", "y", "width", "height"), F.col("vw"), F.col("vh"))
-    rows = boxes.select("image_id", "idx", line.alias("value"))
-    rows.repartition("image_id").sortWithinPartitions("image_id", "idx").select("image_id", "value").write.mode("overwrite").partitionBy("image_id").text(path)
+    of_image = F.sort_array(F.collect_list(F.struct("idx", line.alias("line"))))
+    files = boxes.groupBy("image_id").agg(F.concat(F.array_join(F.transform(of_image, lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
+    write_named(files, path, ".txt")
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:

@@ -127,8 +127,33 @@ def test_labels_round_trip(spark, tmp_path):
     (tmp_path / "one.txt").write_text("0 0.5 0.5 0.1 0.1\n\n2 0.25 0.2 0.3 0.2\n")
     got = sources.read_labels(spark, str(tmp_path / "one.txt")).orderBy("line_no").collect()
     assert [(r["image_id"], r["id"], r["cls"], r["w"]) for r in got] == [("one", "gt_0", 0, 0.1), ("one", "gt_1", 2, 0.3)]
-    lines = spark.read.text(str(tmp_path / "labels" / "image_id=p1")).collect()
-    assert [r[0] for r in lines] == ["1 0.250000 0.200000 0.300000 0.200000", "0 0.025000 0.012500 0.050000 0.025000"]
+    assert (tmp_path / "labels" / "p1.txt").read_text() == "1 0.250000 0.200000 0.300000 0.200000\n0 0.025000 0.012500 0.050000 0.025000\n"
+    back = sources.read_labels(spark, str(tmp_path / "labels"))
+    assert {(r["image_id"], r["line_no"], r["cls"], r["cx"], r["h"]) for r in back.collect()} == {("p1", 0, 1, 0.25, 0.2), ("p1", 1, 0, 0.025, 0.025), ("p2", 0, 2, 0.02, 0.01)}
+    q = sources.stream_labels(spark, str(tmp_path / "labels"), 1).writeStream.format("memory").queryName("labels_back").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.sql("SELECT * FROM labels_back").collect())) == sorted(map(tuple, back.collect()))
+
+
+def test_named_files_of_any_names(spark, tmp_path):
+    from pagewarden.sources.named import read_named, write_named
+
+    names = ["plain", "a/b", "50% off+more", "x y", "é", "..", "_hidden", ".dot", "q?#&=", "part-00000", "UPPER.txt"]
+    df = spark.createDataFrame([(n, f"content of {n}\n\nend") for n in names] + [(None, "x"), ("none", None), ("", "x")], "name string, content string").repartition(3)
+    for _ in range(2):
+        write_named(df, str(tmp_path / "n"), ".txt")
+        got = {r["name"]: r["content"] for r in read_named(spark, str(tmp_path / "n"), ".txt").collect()}
+        assert got == {n: f"content of {n}\n\nend" for n in names}
+    write_named(df.where("name = 'plain'"), f"file://{tmp_path}/n", ".txt")
+    assert sorted(p.name for p in (tmp_path / "n").iterdir() if not p.name.startswith(".")) == ["_SUCCESS", "plain.txt"]
+
+
+def test_captures_written_and_read_back(spark, log, tmp_path):
+    df = sources.read_captures(spark, log)
+    sources.write_captures(df, str(tmp_path / "again"))
+    assert sorted(p.name for p in (tmp_path / "again").glob("*.json")) == [f"{i}.json" for i in range(6)]
+    rows = lambda d: sorted(json.dumps(r.asDict(True), default=str, sort_keys=True) for r in d.collect())
+    assert rows(sources.read_captures(spark, str(tmp_path / "again"))) == rows(df)
 
 
 def test_files(spark, log, tmp_path):

@@ -2,44 +2,124 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.functions import pii
 
-#: Keys of secrets are broadcast only under this many; more are joined by a shuffle.
-BROADCAST_SECRETS = 20_000
-#: Secrets without an inner word are filed under their first characters, as many as this.
-GRAM = 6
+#: Characters of secrets that one automaton holds, at some 50 bytes each in every task.
+BLOCK_CHARS = 1 << 20
+_built: dict = {}  # a worker's last automaton, by its block's number
+
+
+def automaton(secrets: list[tuple[int, str]]) -> ahocorasick.Automaton:
+    """Finds all of (number, value) in a text by one reading of it."""
+    found = ahocorasick.Automaton()
+    for number, value in secrets:
+        found.add_word(value, number)
+    found.make_automaton()
+    return found
+
+
+def _scan(held):
+    """(columns but the text, number of a secret) for each secret that occurs in a row's text, the last column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held.id not in _built:
+            _built.clear()
+            _built[held.id] = automaton(held.value)
+        find = _built[held.id].iter
+        for batch in batches:
+            owners, numbers = [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                own = {number for _, number in find(text)} if text else ()
+                owners += [i] * len(own)
+                numbers += own
+            taken = pa.array(owners, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[:-1]), pa.array(numbers, pa.int64())], names=[*batch.schema.names[:-1], "_secret"])
 
-def _within(texts: DataFrame, keys: Column, filed: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Texts with the secrets filed under one of their ``keys``, tested by substring."""
-    tokens = texts.select(*columns, text, F.explode(F.array_distinct(keys)).alias("_key"))
-    side = F.broadcast(filed) if filed.count() <= BROADCAST_SECRETS else filed
-    return tokens.join(side, "_key").where(F.contains(F.col(text), F.col("_value"))).select(*columns, F.col("_label").alias("label"))
+    return run
 
 
 def leaks(texts: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:
     """(columns of texts but the text, label): which secrets (label, value) occur in which texts.
 
-    Every secret is filed under its longest inner word and joined with the texts' words; only pairs that
-    share it are tested. Its first and last words may be cut by the text around it, so a secret of one or
-    two words is filed under its first characters instead. Empty and null values never leak.
+    Secrets are searched for all at once by an automaton over their characters, in blocks of BLOCK_CHARS
+    (one block for tens of thousands); texts are read where they are, once a block, and only a row for each hit
+    leaves the scan. Texts may be of any length; null ones have no leak, empty and null values never leak. A label with two values that occur comes twice.
     """
-    known = secrets.where("value IS NOT NULL AND value <> ''").select(F.col("label").alias("_label"), F.col("value").alias("_value")).distinct()
     columns = [c for c in texts.columns if c != text]
-    words = F.filter(F.split("_value", r"\s+"), lambda w: w != "")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    filed = known.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    found = _within(texts, F.split(text, r"\s+"), filed.where("_key IS NOT NULL"), text, columns)
-    short = filed.where("_key IS NULL").withColumn("_key", F.substring("_value", 1, GRAM))
-    chars = F.split(text, "")
-    for r in short.select(F.length("_key").alias("n")).distinct().collect():  # GRAM lengths at most
-        n = r["n"]
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))  # noqa: B023
-        found = found.unionByName(_within(texts, grams, short.where(F.length("_key") == n), text, columns))
-    return found
+    known = secrets.where("value IS NOT NULL AND value <> ''").select(F.col("label"), F.col("value")).distinct()
+    numbered = known.withColumn("_secret", F.xxhash64("value"))
+    size = known.agg(F.coalesce(F.sum(F.length("value")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    values = numbered.select("_secret", "value", F.pmod("_secret", F.lit(blocks)).alias("_block")).distinct()
+    safe = [f"c{i}" for i in range(len(columns))]  # columns of any names
+    plain = texts.select(*(F.col("`" + c.replace("`", "``") + "`") for c in (*columns, text))).toDF(*safe, "_text")
+    shape = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(safe, plain.schema)) + "_secret long"
+    spark, hits = texts.sparkSession, None
+    for block in range(blocks):
+        own = [(r["_secret"], r["value"]) for r in values.where(F.col("_block") == block).collect()]
+        if own or hits is None:
+            found = plain.mapInArrow(_scan(_Held(spark, own)), shape)
+            hits = found if hits is None else hits.unionByName(found)
+    told = hits.join(numbered.select("_secret", "label"), "_secret")
+    return told.select(*safe, "label").toDF(*columns, "label")
+
+
+class _Held:
+    """A broadcast block of secrets and its number."""
+
+    def __init__(self, spark, secrets: list[tuple[int, str]]):
+        self._broadcast = spark.sparkContext.broadcast(secrets)
+        self.id = self._broadcast._jbroadcast.id()
+
+    @property
+    def value(self):
+        return self._broadcast.value
+
+    def __getstate__(self):
+        return {"_broadcast": self._broadcast, "id": self.id}
+
+
+def json_leaves(rows: DataFrame, payload: str, levels: int = 6) -> DataFrame:
+    """(columns of rows but the payload, path, leaf): every scalar of a JSON payload, strings unescaped; null for nulls and empty containers.
+
+    A level of objects and arrays is opened by one step of variant_explode where the rows are; deeper ones than
+    ``levels`` are looked for first and opened as well. Text that is no JSON is one leaf, itself, with path $;
+    a null payload has none. Within a path, ~ . and [ in keys are written ~0 ~1 ~2.
+    """
+    columns = [c for c in rows.columns if c != payload]
+    v = F.try_parse_json(payload)
+    whole = F.coalesce(v, F.to_variant_object(F.array(F.col(payload))))
+    # What is no JSON is put in an array of one, opened by the first step.
+    opened = rows.where(F.col(payload).isNotNull()).select(*columns, F.when(v.isNull(), True).otherwise(False).alias("_plain"), F.lit("$").alias("path"), whole.alias("_v"))
+
+    def step(df: DataFrame) -> DataFrame:
+        exploded = df.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+        key = F.replace(F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("."), F.lit("~1")), F.lit("["), F.lit("~2"))
+        at = F.when(F.col("pos").isNull() | F.col("_plain"), F.col("path")).when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), key))
+        return exploded.select(*columns, "_plain", at.alias("path"), F.coalesce("value", "_v").alias("_v"))
+
+    def nested() -> Column:
+        return F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<.+>$") & (F.schema_of_variant("_v") != "OBJECT<>") & (F.schema_of_variant("_v") != "ARRAY<VOID>")
+
+    for _ in range(levels):
+        opened = step(opened)
+    while not opened.where(nested()).isEmpty():
+        for _ in range(levels):
+            opened = step(opened)
+    leaf = F.when(~F.schema_of_variant("_v").rlike("^(OBJECT|ARRAY)<"), F.try_variant_get(F.col("_v"), "$", "string"))
+    return opened.select(*columns, "path", leaf.alias("leaf"))
+
+
+def payload_leaks(payloads: DataFrame, secrets: DataFrame, payload: str = "payload") -> DataFrame:
+    """(columns of payloads but the payload, path, label): leaks in the leaves of JSON payloads."""
+    return leaks(json_leaves(payloads, payload).where("leaf IS NOT NULL"), secrets, "leaf")
 
 
 def leaked_labels(texts: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:

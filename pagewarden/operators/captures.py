@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
+from pagewarden import schema
 from pagewarden.functions import boxes as B
 from pagewarden.functions import pii
 from pagewarden.functions import text as T
@@ -22,7 +24,6 @@ METHODS = ("ml", "heuristic", "dom", "ocr")
 ACTIONS = ("click", "type", "scroll", "navigate", "wait", "done", "ask_user", "noop")
 MIMES = ("image/png", "image/jpeg", "image/webp")
 PROTOCOL_MAJOR = "0"
-TOP_KEYS = ("protocolVersion", "sessionId", "stepIndex", "task", "page", "viewport", "elements", "screenshot", "redactions", "history", "perception", "pageText", "profileFields")
 _SURFACES = {"canvas": ", drawn on a canvas", "frame": ", inside an embedded frame", "image": ", part of an image"}
 
 
@@ -139,14 +140,53 @@ def violations(capture: str = "") -> Column:
     return F.filter(F.array(*(F.when(~ok, F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
 
 
+def _nodes(kind: K.DataType, path: tuple[str, ...] = ()):
+    """(path of field names, [] for an array's items; the names it may have) of each object of a type; maps may have any."""
+    if isinstance(kind, K.ArrayType):
+        yield from _nodes(kind.elementType, (*path, "[]"))
+    elif isinstance(kind, K.StructType):
+        yield path, kind.fieldNames()
+        for f in kind:
+            yield from _nodes(f.dataType, (*path, f.name))
+
+
+def _keys_at(v: Column, path: tuple[str, ...]) -> Column:
+    """The keys of the objects at a path of a variant; none where something else stands there."""
+    head = path.index("[]") if "[]" in path else len(path)
+    kind = "map<string,variant>"
+    for step in reversed(path[head:]):
+        kind = f"array<{kind}>" if step == "[]" else f"struct<`{step}`:{kind}>"
+    found = F.try_variant_get(v, "$" + "".join(f".{s}" for s in path[:head]), kind)
+
+    def within(x: Column, steps: tuple[str, ...]) -> Column:
+        if not steps:
+            return F.map_keys(x)
+        if steps[0] == "[]":
+            return F.flatten(F.filter(F.transform(x, lambda y: within(y, steps[1:])), lambda k: k.isNotNull()))
+        return within(x[steps[0]], steps[1:])
+
+    return F.coalesce(within(found, path[head:]), F.array().cast("array<string>"))
+
+
 def unknown_keys(raw: Column) -> Column:
-    """Top-level keys of a raw JSON capture that the contract does not have."""
-    return F.array_except(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), F.array(*map(F.lit, TOP_KEYS)))
+    """Paths of the keys of a raw JSON capture, at any level, that the contract does not have: page.x, elements[].bbox.y."""
+    v, out = F.try_parse_json(raw), []
+    for path, names in _nodes(K.StructType.fromDDL(schema.CAPTURE)):
+        prefix = "".join(s if s == "[]" else f".{s}" for s in path).lstrip(".")
+        extra = F.array_except(_keys_at(v, path), F.array(*map(F.lit, names)))
+        out.append(F.transform(extra, lambda k: F.concat(F.lit(f"{prefix}." if prefix else ""), k)))  # noqa: B023
+    return F.array_sort(F.concat(*out))
 
 
-def split_valid(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid captures of the protocol's major version, rejects with their violations)."""
-    marked = captures.withColumn("violations", F.concat(violations(), F.when(same_major(F.col("protocolVersion")), F.array().cast("array<string>")).otherwise(F.array(F.lit("protocol major")))))
+def split_valid(captures: DataFrame, raw: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid captures of the protocol's major version, rejects with their violations).
+
+    ``raw`` is the column of the JSON that a capture was read from: its unknown keys are violations as well.
+    """
+    none = F.array().cast("array<string>")
+    major = F.when(same_major(F.col("protocolVersion")), none).otherwise(F.array(F.lit("protocol major")))
+    unknown = F.transform(F.coalesce(unknown_keys(F.col(raw)), none), lambda k: F.concat(F.lit("unknown: "), k)) if raw else none
+    marked = captures.withColumn("violations", F.concat(violations(), major, unknown))
     return marked.where("size(violations) = 0").drop("violations"), marked.where("size(violations) > 0")
 
 

@@ -76,6 +76,27 @@ def leaked_labels(spark, sf):
     return audit.leaked_labels(table(spark, sf, "documents").select("doc_id", "text"), secrets)
 
 
+def payload_leaks(spark, sf):
+    """The same in JSON payloads made of documents: texts are escaped there, and leak by the leaf they stand in."""
+    secrets = table(spark, sf, "benchmark").select(F.col("item_id").alias("label"), F.col("text").alias("value"))
+    d = table(spark, sf, "documents")
+    label = F.struct(F.substring("text", 1, 2000).alias("label"), F.struct(F.col("doc_id").alias("x")).alias("bbox"))
+    return audit.payload_leaks(d.select("doc_id", F.to_json(F.struct(F.struct(F.col("text").alias("title")).alias("page"), F.array(label).alias("elements"))).alias("payload")), secrets)
+
+
+def unknown_fields(spark, sf):
+    """Raw captures with fields that the contract does not have, at several levels."""
+    name = F.concat(F.lit("k"), (F.col("conv_id") % 10).cast("string"))
+    field = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    raw = (
+        F.when(F.col("turn") % 4 == 0, field('{"task": "', name, '", "page": {"url": "u"}, "elements": []}'))
+        .when(F.col("turn") % 4 == 1, field('{"', name, '": 1, "page": {"url": "u", "', name, '": {"task": 1}}, "viewport": 3}'))
+        .when(F.col("turn") % 4 == 2, field('{"elements": [{"id": "a", "bbox": {"x": 1, "', name, '": 2}}, {"', name, '": null}, 7], "redactions": [{"bbox": {"depth": 1}}]}'))
+        .otherwise(field('{"elements": [{"attributes": {"', name, '": "free"}}], "history": [{"action": "click", "', name, '": []}], "perception": {"visualElements": [{"bbox": {"', name, '": 1}}]}}'))
+    )
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(C.unknown_keys(raw), ",").alias("unknown"))
+
+
 def rescan(spark, sf):
     """Masked documents in which a second scan finds something: none."""
     masked = _spans(spark, sf).where("size(spans) > 0").select("doc_id", pii.mask_labelled(F.col("text"), F.col("spans")).alias("text"))
@@ -105,7 +126,7 @@ def page_controls(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pii_documents, pii_by_lang, pii_spans, pii_conversations, scrubbed_urls, questions, provenance, text_forms, sensitive_lines, leaks, leaked_labels, rescan, page_elements, page_links, page_pii, page_controls,
+    pii_documents, pii_by_lang, pii_spans, pii_conversations, scrubbed_urls, questions, provenance, text_forms, sensitive_lines, leaks, leaked_labels, payload_leaks, unknown_fields, rescan, page_elements, page_links, page_pii, page_controls,
 )}
 
 # DuckDB's patterns have no look-around. A neighbour is matched along instead, and a second pass over the
@@ -167,6 +188,11 @@ ORACLE_SQL = {
       SELECT conv_id, turn, t3 AS masked, len(cards) + len(emails) + len(phones) > 0 AS redacted,
              array_to_string(list_distinct(list_transform(list_sort(list_concat(list_transform(cards, lambda v: printf('%09d', strpos(t0, v)) || 'payment_card'), list_transform(emails, lambda v: printf('%09d', strpos(t0, v)) || 'email'), list_transform(phones, lambda v: printf('%09d', strpos(t0, v)) || 'phone'))), lambda x: x[10:])), ',') AS categories FROM h""",
     "leaks": "SELECT d.doc_id, b.item_id AS label FROM documents d JOIN (SELECT DISTINCT item_id, text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text)",
+    "payload_leaks": """WITH b AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text <> '')
+      SELECT d.doc_id, '$.page.title' AS path, b.item_id AS label FROM documents d JOIN b ON contains(d.text, b.text)
+      UNION ALL SELECT d.doc_id, '$.elements[0].label', b.item_id FROM documents d JOIN b ON contains(d.text[1:2000], b.text)""",
+    "unknown_fields": """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN concat('k', conv_id % 10, ',page.k', conv_id % 10) WHEN 2 THEN concat('elements[].bbox.k', conv_id % 10, ',elements[].k', conv_id % 10, ',redactions[].bbox.depth')
+      ELSE concat('history[].k', conv_id % 10, ',perception.visualElements[].bbox.k', conv_id % 10) END AS unknown FROM conversations""",
     "leaked_labels": "SELECT b.item_id AS label, count(*) AS texts FROM documents d JOIN (SELECT DISTINCT item_id, text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text) GROUP BY b.item_id",
     "rescan": f"{_DOCS} SELECT count(*) AS scanned, 0::BIGINT AS left_over FROM h WHERE len(cards) + len(emails) + len(phones) > 0",
     "page_links": r"""SELECT page_id, len(regexp_extract_all(html, '<a href="[^"]*">'))::BIGINT AS links, len(regexp_extract_all(html, '<a href="[^"]*">[^<]+'))::BIGINT AS named FROM pages WHERE regexp_matches(html, '<a href="')""",

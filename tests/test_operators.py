@@ -1,5 +1,7 @@
 import datetime
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,8 +166,26 @@ def test_contract(spark, change, broken):
 
 
 def test_unknown_keys(spark):
-    raw = json.dumps({"task": "x", "extra": 1})
-    assert spark.createDataFrame([(raw,)], "j string").select(captures.unknown_keys(F.col("j")).alias("u")).first()["u"] == ["extra"]
+    cases = [
+        ({"task": "x", "extra": 1}, ["extra"]),
+        ({"page": {"evil": 1, "url": "u"}}, ["page.evil"]),
+        ({"elements": [{"id": "a", "bbox": {"x": 1, "z": {}}}, {"bad": None, "attributes": {"any": "x"}}, 3]}, ["elements[].bad", "elements[].bbox.z"]),
+        ({"history": [{"action": "click", "why": []}], "viewport": {"scrollX": 1, "zoom": 2}}, ["history[].why", "viewport.zoom"]),
+        ({"perception": {"visualElements": [{"bbox": {"q": 1}, "role": "r"}], "model": 1}}, ["perception.model", "perception.visualElements[].bbox.q"]),
+        ({"page.url": 1, "page": "not an object", "redactions": {"a": 1}}, ["page.url"]),
+        ({}, []), ([1], []), ("text", []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(90, "no {json"), (91, None)], "i int, j string")
+    got = {r["i"]: r["u"] for r in df.select("i", captures.unknown_keys(F.col("j")).alias("u")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)} | {90: [], 91: []}
+
+
+def test_unknown_keys_are_violations(spark):
+    good = capture()
+    rows = spark.createDataFrame([good], schema.CAPTURE).withColumn("raw", F.explode(F.array(F.lit('{"task": "x"}'), F.lit('{"page": {"evil": 1}}'))))
+    valid, rejects = captures.split_valid(rows, "raw")
+    assert [r["raw"] for r in valid.collect()] == ['{"task": "x"}']
+    assert [r["violations"] for r in rejects.collect()] == [["unknown: page.evil"]]
 
 
 def test_frames(spark):
@@ -219,11 +239,67 @@ def test_audit(spark, monkeypatch):
     secrets = spark.createDataFrame([("a", "en the big do"), ("b", "hush"), ("c", ""), ("d", "absent words here"), ("b", "hush")], "label string, value string")
     want = [(1, "a"), (2, "b")]
     assert ids(audit.leaks(texts, secrets), "doc_id", "label") == want
-    monkeypatch.setattr(audit, "BROADCAST_SECRETS", 0)
+    monkeypatch.setattr(audit, "BLOCK_CHARS", 10)
     assert ids(audit.leaks(texts, secrets), "doc_id", "label") == want
     assert audit.rescan(spark.createDataFrame([("x [REDACTED]",), ("jane@x.io is left",)], "text string")).count() == 1
 
 
+@pytest.mark.parametrize("block_chars", [1 << 20, 40])
+def test_leaks_by_brute_force(spark, monkeypatch, block_chars):
+    monkeypatch.setattr(audit, "BLOCK_CHARS", block_chars)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abc é\n\"") for _ in range(n))
+    texts = [(i, word(rng.randrange(0, 60)), "x") for i in range(200)] + [(900, None, "x"), (901, "", "x"), (902, "ab" * 200_000 + "needle", "x")]
+    secrets = [(f"s{i}", word(rng.randrange(1, 5))) for i in range(60)] + [("n", "needle"), ("m", "eedl"), ("same", "needle"), ("none", None), ("empty", ""), ("two", "ab"), ("two", "ba")]
+    want = sorted((i, label) for i, t, _ in texts for label, v in set(secrets) if v and t and v in t)
+    got = audit.leaks(spark.createDataFrame(texts, "doc_id int, text string, `other.column` string").repartition(5), spark.createDataFrame(secrets, "label string, value string"))
+    assert got.columns == ["doc_id", "other.column", "label"] and sorted((r["doc_id"], r["label"]) for r in got.collect()) == want
+
+
+def test_many_secrets_move_no_text(spark):
+    secrets = spark.range(100_000).selectExpr("CAST(id AS STRING) AS label", "concat('secret number ', id, ' ends') AS value")
+    texts = spark.range(2000).selectExpr("id AS doc_id", "repeat(concat('filler text ', id, '. '), 20) AS filler").selectExpr("doc_id", "concat(filler, 'secret number ', doc_id * 7, ' ends', filler) AS text")
+    found = audit.leaks(texts, secrets)
+    assert {(r["doc_id"], r["label"]) for r in found.collect()} == {(i, str(i * 7)) for i in range(2000)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange" in line]
+    assert exchanged and not any("_text" in line or "filler" in line for line in exchanged)
+
+
+def walk(v, path="$"):
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield from walk(x, f"{path}.{k.replace('~', '~0').replace('.', '~1').replace('[', '~2')}")
+        if not v:
+            yield path, None
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from walk(x, f"{path}[{i}]")
+        if not v:
+            yield path, None
+    else:
+        yield path, v if isinstance(v, str) or v is None else json.dumps(v)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 6])
+def test_json_leaves(spark, levels):
+    deep = {"a": 1}
+    for i in range(9):
+        deep = {"k": [deep, i]} if i % 2 else {"k.x": deep, "~[": "s"}
+    payloads = [{"a": "x\ny \"q\" é", "b": [1, [True, None, "z"], {}], "c": {"d": {"e": 2.5}}, "f": []}, [], {}, "text", 3, None, deep, [[["deep"]]]]
+    rows = [(i, json.dumps(p)) for i, p in enumerate(payloads)] + [(100, "no {json"), (101, None), (102, "")]
+    got = Counter(tuple(r) for r in audit.json_leaves(spark.createDataFrame(rows, "i int, payload string"), "payload", levels).collect())
+    want = Counter((i, *x) for i, p in enumerate(payloads) for x in walk(p)) + Counter([(100, "$", "no {json"), (102, "$", "")])
+    assert got == want
+
+
+def test_leaks_in_escaped_leaves(spark):
+    payloads = [(1, json.dumps({"page": {"title": 'say "hi"\nthere'}, "n": [1, {"x": "é secret"}]})), (2, "plain é secret text"), (3, json.dumps({"é secret": "key"}))]
+    secrets = spark.createDataFrame([("a", '"hi"\nthere'), ("b", "é secret")], "label string, value string")
+    got = audit.payload_leaks(spark.createDataFrame(payloads, "i int, payload string"), secrets)
+    assert sorted(map(tuple, got.collect())) == [(1, "$.n[1].x", "b"), (1, "$.page.title", "a"), (2, "$", "b")]
+
+
 def test_basket(spark):
     rows = [(1, i, "book", p) for i, p in enumerate((500.0, 400.0, 300.0, 200.0))] + [(1, 9, "laptop", 59000.0), (2, 0, "book", 100.0)]
     got = {r["basket"]: tuple(r)[1:] for r in store.totals(spark.createDataFrame(rows, "basket int, item int, kind string, price double")).collect()}

@@ -1,13 +1,14 @@
 """Detection tables: post-processing, suppression, matching to truth, scores, and variant comparison.
 
-Boxes are columns x, y, width, height. Folds that depend on order (suppression, greedy matching) run
-over one image's boxes as an array; an image holds few boxes, and everything else is joins and
-aggregates on (image, class).
+Boxes are columns x, y, width, height. Joins of boxes are on cells of a grid of their image, so that an image
+of very many boxes is no product with itself and no one task's. Folds that depend on order run over one
+image's boxes as an array where they are few; suppression of many goes by rounds.
 """
 
 from __future__ import annotations
 
 import functools
+import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,83 @@ def a_box(prefix: str = "") -> Column:
     return B.box(*(F.col(f"{prefix}{k}") for k in _XYWH))
 
 
+#: Side of a grid's cells in pixels: some boxes wide. cell_side() chooses one from a table's boxes.
+CELL = 128.0
+#: Boxes of an image and class that are folded as one array; more are suppressed by rounds.
+DENSE = 2000
+
+
+def cell_side(boxes: DataFrame) -> float:
+    """The power of two at or over most boxes' (nine in ten) longer side, from 16 to 4096; one pass over the table."""
+    size = boxes.agg(F.percentile_approx(F.greatest("width", "height"), 0.9)).first()[0] or CELL
+    side = 16.0
+    while side < min(size, 4096):
+        side *= 2
+    return side
+
+
+def _cell(at: Column, side: float) -> Column:
+    return F.floor(at / F.lit(side))
+
+
+def in_cells(boxes: DataFrame, side: float, cell: str = "cell") -> DataFrame:
+    """A row for each grid cell that a box touches, edges included; boxes without a place or a size have none."""
+    span = lambda a, n: F.sequence(_cell(F.col(a), side), _cell(F.col(a) + F.greatest(F.col(n), F.lit(0.0)), side))
+    whole = boxes.where("x IS NOT NULL AND y IS NOT NULL AND width IS NOT NULL AND height IS NOT NULL")
+    return whole.withColumn(f"{cell}_x", F.explode(span("x", "width"))).withColumn(f"{cell}_y", F.explode(span("y", "height")))
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage ends in the session's checkpoint folder; a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def _suppress_by_rounds(dets: DataFrame, iou_threshold: float, by: tuple[str, ...], side: float) -> DataFrame:
+    """The same for groups of any size: each round keeps what no undecided better box overlaps, and drops what that overlaps."""
+    boxes = in_cells(dets.select(*by, "idx", "conf", *_XYWH), side)
+    keys = [*by, "cell_x", "cell_y"]
+    one = boxes.select(*keys, F.struct("conf", "idx").alias("a"), a_box().alias("ab"))
+    two = boxes.select(*keys, F.struct("conf", "idx").alias("b"), a_box().alias("bb"))
+    better = (F.col("a.conf") > F.col("b.conf")) | ((F.col("a.conf") == F.col("b.conf")) & (F.col("a.idx") < F.col("b.idx")))
+    # A pair is told in the cell of its overlap's corner only.
+    corner = (_cell(F.greatest(F.col("ab.x"), F.col("bb.x")), side) == F.col("cell_x")) & (_cell(F.greatest(F.col("ab.y"), F.col("bb.y")), side) == F.col("cell_y"))
+    pairs = one.join(two, keys).where(better & corner & (B.iou(F.col("ab"), F.col("bb")) > iou_threshold))
+    edges = _checkpointed(pairs.select(*by, F.col("a.idx").alias("win"), F.col("b.idx").alias("lose")))
+    open_ = _checkpointed(dets.select(*by, "idx"))
+    kept = None
+    while not open_.isEmpty():
+        losers = edges.select(*by, F.col("lose").alias("idx")).distinct()
+        now = _checkpointed(open_.join(losers, [*by, "idx"], "left_anti"))
+        beaten = _checkpointed(edges.join(now.withColumnRenamed("idx", "win"), [*by, "win"], "left_semi").select(*by, F.col("lose").alias("idx")).distinct())
+        kept = now if kept is None else kept.unionByName(now)
+        gone = now.unionByName(beaten)
+        open_ = _checkpointed(open_.join(gone, [*by, "idx"], "left_anti"))
+        edges = edges.join(gone.withColumnRenamed("idx", "win"), [*by, "win"], "left_anti").join(beaten.withColumnRenamed("idx", "lose"), [*by, "lose"], "left_anti")
+        edges = _checkpointed(edges)
+    return dets.select(*by, "idx", "conf", *_XYWH).where("false") if kept is None else dets.select(*by, "idx", "conf", *_XYWH).join(kept, [*by, "idx"])
+
+
+def suppress_dense(dets: DataFrame, iou_threshold: float, most: int, by: tuple[str, ...] = ("image_id", "cls"), side: float = CELL, dense: int = DENSE) -> DataFrame:
+    """suppress() for tables where an image may hold any number of boxes (idx tells a group's boxes apart).
+
+    Groups of over ``dense`` boxes are suppressed by rounds over pairs that share a cell; the others as arrays. Of what
+    a group keeps, the ``most`` most confident stay, which is what stopping there amounts to.
+    """
+    counts = dets.groupBy(*by).agg(F.count("*").alias("_n"))
+    many = _checkpointed(counts.where(F.col("_n") > dense).drop("_n"))
+    few = suppress(dets.join(many, list(by), "left_anti"), iou_threshold, most, by)
+    left = _suppress_by_rounds(dets.join(many, list(by), "left_semi"), iou_threshold, by, side)
+    # Only boxes among a group's most confident kept ones stay: a bounded number, found without sorting whole groups in one task.
+    ranked = left.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("conf"), "idx"))).where(F.col("_r") <= most).drop("_r")
+    return few.unionByName(ranked.select(*few.columns))
+
+
 def suppress(dets: DataFrame, iou_threshold: float, most: int, by: tuple[str, ...] = ("image_id", "cls")) -> DataFrame:
     """Greedy suppression within each image and class: of overlapping boxes the most confident stays.
 
@@ -99,14 +177,17 @@ def sweep(dets: DataFrame, truth: DataFrame, thresholds=THRESHOLDS, iou_threshol
     return s.withColumn("recall", ratio("found", "truth")).withColumn("precision", ratio("correct", "detections"))
 
 
-def best_iou(reference: DataFrame, candidates: DataFrame) -> DataFrame:
+def best_iou(reference: DataFrame, candidates: DataFrame, side: float = CELL) -> DataFrame:
     """Reference boxes (image_id, id) with the best IoU among the image's candidate boxes, 0 without one."""
-    c = candidates.select("image_id", a_box().alias("cb"))
-    r = reference.select("image_id", "id", a_box().alias("rb"))
-    return r.join(c, "image_id", "left").groupBy("image_id", "id").agg(F.max(F.coalesce(B.iou(F.col("rb"), F.col("cb")), F.lit(0.0))).alias("iou"))
+    keys = ["image_id", "cell_x", "cell_y"]
+    c = in_cells(candidates.select("image_id", *_XYWH), side).select(*keys, a_box().alias("cb"))
+    r = in_cells(reference.select("image_id", "id", *_XYWH), side).select(*keys, "id", a_box().alias("rb"))
+    # Pairs that share several cells come several times, which changes no maximum.
+    met = r.join(c, keys).groupBy("image_id", "id").agg(F.max(B.iou(F.col("rb"), F.col("cb"))).alias("best"))
+    return reference.select("image_id", "id").distinct().join(met, ["image_id", "id"], "left").select("image_id", "id", F.coalesce("best", F.lit(0.0)).alias("iou"))
 
 
-def vision_only(visual: DataFrame, elements: DataFrame, min_confidence: float = 0.5, most: int = 24, max_share: float = 0.25) -> DataFrame:
+def vision_only(visual: DataFrame, elements: DataFrame, min_confidence: float = 0.5, most: int = 24, max_share: float = 0.25, side: float = CELL) -> DataFrame:
     """Confident boxes that no listed control covers: image_id, idx, role, box, conf and the centre point (px, py).
 
     ``visual`` has image_id, idx, role, box, conf, matched_id, vw, vh; ``elements`` image_id, box,
@@ -115,9 +196,9 @@ def vision_only(visual: DataFrame, elements: DataFrame, min_confidence: float =
     area = F.col("width") * F.col("height") <= max_share * F.col("vw") * F.col("vh")
     v = visual.where(F.col("matched_id").isNull() & (F.col("conf") >= min_confidence) & (F.col("width") >= 8) & (F.col("height") >= 8) & area)
     v = v.withColumn("p", B.centre(a_box())).withColumn("px", F.col("p.x")).withColumn("py", F.col("p.y")).drop("p")
-    v = v.where("px >= 0 AND py >= 0 AND px < vw AND py < vh").alias("v")
-    e = elements.where("is_visible AND is_interactive").select("image_id", *_XYWH).alias("e")
-    inside = F.expr("v.image_id = e.image_id AND v.px BETWEEN e.x AND e.x + e.width AND v.py BETWEEN e.y AND e.y + e.height")
+    v = v.where("px >= 0 AND py >= 0 AND px < vw AND py < vh").withColumn("cell_x", _cell(F.col("px"), side)).withColumn("cell_y", _cell(F.col("py"), side)).alias("v")
+    e = in_cells(elements.where("is_visible AND is_interactive").select("image_id", *_XYWH), side).alias("e")
+    inside = F.expr("v.image_id = e.image_id AND v.cell_x = e.cell_x AND v.cell_y = e.cell_y AND v.px BETWEEN e.x AND e.x + e.width AND v.py BETWEEN e.y AND e.y + e.height")
     free = v.join(e, inside, "left_anti")
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("conf"), "idx"))
     return free.withColumn("_rank", rank).where(F.col("_rank") <= most).select("image_id", "idx", "role", *_XYWH, "conf", "px", "py")
@@ -158,12 +239,16 @@ def _rounded(dets: DataFrame) -> DataFrame:
     return dets.select("image_id", "cls", "idx", B.round3(F.col("conf")).alias("conf"), *(B.round1(F.col(k)).alias(k) for k in _XYWH))
 
 
-def uncovered(regions: DataFrame, masks: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Regions (image_id, box) that no mask of their image covers with ``margin`` of their size on every side."""
-    r, m = regions.alias("r"), masks.select("image_id", *_XYWH).alias("m")
+def uncovered(regions: DataFrame, masks: DataFrame, margin: float = 0.0, side: float = CELL) -> DataFrame:
+    """Regions (image_id, box) that no mask of their image covers with ``margin`` of their size on every side.
+
+    A mask that covers a region has the corner of it, margin included, in one of its cells.
+    """
     dx, dy = f"r.width * {margin}", f"r.height * {margin}"
-    inside = F.expr(f"r.image_id = m.image_id AND m.x <= r.x - {dx} AND m.y <= r.y - {dy} AND m.x + m.width >= r.x + r.width + {dx} AND m.y + m.height >= r.y + r.height + {dy}")
-    return r.join(m, inside, "left_anti")
+    corner = [_cell(F.expr(f"{k} - {n} * {margin}"), side).alias(f"_cell_{k}") for k, n in (("x", "width"), ("y", "height"))]
+    r, m = regions.select("*", *corner).alias("r"), in_cells(masks.select("image_id", *_XYWH), side).alias("m")
+    inside = F.expr(f"r.image_id = m.image_id AND r._cell_x = m.cell_x AND r._cell_y = m.cell_y AND m.x <= r.x - {dx} AND m.y <= r.y - {dy} AND m.x + m.width >= r.x + r.width + {dx} AND m.y + m.height >= r.y + r.height + {dy}")
+    return r.join(m, inside, "left_anti").drop("_cell_x", "_cell_y")
 
 
 def nearest_rank(values: Column, p: float) -> Column:

@@ -300,6 +300,67 @@ def test_leaks_in_escaped_leaves(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "$.n[1].x", "b"), (1, "$.page.title", "a"), (2, "$", "b")]
 
 
+def random_boxes(n, extent, size, seed, images=3, classes=2):
+    rng = random.Random(seed)
+    return [(rng.randrange(images), rng.randrange(classes), i, rng.choice([0.5, 0.6, rng.random()]), float(rng.randrange(-20, extent)), float(rng.randrange(-20, extent)), float(rng.randrange(0, size)), float(rng.randrange(0, size))) for i in range(n)]
+
+
+def overlap(a, b):
+    w, h = min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]), min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])
+    return w * h / (a[6] * a[7] + b[6] * b[7] - w * h) if w > 0 and h > 0 else 0.0
+
+
+DETS = f"image_id int, cls int, idx int, conf double, {BOX}"
+
+
+@pytest.mark.parametrize("side", [16.0, 128.0])
+def test_grid_joins_by_brute_force(spark, side):
+    a, b = random_boxes(300, 700, 90, 1), random_boxes(200, 700, 400, 2) + [(0, 0, 900, 0.9, 128.0, 128.0, 128.0, 128.0), (0, 0, 901, 0.9, 0.0, 0.0, 5000.0, 10.0), (1, 0, 902, 0.5, 256.0, 256.0, 0.0, 0.0)]
+    da, db = spark.createDataFrame(a, DETS), spark.createDataFrame(b, DETS)
+    best = {(r["image_id"], r["id"]): round(r["iou"], 9) for r in detections.best_iou(da.withColumnRenamed("idx", "id"), db, side).collect()}
+    assert best == {(x[0], x[2]): round(max((overlap(x, y) for y in b if y[0] == x[0]), default=0.0), 9) for x in a}
+    for margin in (0.0, 0.1):
+        inside = lambda x, y: x[0] == y[0] and y[4] <= x[4] - margin * x[6] and y[5] <= x[5] - margin * x[7] and y[4] + y[6] >= x[4] + x[6] + margin * x[6] and y[5] + y[7] >= x[5] + x[7] + margin * x[7]
+        assert ids(detections.uncovered(da, db, margin, side), "idx") == sorted((x[2],) for x in a if not any(inside(x, y) for y in b))
+    visual = da.withColumn("role", F.lit("button")).withColumn("matched_id", F.lit(None).cast("string")).withColumn("vw", F.lit(700.0)).withColumn("vh", F.lit(700.0))
+    listed = db.withColumn("is_visible", F.lit(True)).withColumn("is_interactive", F.col("idx") % 2 == 0)
+    got = ids(detections.vision_only(visual, listed, 0.3, 1000, side=side), "idx")
+    centre = lambda x: (x[4] + x[6] / 2, x[5] + x[7] / 2)
+    within = lambda p, y: y[4] <= p[0] <= y[4] + y[6] and y[5] <= p[1] <= y[5] + y[7]
+    want = [x for x in a if x[3] >= 0.3 and x[6] >= 8 and x[7] >= 8 and x[6] * x[7] <= 0.25 * 700 * 700 and 0 <= centre(x)[0] < 700 and 0 <= centre(x)[1] < 700 and not any(y[0] == x[0] and y[2] % 2 == 0 and within(centre(x), y) for y in b)]
+    assert got == sorted((x[2],) for x in want)
+    assert detections.cell_side(db) == 512.0 and detections.cell_side(db.where("false")) == 128.0
+
+
+def test_dense_suppression_is_suppression(spark):
+    df = spark.createDataFrame(random_boxes(600, 300, 60, 5), DETS)
+    for most in (1000, 7):
+        want = ids(detections.suppress(df, 0.3, most), "image_id", "cls", "idx")
+        assert ids(detections.suppress_dense(df, 0.3, most, dense=50, side=32.0), "image_id", "cls", "idx") == want
+        assert ids(detections.suppress_dense(df, 0.3, most), "image_id", "cls", "idx") == want
+    assert detections.suppress_dense(df.where("false"), 0.3, 10).collect() == []
+
+
+def test_an_image_of_100000_boxes(spark):
+    n, rng = 100_000, random.Random(3)
+    rows = [(1, 0, i, rng.random(), float(x := rng.randrange(6000)), float(y := rng.randrange(6000)), 20.0, 20.0) for i in range(n)]
+    df = spark.createDataFrame(rows, DETS)
+    grid = {}
+    for r in rows:
+        grid.setdefault((int(r[4] // 20), int(r[5] // 20)), []).append(r)
+    near = lambda r: (q for i in (-1, 0, 1) for j in (-1, 0, 1) for q in grid.get((int(r[4] // 20) + i, int(r[5] // 20) + j), ()))
+    kept, taken = [], set()
+    for r in sorted(rows, key=lambda r: (-r[3], r[2])):
+        if not any(q[2] in taken and overlap(r, q) > 0.3 for q in near(r)):
+            taken.add(r[2])
+            kept.append(r[2])
+    assert ids(detections.suppress_dense(df, 0.3, n, side=32.0), "idx") == sorted((i,) for i in kept)
+    half = df.where("idx % 2 = 0")
+    best = {r["id"]: round(r["iou"], 9) for r in detections.best_iou(half.withColumnRenamed("idx", "id"), df.where("idx % 2 = 1"), 32.0).collect()}
+    assert best == {r[2]: round(max((overlap(r, q) for q in near(r) if q[2] % 2), default=0.0), 9) for r in rows if r[2] % 2 == 0}
+    assert detections.uncovered(half, df.where("idx % 2 = 1")).count() > 45_000
+
+
 def test_basket(spark):
     rows = [(1, i, "book", p) for i, p in enumerate((500.0, 400.0, 300.0, 200.0))] + [(1, 9, "laptop", 59000.0), (2, 0, "book", 100.0)]
     got = {r["basket"]: tuple(r)[1:] for r in store.totals(spark.createDataFrame(rows, "basket int, item int, kind string, price double")).collect()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions import pii, values
@@ -22,7 +22,7 @@ FORM_ROLES = ("textbox", "checkbox", "radio", "select", "button")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style", "noscript", "textarea"))
 _ROLES = ("button", "link", "textbox", "checkbox", "radio")
-NODES = "page_id long, kind string, pos int, tag string, attributes map<string,string>, text string, for_label string, parent int"
+NODES = "page_id long, kind string, pos int, tag string, attributes map<string,string>, text string, for_label string, labelled_by string, parent int"
 
 
 class _Nodes(HTMLParser):
@@ -69,19 +69,30 @@ def _candidate(e: dict) -> bool:
     )
 
 
+def nodes_of(html: str | None):
+    """(kind, pos, tag, attributes, text, for_label, labelled_by, parent) of a page's candidate elements, then of its texts."""
+    p = _Nodes()
+    p.feed(html or "")
+    p.close()
+    labels = {e["attributes"]["for"]: "".join(e["text"]) for e in p.elements if e["tag"] == "label" and "for" in e["attributes"]}
+    named: dict[str, str] = {}
+    for e in p.elements:
+        if "id" in e["attributes"]:
+            named.setdefault(e["attributes"]["id"], "".join(e["text"]))
+    for i, e in enumerate(p.elements):
+        if _candidate(e):
+            refs = [named[r] for r in e["attributes"].get("aria-labelledby", "").split() if r in named]
+            yield "element", i, e["tag"], e["attributes"], "".join(e["text"]), labels.get(e["attributes"].get("id")), " ".join(refs) if refs else None, e["parent"]
+    for i, (t, n) in enumerate(p.texts):
+        yield "text", i, p.elements[n]["tag"], None, t, None, None, n
+
+
+_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
+
+
 def _parse(batches):
     for batch in batches:
-        rows = []
-        for page_id, html in zip(batch["page_id"], batch["html"]):
-            p = _Nodes()
-            p.feed(html or "")
-            p.close()
-            labels = {e["attributes"]["for"]: "".join(e["text"]) for e in p.elements if e["tag"] == "label" and "for" in e["attributes"]}
-            for i, e in enumerate(p.elements):
-                if _candidate(e):
-                    rows.append((page_id, "element", i, e["tag"], e["attributes"], "".join(e["text"]), labels.get(e["attributes"].get("id")), e["parent"]))
-            rows += [(page_id, "text", i, p.elements[n]["tag"], None, t, None, n) for i, (t, n) in enumerate(p.texts)]
-        yield pd.DataFrame(rows, columns=["page_id", "kind", "pos", "tag", "attributes", "text", "for_label", "parent"])
+        yield pd.DataFrame([(page_id, *n) for page_id, html in zip(batch["page_id"], batch["html"]) for n in nodes_of(html)], columns=_COLUMNS)
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -89,6 +100,16 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(_parse, NODES)
 
 
+class _PageNodes:
+    def eval(self, html: str):
+        yield from nodes_of(html)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """The table function page_nodes(html): SELECT p.page_id, n.* FROM pages p, LATERAL page_nodes(p.html) n."""
+    spark.udtf.register("page_nodes", F.udtf(_PageNodes, returnType=NODES.split(", ", 1)[1], useArrow=True))
+
+
 def text_nodes(nodes: DataFrame) -> DataFrame:
     """Text nodes worth scanning: six characters trimmed or more, outside hidden tags, the first 5000 of a page."""
     kept = nodes.where("kind = 'text'").where(F.length(T.trim_all(F.col("text"))) >= MIN_TEXT)
@@ -171,10 +192,7 @@ def element_table(nodes: DataFrame, prefix: str = "el_", limit: int | None = MAX
     Empty status texts are left out; attributes are those of the contract, cut at 100 characters, plus state.
     """
     e, a = nodes.where("kind = 'element'"), F.col("attributes")
-    named = e.where(F.map_contains_key(a, "id")).select("page_id", attribute(a, "id").alias("ref"), F.col("text").alias("ref_text")).dropDuplicates(["page_id", "ref"])
-    refs = e.where(F.map_contains_key(a, "aria-labelledby")).select("page_id", "pos", F.posexplode(F.split(T.collapse(attribute(a, "aria-labelledby")), " ")).alias("i", "ref"))
-    by_ref = refs.join(named, ["page_id", "ref"]).groupBy("page_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "ref_text"))), lambda x: x["ref_text"]), " ").alias("labelled_by"))
-    full = e.join(by_ref, ["page_id", "pos"], "left").where(listed(F.col("tag"), a)).withColumn("role", role_of(F.col("tag"), a))
+    full = e.where(listed(F.col("tag"), a)).withColumn("role", role_of(F.col("tag"), a))
     full = full.where((F.col("role") != "text") | (T.trim_all(F.coalesce("text", F.lit(""))) != ""))
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
     kept = values.whitelist(a, ATTRIBUTES)

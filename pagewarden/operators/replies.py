@@ -96,7 +96,7 @@ def first_object(raw: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _lenient(raw: pd.Series) -> pd.Series:
-    return raw.map(first_object)
+    return raw.map(first_object, na_action="ignore")
 
 
 def _strict(text: Column) -> Column:
@@ -112,9 +112,9 @@ def extract_object(df: DataFrame, raw: str, out: str = "object") -> DataFrame:
     text = F.regexp_replace(F.col(raw), r"(?s)^\s+|\s+$", "")
     fence = F.regexp_extract(text, r"(?s)```(?:json|JSON)?\s*(.*?)\s*```", 1)
     native = df.withColumn(out, F.coalesce(_strict(text), F.when(fence != "", _strict(fence))))
-    some = F.contains(F.col(raw), F.lit("{"))
-    easy, hard = native.where(F.col(out).isNotNull() | ~F.coalesce(some, F.lit(False))), native.where(F.col(out).isNull() & some)
-    return easy.unionByName(hard.withColumn(out, _lenient(F.col(raw))))
+    # One branch: the reader sees only what is left, and nothing in place of the rest.
+    hard = F.when(F.col(out).isNull() & F.contains(F.col(raw), F.lit("{")), F.col(raw))
+    return native.withColumn(out, F.coalesce(out, _lenient(hard)))
 
 
 def _key(k: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
+from pyspark.sql import types as K
 
 from pagewarden.functions import text as T
 
@@ -159,36 +159,63 @@ def describe_viewer(command: Column, elements: Column) -> Column:
     )
 
 
+def _walk(batches):
+    """A session's steps in order against what is remembered of it: adds is_repeat, repeats, is_skip to sorted rows.
+
+    The last six columns are session, the command as text, and flags: lacks a saved detail, is an empty text, has
+    a text from elsewhere, asks the user. A question leaves no command before the next step, nor does a field's first skip.
+    """
+    session, known, before, skipped, repeats = None, False, None, set(), 0
+    for batch in batches:
+        told = []
+        for key, same, target, lacks, empty, foreign, asks in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 7, batch.num_columns))):
+            if not known or key != session:
+                session, known, before, skipped, repeats = key, True, None, set(), 0
+            repeat = skip = False
+            if lacks:
+                before = None
+            elif before is not None and same == before:
+                repeat, repeats = True, repeats + 1
+            elif empty:
+                skip, before = True, same if target in skipped else None
+                skipped.add(target)
+            else:
+                before = None if foreign or asks else same
+            told.append((repeat, repeats, skip))
+        columns = [pa.array(c, t) for c, t in zip(zip(*told), (pa.bool_(), pa.int32(), pa.bool_()))] if told else [pa.array([], t) for t in (pa.bool_(), pa.int32(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-7], *columns], names=[*batch.schema.names[:-7], "is_repeat", "repeats", "is_skip"])
+
+
 def gate(steps: DataFrame, auto_confirm: bool = False) -> DataFrame:
-    """Adds verdict (run, needs_user, stopped, skip_repeat, skip_field, confirm) and message to a step log.
+    """Adds verdict (run, needs_user, stopped, skip_repeat, skip_field, confirm) and message to a step log, and is_repeat and repeats.
 
     ``steps`` has session, step, task, command, elements, and missing (names of placeholders without a
     saved value). First match decides: missing detail, repeat, empty text, text from elsewhere, risk. The
-    command before is the last that ran; questions are taken as answered and risks as allowed.
+    command before is the last that ran; questions are taken as answered and risks as allowed. A session's
+    steps pass one task in order, and only the last command, the skipped fields and the repeats are held.
     """
     c, els = F.col("command"), F.col("elements")
     e = element_of(els, c["target"])
     name = F.coalesce(F.nullif(e["label"], F.lit("")), c["target"])
     filled = F.try_element_at(e["attributes"], F.lit("filled"))
-    is_type = F.coalesce(c["action"] == "type", F.lit(False))
-    empty = is_type & F.coalesce(T.trim_all(c["text"]) == "", F.lit(False)) & (filled.isNull() | filled.isin("", "skipped"))
-    foreign = is_type & ~F.coalesce(has_placeholder(c["text"]), F.lit(False)) & ~F.coalesce(T.comes_from(c["text"], F.col("task")), F.lit(True))
-    asks = (F.size("missing") > 0) | foreign | F.coalesce(c["action"] == "ask_user", F.lit(False))
-    # After a question, and after a field's first skip, no command counts as the one before. An empty text
-    # that repeats what ran (the field was filled then) is a repeat and no skip.
-    w = _in_order()
-    marked = steps.withColumn("_same", canonical(c)).withColumn("_asks", asks).withColumn("_empty", empty & ~asks)
-    ran = F.coalesce(F.lag(F.when(~F.col("_asks") & ~F.col("_empty"), F.col("_same"))).over(w) == F.col("_same"), F.lit(False))
-    of_field = Window.partitionBy("session", c["target"])
-    skips = marked.withColumn("_skips", F.col("_empty") & ~ran).withColumn("_first", F.min(F.when(F.col("_skips"), F.col("step"))).over(of_field))
-    # A question that equals the command before is no repeat and leaves the budget as it is.
-    s = with_repeats(skips, F.when(F.size("missing") == 0, F.col("_same")), F.col("_asks") | (F.col("_skips") & (F.col("_first") == F.col("step")))).drop("_same", "_asks", "_empty", "_skips", "_first")
+    no = lambda x: F.coalesce(x, F.lit(False))
+    is_type = no(c["action"] == "type")
+    empty = is_type & no(T.trim_all(c["text"]) == "") & (filled.isNull() | filled.isin("", "skipped"))
+    foreign = is_type & ~no(has_placeholder(c["text"])) & ~F.coalesce(T.comes_from(c["text"], F.col("task")), F.lit(True))
+    names = [f"c{i}" for i in range(len(steps.columns))]  # columns of any names
+    marks = ["_session", "_same", "_target", "_lacks", "_empty", "_foreign", "_asks"]
+    marked = steps.select("*", F.col("session").cast("string"), canonical(c), c["target"], no(F.size("missing") > 0), empty, foreign, no(c["action"] == "ask_user")).toDF(*names, *marks)
+    at = {k: F.col(n) for k, n in zip(steps.columns, names)}
+    ordered = marked.repartition("_session").sortWithinPartitions("_session", at["step"])
+    shape = K.StructType([*(K.StructField(n, f.dataType) for n, f in zip(names, steps.schema)), K.StructField("is_repeat", K.BooleanType()), K.StructField("repeats", K.IntegerType()), K.StructField("is_skip", K.BooleanType())])
+    s = ordered.mapInArrow(_walk, shape).toDF(*steps.columns, "is_repeat", "repeats", "is_skip")
     s = s.withColumn("what", describe(c, e["label"])).withColumn("risk", risky(c, els))
+    # The messages of the contract.
     verdict = (
         F.when(F.size("missing") > 0, "needs_user")
         .when(F.col("is_repeat") & (F.col("repeats") <= MAX_REPEATS), "skip_repeat")
         .when(F.col("is_repeat"), "stopped")
-        .when(empty, "skip_field")
+        .when(F.col("is_skip"), "skip_field")
         .when(foreign, "needs_user")
         .when(F.col("risk").isNotNull() & ~F.lit(auto_confirm), "confirm")
         .otherwise("run")
@@ -197,11 +224,11 @@ def gate(steps: DataFrame, auto_confirm: bool = False) -> DataFrame:
         F.when(F.size("missing") > 0, F.concat(F.lit('The form asks for "'), name, F.lit('", but "'), F.array_join("missing", '", "'), F.lit('" is not saved.')))
         .when(F.col("is_repeat") & (F.col("repeats") <= MAX_REPEATS), F.concat(F.lit("Skipped a repeat of: "), F.col("what")))
         .when(F.col("is_repeat"), F.concat(F.lit("The agent kept proposing the same action ("), F.col("what"), F.lit("), so it was stopped.")))
-        .when(empty, F.concat(F.lit('Left "'), name, F.lit('" empty.')))
+        .when(F.col("is_skip"), F.concat(F.lit('Left "'), name, F.lit('" empty.')))
         .when(foreign, F.concat(F.lit('The agent wanted to type "'), c["text"], F.lit('", which is not in your task, so nothing was typed.')))
         .otherwise(F.col("risk"))
     )
-    return s.withColumn("verdict", F.coalesce(verdict, F.lit("run"))).withColumn("message", message)
+    return s.withColumn("verdict", F.coalesce(verdict, F.lit("run"))).withColumn("message", message).drop("is_skip")
 
 
 def select_elements(df: DataFrame, limit: int, elements: str = "elements") -> DataFrame:
@@ -279,5 +306,5 @@ def overlapping_steps(runs: DataFrame) -> DataFrame:
                 refused.append(not accepts_run(state, started, finished))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(refused, pa.bool_())], names=[*names, "refused"])
 
-    shape = T_.StructType([*(T_.StructField(n, f.dataType) for n, f in zip(names, runs.schema)), T_.StructField("refused", T_.BooleanType())])
+    shape = K.StructType([*(K.StructField(n, f.dataType) for n, f in zip(names, runs.schema)), K.StructField("refused", K.BooleanType())])
     return ordered.mapInArrow(fold, shape).toDF(*runs.columns, "refused")

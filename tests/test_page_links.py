@@ -14,3 +14,21 @@ def test_links_of_long_pages_are_all_counted(spark, tmp_path):
     assert got == sorted(con.execute(f"SELECT page_id, links, named FROM ({entry.oracle_sql()['page_links']})").fetchall())
     elements = entry.queries()["page_elements"](spark, str(tmp_path))
     assert elements.where("page_id = 1").count() == 200
+
+
+def test_pages_in_sql(spark):
+    """The table function gives the nodes that parse_pages gives, each page parsed once."""
+    from collections import Counter
+
+    from pagewarden.operators import pages
+
+    html = '<p id="a">One</p><p id="b">Two</p><a href="/x" aria-labelledby="b gone a">link</a><label for="f">Name</label><input id="f"><script>no</script>'
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None), (4, "<h1>Title &amp; more</h1>")], "page_id long, html string")
+    pages.register_sql(spark)
+    got = spark.sql("SELECT p.page_id, n.* FROM {p} p, LATERAL page_nodes(p.html) n", p=df)
+    nodes = pages.parse_pages(df)
+    rows = lambda d: Counter(str(r) for r in d.select(*nodes.columns).collect())
+    assert rows(got) == rows(nodes)
+    table = {r["role"]: r["label"] for r in pages.element_table(got).where("page_id = 1").collect()}
+    assert table == {"link": "Two One", "textbox": "Name"}
+    assert pages.element_table(nodes)._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1

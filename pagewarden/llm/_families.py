@@ -218,7 +218,8 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
         return sizes_allow(F.col(f"{a}.size"), F.col(f"{b}.size"), similarity) & sketches_allow(a, b, similarity, longs)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        named = hold(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+        # Each side on its own: a family's leaders are few, and no pair becomes two rows.
+        named = hold(pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "named")
         # Few texts are verified; their ids are broadcast only if they are known to be few.
         few = texts.select("id", "text").join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "id", "left_semi")
         one = pairs.join(few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")

@@ -16,8 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewarden.llm._minhash import mix
-
 CELLS_PER_KEY = 8
 DEAL_KEYS = 1 << 20  # keys that a task gathers before it deals them out
 FILTER_TASKS = 12  # each task sends a whole filter
@@ -27,9 +25,9 @@ KeysOf = Callable[[pa.RecordBatch], np.ndarray]
 
 
 def cells_of(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two cells of each key."""
-    k, cells = mix(keys.view(np.uint64)), np.uint64(cells)
-    return ((k >> np.uint64(32)) * cells >> np.uint64(32)).astype(np.int64), ((k & np.uint64(0xFFFFFFFF)) * cells >> np.uint64(32)).astype(np.int64)
+    """Two cells of each key, by its lower bits; the upper ones tell slices apart."""
+    k, cells, low = keys.view(np.uint64), np.uint64(cells), np.uint64(0xFFFFFFFF)
+    return ((k >> np.uint64(16) & low) * cells >> np.uint64(32)).view(np.int64), ((k & low) * cells >> np.uint64(32)).view(np.int64)
 
 
 def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -44,10 +42,9 @@ def _deal(keys_of: KeysOf, slices: int):
     """(slice, keys, again): a task's distinct keys, packed, and a bit for each that the task has met twice."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, times = np.unique(np.concatenate(held), return_counts=True)
-        own = (keys.view(np.uint64) % np.uint64(slices)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        keys, again, own = keys[order], times[order] > 1, own[order]
+        keys, times = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
+        # Slices are ranges of keys, so that sorted keys come slice by slice.
+        own, again = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).view(np.int64), times > 1
         cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
         ends = np.r_[cuts[1:], len(own)]
         rows = [(int(own[a]), keys[a:b].tobytes(), np.packbits(again[a:b]).tobytes()) for a, b in zip(cuts, ends)]
@@ -77,21 +74,21 @@ def _twice_hit(_key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
             again.append(np.unpackbits(np.frombuffer(a, np.uint8), count=len(keys[-1])).astype(bool))
     k, known = np.concatenate(keys), np.concatenate(again)
     cells = 1 << max(10, (len(k) * CELLS_PER_KEY).bit_length())
-    hits = np.zeros(cells, np.uint8)
+    hits = np.zeros(cells, np.uint32)
     for at in range(0, len(k), _CHUNK):
-        cell, n = np.unique(np.concatenate(cells_of(k[at : at + _CHUNK], cells)), return_counts=True)
-        hits[cell] = np.minimum(hits[cell] + np.minimum(n, 2), 2)
+        for cell in cells_of(k[at : at + _CHUNK], cells):
+            np.add.at(hits, cell, np.uint32(1))
     out = []
     for at in range(0, len(k), _CHUNK):
         one, two = cells_of(k[at : at + _CHUNK], cells)
-        out.append(k[at : at + _CHUNK][known[at : at + _CHUNK] | (hits[one] == 2) & (hits[two] == 2)])
+        out.append(k[at : at + _CHUNK][known[at : at + _CHUNK] | (hits[one] > 1) & (hits[two] > 1)])
     yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["key"])
 
 
 def possibly_repeated(rows: DataFrame, keys_of: KeysOf, keys: int, slice_keys: int) -> DataFrame:
     """(key long), each once: all that occur twice or more among the keys of ``rows``, and few others.
 
-    There are ``keys`` keys at most, hashes of 64 bits or near; a slice has some ``slice_keys`` of them.
+    There are ``keys`` keys at most, hashes of 64 bits; a slice has some ``slice_keys`` of them.
     """
     slices = max(12, -(-keys // slice_keys))
     return rows.mapInArrow(_deal(keys_of, slices), "slice int, keys binary, again binary").groupBy("slice").applyInArrow(_twice_hit, "key long")

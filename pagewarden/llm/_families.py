@@ -28,7 +28,7 @@ from pagewarden.llm._bloom import FILTER_TASKS, bits_of, cells_of, is_set, possi
 from pagewarden.llm._common import Written, connected_components, written
 from pagewarden.llm._minhash import mix
 
-BLOOM_KEYS = 4_000_000  # band keys of a slice of the filter, a task's work
+BLOOM_KEYS = 1_000_000  # band keys of a slice of the filter, a task's work
 MOST_CELLS = 1 << 29  # of the filter that is broadcast, 64 MB
 BROADCAST_IDS = 500_000  # of 16 bytes each; more are joined by a shuffle
 LONGS = 8

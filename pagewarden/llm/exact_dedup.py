@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pagewarden.llm._bloom import FILTER_TASKS, possibly_repeated
 from pagewarden.llm._common import all_of, fresh, lower_ascii, named, written
 
-SLICE_ROWS = 4_000_000
+SLICE_ROWS = 1_000_000
 FILTER_ROWS = 32_000_000  # hashes that the broadcast filter serves well; with more, more rows pass it
 CELLS_PER_ROW = 8
 PROBES = 4
@@ -112,8 +112,9 @@ class Filter:
     """The bounded filter of the possibly repeated ones among ``rows`` hashes at most (column _h) of a table."""
 
     def __init__(self, hashes: DataFrame, rows: int):
-        again = possibly_repeated(hashes.select("_h"), lambda batch: batch.column("_h").to_numpy(), rows, SLICE_ROWS)
-        held = written(again.select(F.col("key").alias("h")), "repeated")
+        # Hashes have 60 bits: they are moved to the upper ones, by which keys are dealt out, and back.
+        again = possibly_repeated(hashes.select("_h"), lambda batch: batch.column("_h").to_numpy() << 4, rows, SLICE_ROWS)
+        held = written(again.select(F.shiftrightunsigned("key", 4).alias("h")), "repeated")
         self.segments = _segments_for(min(held.count(), FILTER_ROWS))
         self.words = written(_filter_segments(held, self.segments), "bloom")
 

@@ -24,11 +24,12 @@ def test_repeated_keys_are_found(spark, slice_keys):
 
 
 def test_a_filter_holds_its_keys(spark):
-    keys = [hash((i, "x")) for i in range(3000)]
+    rng = random.Random(2)
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(3000)]
     for cells in (1 << 10, 1 << 16):
         bits = _bloom.bits_of(spark.createDataFrame([(k,) for k in keys], "key long"), cells)
         assert all(_bloom.is_set(bits, at).all() for at in _bloom.cells_of(np.array(keys), cells))
-    other = np.arange(10_000, dtype=np.int64)
+    other = np.array([rng.getrandbits(64) - 2**63 for _ in range(10_000)])
     one, two = _bloom.cells_of(other, 1 << 16)
     assert (_bloom.is_set(bits, one) & _bloom.is_set(bits, two)).mean() < 0.05
 
@@ -40,7 +41,7 @@ def test_dealt_keys_are_whole():
     for s, k, a in zip(*(batch.column(i).to_pylist() for i in range(3))):
         own = np.frombuffer(k, np.int64)
         out |= dict(zip(own.tolist(), np.unpackbits(np.frombuffer(a, np.uint8), count=len(own)).tolist()))
-        assert (own.view(np.uint64) % np.uint64(7) == s).all()
+        assert ((own.view(np.uint64) >> np.uint64(32)) * np.uint64(7) >> np.uint64(32) == s).all()
     assert out == {5: 1, -3: 0, 8: 0, 2**62: 0}
 
 
@@ -71,6 +72,6 @@ def test_a_full_filter_changes_no_row(spark, sf, monkeypatch):
 
 
 def test_a_written_key_table_is_read_once(spark):
-    keys = written(spark.range(1000).selectExpr("id % 900 AS k"), "keys")
+    keys = written(spark.range(1000).selectExpr("xxhash64(id % 900) AS k"), "keys")
     out = _bloom.possibly_repeated(keys, lambda b: b.column("k").to_numpy(), 1000, 10)
-    assert plan_of(out)["Scan parquet"] == 1 and {r["key"] for r in out.collect()} >= set(range(100))
+    assert plan_of(out)["Scan parquet"] == 1 and {r["key"] for r in out.collect()} >= {r["k"] for r in keys.groupBy("k").count().where("count > 1").collect()}

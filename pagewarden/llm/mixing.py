@@ -88,21 +88,22 @@ def budget_table(leaves: DataFrame, weight, budget: float) -> DataFrame:
     for depth, nodes in enumerate(tables, start=1):
         keys = ["root", *LEVELS[: depth - 1]]
         open_ = nodes.where("w > 0")
-        rate, before = None, None
+        rate, before = None, 0
         while True:
             if rate is None:
                 rooms = open_.groupBy(*keys).agg(F.sum("room").alias("all"), F.sum("w").alias("ws")).join(amounts, keys)
-                now = rooms.select(*keys, F.least("amount", "all").alias("amount"), (F.least("amount", "all") / F.col("ws")).alias("rate"))
+                now = rooms.select(*keys, F.least("amount", "all").alias("amount"), (F.least("amount", "all") / F.col("ws")).alias("rate"), F.lit(0).cast("long").alias("short"))
             else:
                 short = F.col("room") <= F.col("rate") * F.col("w")
-                sums = open_.join(rate, keys).groupBy(*keys).agg(F.first("amount").alias("amount"), F.first("rate").alias("old"), F.sum(F.when(short, F.col("room")).otherwise(0.0)).alias("given"), F.sum(F.when(short, 0.0).otherwise(F.col("w"))).alias("ws"))
-                now = sums.select(*keys, "amount", F.greatest("old", F.when(F.col("ws") > 0, (F.col("amount") - F.col("given")) / F.col("ws")).otherwise(F.col("old"))).alias("rate"))
-            rate = written(now, "rate")
-            seen = tuple(rate.agg(F.count("*"), F.sum("rate")).first())
-            if seen == before:
+                sums = open_.join(rate, keys).groupBy(*keys).agg(F.first("amount").alias("amount"), F.first("rate").alias("old"), F.sum(F.when(short, F.col("room")).otherwise(0.0)).alias("given"), F.sum(F.when(short, 0.0).otherwise(F.col("w"))).alias("ws"), F.count_if(short).alias("short"))
+                now = sums.select(*keys, "amount", F.greatest("old", F.when(F.col("ws") > 0, (F.col("amount") - F.col("given")) / F.col("ws")).otherwise(F.col("old"))).alias("rate"), "short")
+            first, rate = rate is None, written(now, "rate")
+            # Rates only rise, so children only become short: when none did, the rates stand. At most a round a child.
+            seen = rate.agg(F.coalesce(F.sum("short"), F.lit(0))).first()[0]
+            if not first and seen == before:
                 break
             before = seen
-        share = nodes.join(rate, keys, "left").withColumn("amount", F.coalesce(F.when(F.col("w") > 0, F.least("room", F.col("rate") * F.col("w"))), F.lit(0.0)))
+        share = nodes.join(rate.drop("short"), keys, "left").withColumn("amount", F.coalesce(F.when(F.col("w") > 0, F.least("room", F.col("rate") * F.col("w"))), F.lit(0.0)))
         amounts = written(share.select("root", *LEVELS[:depth], "amount"), "amounts")
     return amounts.select(*LEVELS, F.col("amount").alias("budget"))
 

@@ -50,18 +50,35 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return (none, none) if rule is None else (rule, verdict)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. segments, as a browser asks for it; an empty one is /."""
+
+    def take(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))  # the first, empty segment stays
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), take)
+    cleaned = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.when(F.startswith(cleaned, F.lit("/")), "").otherwise("/"), cleaned)).otherwise(path)
+
+
 def node(url: Column) -> Column:
-    """What aliases are told apart by: host, path and query; scheme and fragment are no difference."""
-    return F.concat(url_host(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    """What aliases are told apart by: host, path without dot segments, and query; scheme and fragment are no difference. Empty without ://."""
+    whole = F.concat(url_host(url), without_dots(url_path(url)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1))
+    return F.when(F.contains(url, F.lit("://")), whole).otherwise("")
 
 
-def _absolute(target: Column, scheme: Column, origin: Column, folder: Column) -> Column:
-    """A link target as a url: with a scheme, by its page's scheme or host, or within its page's folder."""
+def _absolute(target: Column, scheme: Column, origin: Column, path: Column, folder: Column) -> Column:
+    """A link target as a url: with a scheme, by its page's scheme or host, its path for a query alone, or within its folder; null for other schemes and fragments."""
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)"), F.lit(None).cast("string"))
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
         .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
-        .when(F.length(target) > 0, F.concat(folder, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(origin, path, target))
+        .otherwise(F.concat(folder, target))
     )
 
 
@@ -70,23 +87,47 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(quoted, r"""^["']|["']$""", "")
 
 
+_AMP = "\x01"  # stands for & that came from a reference, until all are read
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references read once: numbers, and the names amp, lt, gt, quot, apos."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), 1))
+
+    def read(done: Column, ref: Column) -> Column:
+        hex_ = F.regexp_extract(ref, r"&#[xX]([0-9a-fA-F]+);", 1)
+        code = F.coalesce(F.conv(F.nullif(hex_, F.lit("")), 16, 10), F.regexp_extract(ref, r"&#([0-9]+);", 1)).cast("long")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.replace(done, ref, F.when(code == 38, _AMP).otherwise(char))
+
+    named_ = F.aggregate(numbers, text, read)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", _AMP)):
+        named_ = F.replace(named_, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), F.replace(named_, F.lit(_AMP), F.lit("&"))).otherwise(text)
+
+
+#: Comments, and what scripts and styles hold: no tags are read there. Those that are never closed reach to the end.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\z)"
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of a page's url and of what its canonical link or refresh header names."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)
+    """(a, b): nodes of a page's url and of what its canonical links or refresh headers name."""
+    tags = F.regexp_extract_all(F.regexp_replace("html", _UNREAD, " "), F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)
 
     def named_by(tag: Column) -> Column:
-        canonical, refresh = lower_ascii(_attribute(tag, "rel")) == "canonical", lower_ascii(_attribute(tag, "http-equiv")) == "refresh"
-        later = F.regexp_extract(_attribute(tag, "content"), r"(?is)url\s*=\s*'?([^']*)", 1)
-        return F.trim(F.when(canonical, _attribute(tag, "href")).when(refresh, later))
+        canonical, refresh = F.array_contains(F.split(lower_ascii(_attribute(tag, "rel")), r"\s+"), "canonical"), lower_ascii(_attribute(tag, "http-equiv")) == "refresh"
+        later = F.regexp_extract(decoded(_attribute(tag, "content")), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)
+        return F.trim(F.when(canonical, decoded(_attribute(tag, "href"))).when(refresh, later))
 
     # What a page's own url gives is taken once a page, and each tag is read once: nothing is expanded into long code.
     url = F.col("url")
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     pages_tags = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select(
-        node(url).alias("a"), F.regexp_extract(url, r"(?s)^(.*?:)//", 1).alias("scheme"), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1).alias("origin"),
+        node(url).alias("a"), F.regexp_extract(url, r"(?s)^(.*?:)//", 1).alias("scheme"), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1).alias("origin"), url_path(url).alias("path"),
         F.concat(folder, F.when(F.endswith(folder, F.lit("/")), "").otherwise("/")).alias("folder"), F.explode(F.transform(tags, named_by)).alias("target"),
     )
-    found = pages_tags.where("target IS NOT NULL").select("a", F.explode(F.array(_absolute(F.col("target"), F.col("scheme"), F.col("origin"), F.col("folder")))).alias("to"))
+    found = pages_tags.where("target IS NOT NULL").select("a", F.explode(F.array(_absolute(F.col("target"), F.col("scheme"), F.col("origin"), F.col("path"), F.col("folder")))).alias("to"))
     return found.select("a", node(F.col("to")).alias("b")).where("b IS NOT NULL AND a <> b AND a <> '' AND b <> ''")
 
 

@@ -7,8 +7,9 @@ over all books jointly; its norm is stored with the codes. A query is scored aga
 entry of its lookup table a book, times the stored norm; a query's ``RERANK`` best by that score are
 reranked on the original vectors in double precision.
 
-The index is packed into blocks of some ``BLOCK_ROWS`` vectors, the queries into blocks of ``QUERY_ROWS``;
-each pair of blocks is one row for a task. Only codes and norms (24 bytes a vector) meet the queries;
+The index is packed into blocks of some ``BLOCK_ROWS`` vectors, which are scanned where they are written:
+queries come to them, in groups of ``QUERY_BYTES`` at most that are broadcast one after another, and a task
+carries each query's best from block to block. Only codes and norms (24 bytes a vector) are read for it;
 original vectors stay where they are until the few that are reranked are joined by their place in the
 index. Equal vectors of a block are one entry with its k + 1 smallest ids: no more of them can be among a
 query's k nearest, ties going to the smaller id.
@@ -21,14 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import named, written
+from pagewarden.llm._common import Written, named, written
 
 BOOKS = 16
 WORDS = 256
 BEAM = 4
 SAMPLE_ROWS = 8192
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
+QUERY_ROWS = 512  # whose lookup tables are held at a time
+QUERY_BYTES = 8 << 20
 RERANK = 160
 
 
@@ -139,12 +141,6 @@ def _entries(batches):
                 yield pd.DataFrame({"block": np.full(len(sizes[own]), r.block, np.int32), "at": np.arange(at, at + len(sizes[own]), dtype=np.int32), "original": list(vectors[own]), "ids": ids[own]})
 
 
-def _pack_queries(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("query_id", kind="stable")
-    units = unit_vectors(_matrix(part["query"]))[0]
-    return pd.DataFrame({"query_block": part["query_block"].iloc[:1].to_numpy(), "query_ids": [part["query_id"].to_numpy().astype("<i8").tobytes()], "queries": [units.astype("<f4").tobytes()]})
-
-
 def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products over the last axis, one dimension after another: equal vectors score equally."""
     out = np.zeros(np.broadcast_shapes(q.shape[:-1], x.shape[:-1]))
@@ -165,15 +161,27 @@ def look_up(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np
         yield best, score[best]
 
 
-def _score(books: np.ndarray, keep: int):
+def _scan(held, books: np.ndarray, keep: int, most: int):
+    """For each query the ``most`` best of a task's blocks, ``keep`` of a block at most."""
+
     def run(batches):
+        ids, q = held.value
+        best = [(np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32))] * len(ids)
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, norms = np.frombuffer(r.query_ids, "<i8"), np.frombuffer(r.norms)
-                q, codes = np.frombuffer(r.queries, "<f4").reshape(len(ids), -1), np.frombuffer(r.codes, np.uint8).reshape(len(norms), -1)
-                best, scores = zip(*look_up(q, codes, norms, books, keep))
-                n = [len(x) for x in best]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "block": np.full(sum(n), r.block, np.int32), "at": np.concatenate(best).astype(np.int32), "approx": np.concatenate(scores)})
+                norms = np.frombuffer(r.norms)
+                codes = np.frombuffer(r.codes, np.uint8).reshape(len(norms), -1)
+                for a in range(0, len(ids), QUERY_ROWS):
+                    for i, (top, score) in enumerate(look_up(q[a : a + QUERY_ROWS], codes, norms, books, keep), a):
+                        s, at, block = (np.concatenate(x) for x in zip(best[i], (score, top.astype(np.int32), np.full(len(top), r.block, np.int32))))
+                        if len(s) > most:
+                            stay = np.argpartition(-s, most - 1)[:most]
+                            s, at, block = s[stay], at[stay], block[stay]
+                        best[i] = s, at, block
+        for a in range(0, len(ids), QUERY_ROWS):
+            part = best[a : a + QUERY_ROWS]
+            s, at, block = (np.concatenate(x) for x in zip(*part))
+            yield pd.DataFrame({"query_id": np.repeat(ids[a : a + QUERY_ROWS], [len(x[0]) for x in part]), "block": block, "at": at, "approx": s.astype(float)})
 
     return run
 
@@ -195,7 +203,8 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]
     books = np.frombuffer(bytes(row["books"]), np.float32).reshape(BOOKS, WORDS, -1)
     blocks = _full_blocks(vectors.count(), BLOCK_ROWS)
     cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = cut.groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, codes binary, norms binary, vectors binary, ids binary, sizes binary")
+    tasks = blocks if blocks < 1000 else blocks // 8
+    packed = cut.repartition(tasks, "block").groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, codes binary, norms binary, vectors binary, ids binary, sizes binary")
     return written(packed, "index"), blocks, books
 
 
@@ -215,14 +224,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     valid = picked.where(F.size("vector") == common["d"])
     index, blocks, books = build_index(valid.select("vec_id", "vector"), k)
     asked = valid.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"))
-    groups = _full_blocks(asked.count(), QUERY_ROWS)
-    queries = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(groups)).cast("int")).groupBy("query_block").applyInPandas(_pack_queries, "query_block int, query_ids binary, queries binary")
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index.select("block", "codes", "norms"), "block")
-    tasks = pairs.repartition(max(1, min(blocks * groups, 10_000)), F.monotonically_increasing_id())
-    rerank = max(rerank, 2 * k + 1)
-    scored = tasks.mapInPandas(_score(books, _share(rerank, blocks)), "query_id long, block int, at int, approx double")
+    # 4 bytes a component, doubled for what a hash deals unevenly.
+    groups = _full_blocks(asked.count() * common["d"] * 8, QUERY_BYTES)
+    cut = written(asked.withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(groups))), "asked")
+    rerank, near = max(rerank, 2 * k + 1), None
     by_approx = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "block", "at"))
-    near = written(scored.withColumn("nth", by_approx).where(F.col("nth") <= rerank).select("query_id", "block", "at"), "near")
+    for g in range(groups):
+        own = cut.where(F.col("group") == g).select("query_id", "query").orderBy("query_id").toPandas()
+        if not len(own):
+            continue
+        held = vectors.sparkSession.sparkContext.broadcast((own["query_id"].to_numpy(np.int64), unit_vectors(_matrix(own["query"]))[0].astype(np.float32)))
+        scored = index.select("block", "codes", "norms").mapInPandas(_scan(held, books, _share(rerank, blocks), rerank), "query_id long, block int, at int, approx double")
+        best = scored.withColumn("nth", by_approx).where(F.col("nth") <= rerank).select("query_id", "block", "at")
+        if near is None:
+            near = Written(best, "near")
+        else:
+            best.write.mode("append").parquet(near.path)
+    if near is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    near = vectors.sparkSession.read.schema(near.df.schema).parquet(near.path)
 
     entries = index.select("block", "vectors", "ids", "sizes").mapInPandas(_entries, "block int, at int, original array<double>, ids array<long>")
     product = F.aggregate(F.zip_with("query", "original", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)

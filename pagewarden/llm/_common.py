@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,21 +48,40 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders of written tables: this process's own, and those of the calls that scratch() surrounds.
+_scopes = [uuid.uuid4().hex]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within go to a folder of their own, which is deleted at the end: write or collect results before it."""
+    _scopes.append(uuid.uuid4().hex)
+    path = f"{scratch_root(spark)}/pagewarden/{_scopes[-1]}"
+    try:
+        yield path
+    finally:
+        _scopes.pop()
+        _delete(spark, path)
+
+
 class Written:
     """A DataFrame written to the shared folder: lineage ends there and lost executors cost no recomputation."""
 
     def __init__(self, df: DataFrame, label: str, partition: str | None = None):
         self.spark = df.sparkSession
-        self.path = f"{scratch_root(self.spark)}/pagewarden/{uuid.uuid4().hex}-{label}"
+        self.path = f"{scratch_root(self.spark)}/pagewarden/{_scopes[-1]}/{uuid.uuid4().hex}-{label}"
         schema = df.schema
         (df.write.partitionBy(partition) if partition else df.write).parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path).select(*(named(c) for c in schema.names))
 
     def drop(self) -> None:
         """Deletes the files; only for tables that no returned DataFrame reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def written(df: DataFrame, label: str, partition: str | None = None) -> DataFrame:
@@ -69,9 +89,8 @@ def written(df: DataFrame, label: str, partition: str | None = None) -> DataFram
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all written tables; call it once results have been written or collected."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/pagewarden")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all tables that this process has written, and no other job's; call it once results have been written or collected."""
+    _delete(spark, f"{scratch_root(spark)}/pagewarden/{_scopes[0]}")
 
 
 def buckets_for(rows: int) -> int:

@@ -325,6 +325,7 @@ def _quoted(c: Column, limit: int) -> Column:
 
 def action_prompt(captures: DataFrame, max_elements: int, image_attached: bool = False) -> DataFrame:
     """Adds prompt: the step as text for a model to choose the next action from."""
+    # The sentences below are the contract's.
     df = S.select_elements(captures.withColumn("_all", F.col("elements")), max_elements)
     els, all_, vp, none = F.col("elements"), F.col("_all"), F.col("viewport"), F.array().cast("array<string>")
     one = lambda c: F.array(c if isinstance(c, Column) else F.lit(c))
@@ -369,6 +370,7 @@ def action_prompt(captures: DataFrame, max_elements: int, image_attached: bool =
 
 def question_prompt(captures: DataFrame) -> DataFrame:
     """Adds prompt: the page as text for a model to answer a question about."""
+    # The sentences below are the contract's.
     one, none = (lambda c: F.array(c if isinstance(c, Column) else F.lit(c))), F.array().cast("array<string>")
     controls = F.slice(F.filter(F.col("elements"), lambda e: e["isInteractive"] & e["isVisible"]), 1, 40)
     kind = lambda e: F.when(e["role"] == "textbox", F.nullif(F.try_element_at(e["attributes"], F.lit("type")), F.lit("")))

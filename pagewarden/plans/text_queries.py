@@ -169,6 +169,13 @@ _CUT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 _DOCS = f"WITH {_pii('documents', 'doc_id, lang')}"
 
 ORACLE_SQL = {
+    # A value's place is that of its first, second, ... occurrence.
+    "pii_spans": f"""{_DOCS}, o AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, kind, v) AS k FROM (
+          SELECT doc_id, t0, 'card' AS kind, 'payment_card' AS category, unnest(cards) AS v FROM h
+          UNION ALL SELECT doc_id, t0, 'email', 'email', unnest(emails) FROM h UNION ALL SELECT doc_id, t0, 'phone', 'phone', unnest(phones) FROM h)),
+      p AS (SELECT *, (list_sum(list_transform(string_split(t0, v)[1:k], lambda x: length(x))) + (k - 1) * length(v))::INT AS start FROM o)
+      SELECT doc_id, start, (start + length(v))::INT AS "end", kind, category, v AS value FROM p""",
     "pii_documents": f"{_DOCS} SELECT doc_id, len(cards)::INT AS n_card, len(emails)::INT AS n_email, len(phones)::INT AS n_phone, t3 AS masked FROM h",
     "pii_by_lang": f"""{_DOCS} SELECT lang, kind, sum(n)::BIGINT AS n FROM (
         SELECT lang, 'card' AS kind, len(cards) AS n FROM h UNION ALL SELECT lang, 'email', len(emails) FROM h UNION ALL SELECT lang, 'phone', len(phones) FROM h) GROUP BY lang, kind HAVING sum(n) > 0""",

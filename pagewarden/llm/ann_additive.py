@@ -191,9 +191,9 @@ def _full_blocks(rows: int, size: int) -> int:
 
 
 def _share(rerank: int, blocks: int) -> int:
-    """How many of a query's ``rerank`` best may lie in one of ``blocks`` random blocks: six deviations over the mean."""
+    """How many of a query's ``rerank`` best may lie in one of ``blocks`` random blocks: four deviations and some over the mean."""
     mean = rerank / blocks
-    return min(rerank, int(np.ceil(mean + 6 * np.sqrt(mean))) + 16)
+    return min(rerank, int(np.ceil(mean + 4 * np.sqrt(mean))) + 8)
 
 
 def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]:

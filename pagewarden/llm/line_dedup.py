@@ -9,6 +9,8 @@ The first line of each component (smallest doc_id, then position) is kept.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,19 +26,16 @@ SHINGLE = 6
 BANDS = 12
 ROWS = 4
 SIMILARITY = 0.8
+BLANKS = " \t\r\x0b\x0c"
+_FULL = np.uint32(2**32 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TIMES = np.uint32(0x9E3779B1)
 
 
-def line_form(line: str) -> str:
-    """What lines are compared by: lower case, blanks at the ends dropped."""
-    return line.strip(" \t\r\x0b\x0c")
-
-
 def lines_of(text: str | None) -> list[tuple[int, str]]:
-    """(position, form) of the text's non-blank lines."""
-    return [(at, x) for at, line in enumerate((text or "").lower().split("\n")) if (x := line_form(line))]
+    """(position, form) of the text's non-blank lines, which are compared in lower case and without blanks at the ends."""
+    return [(at, x) for at, line in enumerate((text or "").lower().split("\n")) if (x := line.strip(BLANKS))]
 
 
 def line_id(line: str) -> bytes:
@@ -75,6 +74,34 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return mix(_polynomial(chars.astype(np.uint64), _MIX)[_within(size)]), size - SHINGLE + 1
 
 
+def _orders(k: int) -> np.ndarray:
+    """(bins, turns): the bin that each bin looks at in each turn; the last k turns go through all of them."""
+    rng = np.random.default_rng(11)
+    return np.array([rng.permutation(k) if turn < 3 * k else (np.arange(k) + turn) % k for turn in range(4 * k)]).T.copy()
+
+
+_ORDERS = _orders(BANDS * ROWS)
+
+
+def _densified(minima: np.ndarray, k: int) -> np.ndarray:
+    """An empty bin takes the value of the first full bin along a fixed random order of its own, marked with the turn.
+
+    Turns are tried in growing groups: most bins find a value in the first few, those of short lines need many.
+    """
+    taken, at = minima.astype(np.uint64), np.flatnonzero(minima == _FULL)
+    turn, step = 0, 1
+    while len(at) and turn < _ORDERS.shape[1]:
+        bin_ = at % k
+        values = minima[(at - bin_)[:, None] + _ORDERS[bin_, turn : turn + step]]
+        first = (values != _FULL).argmax(1)
+        value = values[np.arange(len(at)), first]
+        found = value != _FULL
+        taken[at[found]] = value[found].astype(np.uint64) ^ ((first[found] + (turn + 1)).astype(np.uint64) << np.uint64(32))
+        at, turn = at[~found], turn + step
+        step = min(64, max(1, turn))
+    return taken
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys: equal keys in a band mean equal minima in all its rows."""
     k = BANDS * ROWS
@@ -90,23 +117,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
         cell = (h >> np.uint32(16)) * np.uint32(k) >> np.uint32(16)
         h *= _TIMES  # the bin's own bits must not order the values in it
         h ^= h >> np.uint32(15)
-    full = np.uint32(2**32 - 1)
     ends = np.cumsum(size)
     for back in range(1, SHINGLE):
-        h[(ends - back)[ends - back < len(h)]] = full  # six characters across two lines are no shingle
-    minima = np.full(len(lines) * k, full)
+        h[(ends - back)[ends - back < len(h)]] = _FULL  # six characters across two lines are no shingle
+    minima = np.full(len(lines) * k, _FULL)
     np.minimum.at(minima, np.repeat(np.arange(len(lines)) * k, size)[: len(h)] + cell, h)
-    minima = minima.reshape(len(lines), k)
-    # Densify: an empty bin takes the value of the first full bin along a fixed random order of its own.
-    taken, (row, col), rng = minima.astype(np.uint64), np.nonzero(minima == full), np.random.default_rng(11)
-    for turn in range(4 * k):
-        if not len(row):
-            break
-        order = rng.permutation(k) if turn < 3 * k else (np.arange(k) + turn) % k
-        value = minima[row, order[col]]
-        found = value != full
-        taken[row[found], col[found]] = value[found].astype(np.uint64) ^ np.uint64((turn + 1) << 32)
-        row, col = row[~found], col[~found]
+    taken = _densified(minima, k)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         keys = mix(keys * _MIX + taken.reshape(len(lines), BANDS, ROWS)[:, :, r])
@@ -121,19 +137,18 @@ def _signed(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            owner, pos, lines, counts = [], [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                found = lines_of(text)
-                owner += [i] * max(1, len(found))
-                pos += [p for p, _ in found] or [None]
-                lines += [x for _, x in found] or [None]
-                counts += [len(found)] + [None] * (len(found) - 1)
+            found = [lines_of(text) or [(None, None)] for text in part.column("text").to_pylist()]
+            rows = np.array([len(x) for x in found], np.int64)
+            pos, lines = zip(*itertools.chain.from_iterable(found))
+            first = np.cumsum(rows) - rows
+            later, counts = np.ones(len(lines), bool), np.zeros(len(lines), np.int64)
+            later[first], counts[first] = False, [0 if x[0][1] is None else len(x) for x in found]
             keys = np.concatenate([band_keys([x or "" for x in lines[j : j + 512]]) for j in range(0, len(lines), 512)])
             ids = [None if x is None else line_id(x) for x in lines]
             h1 = np.frombuffer(b"".join(x or bytes(16) for x in ids), ">i8")[::2].astype(np.int64)
-            taken = pa.array(owner)
+            taken = pa.array(np.repeat(np.arange(part.num_rows), rows))
             yield pa.RecordBatch.from_arrays(
-                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(h1), pa.array(counts, pa.int64()), pack_keys(keys)],
+                [part.column("_row").take(taken), part.column("doc_id").take(taken), pa.array(pos, pa.int32()), pa.array(ids, pa.binary()), pa.array(h1), pa.array(counts, mask=later), pack_keys(keys)],
                 names=["_row", "doc_id", "pos", "id", "h1", "lines", "bands"],
             )
 

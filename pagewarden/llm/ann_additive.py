@@ -1,15 +1,18 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is its norm times a unit vector, which is approximated by a sum of one codeword from each of
-``BOOKS`` full-dimensional codebooks. The codebooks are fitted to residuals on a bounded sample
-(``SAMPLE_ROWS`` vectors of the smallest hashes), and every unit vector is then encoded by beam search
-over all books jointly; its norm is stored with the codes. A query is scored against codes by adding one
-entry of its lookup table a book, times the stored norm; a query's ``RERANK`` best by that score are
-reranked on the original vectors in double precision.
+``BOOKS`` full-dimensional codebooks. The books come in ``GROUPS``: each is fitted, on a bounded sample
+(``SAMPLE_ROWS`` vectors of the smallest hashes), to what the groups before leave over, brought to unit
+length, and encodes it by beam search over its books jointly. Vectors of tight clusters leave over little,
+others much; at unit length the same books serve both. Each group's sum has a gain a vector, all of them by
+least squares, so the error is orthogonal to every group's sum: a cluster's queries, which point along its
+first codeword, don't see it. Gains and the norm are stored with the codes. A query is scored against codes by
+adding one entry of its lookup table a book, times the group's gain and the norm; a query's ``RERANK`` best by
+that score are reranked on the original vectors in double precision.
 
 The index is packed into blocks of some ``BLOCK_ROWS`` vectors, which are scanned where they are written:
 queries come to them, in groups of ``QUERY_BYTES`` at most that are broadcast one after another, and a task
-carries each query's best from block to block. Only codes and norms (24 bytes a vector) are read for it;
+carries each query's best from block to block. Only codes, gains and norms (48 bytes a vector) are read for it;
 original vectors stay where they are until the few that are reranked are joined by their place in the
 index. Equal vectors of a block are one entry with its k + 1 smallest ids: no more of them can be among a
 query's k nearest, ties going to the smaller id.
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from pagewarden.llm._common import Written, named, written
 
-BOOKS = 16
+GROUPS = (1, 7, 8, 8)  # books of each group; the first is a coarse one
+BOOKS = sum(GROUPS)
 WORDS = 256
 BEAM = 4
 SAMPLE_ROWS = 8192
@@ -93,6 +97,53 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return np.concatenate(all_codes), np.concatenate(all_norms)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(axis=1, keepdims=True))
+
+
+def _encode_group(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, sums of their codewords, what their best multiple leaves over) of vectors of any length, zero included."""
+    codes = encode(rest / np.maximum(_lengths(rest), 1e-300), books)[0]
+    sums = np.zeros_like(rest)
+    for m, words in enumerate(books):
+        sums += words[codes[:, m]]
+    gain = (rest * sums).sum(1) / np.maximum((sums**2).sum(1), 1e-300)
+    return codes, sums, rest - gain[:, None] * sums
+
+
+def _in_groups(books: np.ndarray) -> list[np.ndarray]:
+    return np.split(books, np.cumsum(GROUPS)[:-1])
+
+
+def fit_groups(units: np.ndarray) -> np.ndarray:
+    """The books of all groups, (BOOKS, WORDS, dimension)."""
+    rest, out = units.astype(np.float64), []
+    for g, n in enumerate(GROUPS):
+        length = _lengths(rest)
+        some = length[:, 0] > 1e-12  # where rounding is all that is left, nothing is learnt
+        out.append(fit_codebooks((rest[some] / length[some]) if some.any() else units, n, seed=7 + g))
+        rest = _encode_group(rest, out[-1])[2]
+    return np.concatenate(out)
+
+
+def encode_groups(units: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, gains of the groups) of unit vectors."""
+    all_codes, all_gains = [], []
+    for at in range(0, len(units), 1024):
+        part = rest = units[at : at + 1024]
+        codes, sums = [], []
+        for own in _in_groups(books):
+            c, s, rest = _encode_group(rest, own)
+            codes.append(c)
+            sums.append(s)
+        s = np.stack(sums, axis=1)
+        gram = np.einsum("ngd,nhd->ngh", s, s)
+        gram += (1e-10 * np.trace(gram, axis1=1, axis2=2)[:, None, None] + 1e-300) * np.eye(len(GROUPS))
+        all_codes.append(np.concatenate(codes, axis=1))
+        all_gains.append(np.linalg.solve(gram, np.einsum("ngd,nd->ng", s, part)[..., None])[..., 0].astype(np.float32))
+    return np.concatenate(all_codes), np.concatenate(all_gains)
+
+
 def _matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in values])
 
@@ -106,12 +157,12 @@ def unit_vectors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learn(part: pd.DataFrame) -> pd.DataFrame:
-    books = fit_codebooks(unit_vectors(_matrix(part.sort_values("vec_id")["vector"]))[0])
+    books = fit_groups(unit_vectors(_matrix(part.sort_values("vec_id")["vector"]))[0])
     return pd.DataFrame({"books": [books.tobytes()]})
 
 
 def _pack_index(books: np.ndarray, keep: int):
-    """A row a block: for each distinct vector its codes and norm, and for the rerank the vector and its ``keep`` smallest ids."""
+    """A row a block: for each distinct vector its codes, gains and norm, and for the rerank the vector and its ``keep`` smallest ids."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
@@ -121,8 +172,9 @@ def _pack_index(books: np.ndarray, keep: int):
         nth = np.arange(len(order)) - np.concatenate([[0], np.cumsum(np.bincount(same))[:-1]])[same[order]]
         order = order[nth < keep]
         units, norms = unit_vectors(x[first])
+        codes, gains = encode_groups(units, books)
         return pd.DataFrame({
-            "block": part["block"].iloc[:1].to_numpy(), "codes": [encode(units, books)[0].tobytes()], "norms": [norms.astype("<f8").tobytes()],
+            "block": part["block"].iloc[:1].to_numpy(), "codes": [codes.tobytes()], "gains": [gains.astype("<f4").tobytes()], "norms": [norms.astype("<f8").tobytes()],
             "vectors": [x[first].astype("<f8").tobytes()], "ids": [part["vec_id"].to_numpy()[order].astype("<i8").tobytes()], "sizes": [np.bincount(same[order]).astype("<i4").tobytes()],
         })
 
@@ -149,13 +201,18 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def look_up(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, keep: int):
-    """For each query (entries, approximate scores) of the ``keep`` best of a block by lookup tables and stored norms."""
+def look_up(queries: np.ndarray, codes: np.ndarray, gains: np.ndarray, norms: np.ndarray, books: np.ndarray, keep: int):
+    """For each query (entries, approximate scores) of the ``keep`` best of a block by lookup tables, stored gains and norms."""
     tables = np.einsum("qd,mkd->qmk", queries, books)
+    codes, gains = np.ascontiguousarray(codes.T), np.ascontiguousarray(gains.T)
+    ends = np.cumsum(GROUPS)
     for t in tables:
-        approx = t[0][codes[:, 0]]
-        for m in range(1, len(books)):
-            approx += t[m][codes[:, m]]
+        approx = np.zeros(len(norms), np.float32)
+        for gain, begin, end in zip(gains, ends - GROUPS, ends):
+            part = t[begin][codes[begin]]
+            for m in range(begin + 1, end):
+                part += t[m][codes[m]]
+            approx += gain * part
         score = approx * norms
         best = np.argpartition(-score, keep - 1)[:keep] if keep < len(score) else np.arange(len(score))
         yield best, score[best]
@@ -171,8 +228,9 @@ def _scan(held, books: np.ndarray, keep: int, most: int):
             for r in batch.itertuples(index=False):
                 norms = np.frombuffer(r.norms)
                 codes = np.frombuffer(r.codes, np.uint8).reshape(len(norms), -1)
+                gains = np.frombuffer(r.gains, np.float32).reshape(len(norms), -1)
                 for a in range(0, len(ids), QUERY_ROWS):
-                    for i, (top, score) in enumerate(look_up(q[a : a + QUERY_ROWS], codes, norms, books, keep), a):
+                    for i, (top, score) in enumerate(look_up(q[a : a + QUERY_ROWS], codes, gains, norms, books, keep), a):
                         s, at, block = (np.concatenate(x) for x in zip(best[i], (score, top.astype(np.int32), np.full(len(top), r.block, np.int32))))
                         if len(s) > most:
                             stay = np.argpartition(-s, most - 1)[:most]
@@ -204,7 +262,7 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int, np.ndarray]
     blocks = _full_blocks(vectors.count(), BLOCK_ROWS)
     cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     tasks = blocks if blocks < 1000 else blocks // 8
-    packed = cut.repartition(tasks, "block").groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, codes binary, norms binary, vectors binary, ids binary, sizes binary")
+    packed = cut.repartition(tasks, "block").groupBy("block").applyInPandas(_pack_index(books, k + 1), "block int, codes binary, gains binary, norms binary, vectors binary, ids binary, sizes binary")
     return written(packed, "index"), blocks, books
 
 
@@ -234,7 +292,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         if not len(own):
             continue
         held = vectors.sparkSession.sparkContext.broadcast((own["query_id"].to_numpy(np.int64), unit_vectors(_matrix(own["query"]))[0].astype(np.float32)))
-        scored = index.select("block", "codes", "norms").mapInPandas(_scan(held, books, _share(rerank, blocks), rerank), "query_id long, block int, at int, approx double")
+        scored = index.select("block", "codes", "gains", "norms").mapInPandas(_scan(held, books, _share(rerank, blocks), rerank), "query_id long, block int, at int, approx double")
         best = scored.withColumn("nth", by_approx).where(F.col("nth") <= rerank).select("query_id", "block", "at")
         if near is None:
             near = Written(best, "near")

@@ -31,6 +31,11 @@ _CREDENTIAL = r"(?i)pass(word|code|phrase)?\b|\bpin\b|\bcvv\b|\bcvc\b|\bssn\b|so
 _CARD_FIELD = r"(?i)card ?(number|no)|\bcc[-_ ]?(num|number)\b|credit card|debit card"
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern for Java, whose \b takes letters with accents for word characters; the contract's \b is of ASCII."""
+    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def _no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
@@ -173,8 +178,8 @@ def field_category(role: Column, label: Column, attributes: Column) -> Column:
         F.when(F.lower(a("type")) == "password", "credential")
         .when(auto.rlike("(current|new)-password|one-time-code"), "credential")
         .when(F.startswith(auto, F.lit("cc-")), "payment_card")
-        .when(hints.rlike(_CARD_FIELD), "payment_card")
-        .when(hints.rlike(_CREDENTIAL), "credential"),
+        .when(hints.rlike(ascii_edges(_CARD_FIELD)), "payment_card")
+        .when(hints.rlike(ascii_edges(_CREDENTIAL)), "credential"),
     )
 
 

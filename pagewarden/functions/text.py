@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewarden.functions.pii import _WS
+from pagewarden.functions.pii import _WS, ascii_edges
 
 # Word lists of the contract.
 _POLITE = r"(?i)^(hey|hi|hello|ok(ay)?|please|pls|kindly|can you|could you|would you|will you|can u|i want you to|i need you to)[\s,]+"
@@ -72,8 +72,8 @@ def comes_from(text: Column, task: Column) -> Column:
 def is_question(text: Column) -> Column:
     """Does the text ask for information rather than for work on the page? Up to three polite openings are skipped."""
     t = reduce(lambda c, _: F.regexp_replace(c, _POLITE, ""), range(3), trim_all(text))
-    asks = F.contains(t, F.lit("?")) | t.rlike(_QUESTION) | trim_all(text).rlike(_QUESTION)
-    return ~t.rlike(_ACTION) & asks
+    asks = F.contains(t, F.lit("?")) | t.rlike(ascii_edges(_QUESTION)) | trim_all(text).rlike(ascii_edges(_QUESTION))
+    return ~t.rlike(ascii_edges(_ACTION)) & asks
 
 
 def clean_label(s: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.functions import text as T
+from pagewarden.functions.pii import ascii_edges
 from pagewarden.operators.sessions import PLACEHOLDER
 
 # Names too general to mean a person; labels whose values are never saved.
@@ -21,7 +22,7 @@ def field_names(fields: DataFrame) -> DataFrame:
 
 def may_add(new: DataFrame, fields: DataFrame) -> DataFrame:
     """New details (person_id, label) that are no secret and not saved yet, with their key."""
-    named = new.withColumn("key", T.slug(F.col("label"))).where((F.col("key") != "") & ~(F.col("label").rlike(_SECRET) & ~F.col("label").rlike("(?i)pin ?code")))
+    named = new.withColumn("key", T.slug(F.col("label"))).where((F.col("key") != "") & ~(F.col("label").rlike(ascii_edges(_SECRET)) & ~F.col("label").rlike("(?i)pin ?code")))
     return named.join(fields.select("person_id", "key").distinct(), ["person_id", "key"], "left_anti")
 
 

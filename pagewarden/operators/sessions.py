@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from pagewarden.functions import text as T
+from pagewarden.functions.pii import ascii_edges
 
 # Words of the contract.
 RISKY = (
@@ -103,7 +104,7 @@ def risky(command: Column, elements: Column) -> Column:
     e = element_of(elements, command["target"])
     words = F.concat_ws(" ", e["label"], F.try_element_at(e["attributes"], F.lit("aria-label")), F.try_element_at(e["attributes"], F.lit("title")))
     name = F.coalesce(F.nullif(e["label"], F.lit("")), command["target"])
-    risk = words.rlike(RISKY) | F.coalesce(F.try_element_at(e["attributes"], F.lit("type")) == "submit", F.lit(False))
+    risk = words.rlike(ascii_edges(RISKY)) | F.coalesce(F.try_element_at(e["attributes"], F.lit("type")) == "submit", F.lit(False))
     return F.when((command["action"] == "click") & risk, F.concat(F.lit('Click "'), name, F.lit('"'))).when(
         (command["action"] == "type") & F.coalesce(command["submit"], F.lit(False)), F.concat(F.lit('Type "'), command["text"], F.lit('" and submit the form'))
     )

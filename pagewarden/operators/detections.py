@@ -265,9 +265,11 @@ def _value_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     Equal values are counted first. A group's values fall into ranges between approximate quantiles; a range
     starts at the running sum of those before it, and only values within a range are ranked: no group is one task.
+    The quantiles are found once and kept: found again in another order of rows they may differ, and ranges with them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     cuts = counts.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
+    cuts = _checkpointed(cuts)
     same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
     placed = counts.join(cuts, same).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value))))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -116,6 +116,27 @@ def mask_labelled(text: Column, spans: Column | None = None) -> Column:
     return _fill(text, pii_spans(text) if spans is None else spans, lambda s: _case(s["kind"], HIDDEN))
 
 
+def mask_until_clean(text: Column, spans: Column | None = None) -> Column:
+    """mask_labelled, and again until a scan finds nothing.
+
+    A value may be found only once its neighbour is masked: "3.4.5.132 4111…" starts as one number of nineteen digits.
+    """
+    state = f"struct<text:string,spans:array<{SPAN}>>"
+
+    def scanned(t: Column) -> Column:
+        return F.struct(t.alias("text"), pii_spans(t).alias("spans")).cast(state)
+
+    def again(acc: Column, _: Column) -> Column:
+        # An array's element is computed once, however often the scan reads it.
+        masked = F.array(mask_labelled(acc["text"], acc["spans"]))
+        return F.when(F.size(acc["spans"]) == 0, acc).otherwise(F.get(F.transform(masked, scanned), F.lit(0)))
+
+    # A round masks six characters at least, and placeholders hold none that a span may have.
+    rounds = F.sequence(F.lit(0), F.floor(F.length(text) / 6).cast("int"))
+    first = F.struct(text.alias("text"), (pii_spans(text) if spans is None else spans).alias("spans")).cast(state)
+    return F.aggregate(rounds, first, again)["text"]
+
+
 def categories(spans: Column) -> Column:
     """Distinct categories in order of appearance."""
     return F.array_distinct(F.transform(spans, lambda s: s["category"]))

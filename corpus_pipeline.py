@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewarden.llm import exact_dedup, mixing, near_dedup, packing, quality_gam
-from pagewarden.llm._common import Written, all_of
+from pagewarden.llm import exact_dedup, mixing, near_dedup, packing, quality_gam, simhash
+from pagewarden.llm._common import Written, all_of, connected_components, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +20,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return near_dedup.drop_near_duplicates(docs)
+    """Keeps the smallest doc_id of each component of near copies.
+
+    Texts are linked if their SimHash fingerprints differ in at most two bits (operator 8), or if their five-word
+    shingles have a Jaccard similarity of 0.8 or more, which fingerprints tell in part only.
+    """
+    found = simhash.find_components(docs).select("doc_id", "component_id").unionByName(near_dedup.find_components(docs))
+    links = written(found.where("doc_id <> component_id"), "links")
+    dropped = written(connected_components(links).select(F.col("node").alias("_gone")), "dropped")
+    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

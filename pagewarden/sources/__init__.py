@@ -81,14 +81,12 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     kinds = {k: plain if k in ("frames", "canvases") else item for k in ROLE_LISTS}
     ddl = "viewport struct<width:double,height:double>, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
     pages = spark.read.schema(ddl).option("multiLine", True).json(path).withColumn("page", stem(F.input_file_name()))
-    out = None
-    for name, role in ROLE_LISTS.items():
-        rows = pages.select("page", F.lit(role).alias("role"), F.posexplode(name).alias("pos", "e"), F.col("viewport.width").alias("vw"), F.col("viewport.height").alias("vh"))
-        box = "e" if kinds[name] == plain else "e.bbox"
-        label = F.lit(None).cast("string") if kinds[name] == plain else F.col("e.label")
-        rows = rows.select("page", "role", "pos", label.alias("label"), *(F.col(f"{box}.{k}").alias(k) for k in ("x", "y", "width", "height")), "vw", "vh")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # All lists of a file as one, so that files are read once and not once a role.
+    whole = lambda e: F.struct(F.lit(None).cast("string").alias("label"), e.alias("bbox"))
+    same = {k: (F.transform(k, whole) if kinds[k] == plain else F.col(k)).cast(item) for k in ROLE_LISTS}
+    lists = F.array(*(F.struct(F.lit(role).alias("role"), same[k].alias("items")) for k, role in ROLE_LISTS.items()))
+    rows = pages.select("page", "viewport", F.explode(lists).alias("of")).select("page", "viewport", F.col("of.role").alias("role"), F.posexplode("of.items").alias("pos", "e"))
+    return rows.select("page", "role", "pos", F.col("e.label").alias("label"), *(F.col(f"e.bbox.{k}").alias(k) for k in ("x", "y", "width", "height")), F.col("viewport.width").alias("vw"), F.col("viewport.height").alias("vh"))
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -216,10 +216,9 @@ def capture_log(spark, sf):
 
 
 def label_files(spark, sf):
-    """All images' boxes written as label files <image_id>.txt and read back."""
-    path = _folder(spark, "labels")
-    sources.write_labels(_dets(spark, sf).withColumn("vw", F.lit(400.0)).withColumn("vh", F.lit(300.0)), path)
-    back = sources.read_labels(spark, path)
+    """All images' boxes written as label files <image_id>.txt and read back, in rounds."""
+    contents = sources.label_contents(_dets(spark, sf).withColumn("vw", F.lit(400.0)).withColumn("vh", F.lit(300.0)))
+    back = sources.through_files(contents, _folder(spark, "labels"), ".txt", lambda folder: sources.read_labels(spark, folder))
     return back.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.count("*").alias("boxes"), F.round(F.sum("w"), 5).alias("width"), F.sum(F.col("line_no") * F.col("cls")).alias("classes"))
 
 
@@ -236,15 +235,15 @@ def screenshots(spark, sf):
 
 
 def page_fixtures(spark, sf):
-    """Labelled page fixtures written as files <page>.json and read back as boxes by role."""
-    path = _folder(spark, "fixtures")
+    """Labelled page fixtures written as files <page>.json and read back as boxes by role, in rounds."""
     d = _dets(spark, sf).withColumn("bbox", B.box("x", "y", "width", "height")).withColumn("label", F.concat(F.lit("no. "), F.col("idx").cast("string")))
     of = lambda cls, item: F.transform(F.sort_array(F.collect_list(F.when(F.col("cls") == cls, F.struct("idx", "label", "bbox")))), item)
     named = lambda e: F.struct(e["label"].alias("label"), e["bbox"].alias("bbox"))
     pages = d.groupBy("image_id").agg(of(0, named).alias("links"), of(1, named).alias("buttons"), of(2, lambda e: e["bbox"]).alias("frames"))
     viewport = F.struct(F.lit(400.0).alias("width"), F.lit(300.0).alias("height")).alias("viewport")
-    sources.write_named(pages.select("image_id", F.to_json(F.struct(viewport, "links", "buttons", "frames"))), path, ".json")
-    return sources.read_fixtures(spark, path).groupBy(F.col("page").cast("long").alias("page"), "role").agg(F.count("*").alias("boxes"), F.sum(F.col("pos") * F.col("width")).alias("weight"), F.max("label").alias("label"), F.max("vw").alias("vw"))
+    contents = pages.select("image_id", F.to_json(F.struct(viewport, "links", "buttons", "frames")))
+    back = sources.through_files(contents, _folder(spark, "fixtures"), ".json", lambda folder: sources.read_fixtures(spark, folder))
+    return back.groupBy(F.col("page").cast("long").alias("page"), "role").agg(F.count("*").alias("boxes"), F.sum(F.col("pos") * F.col("width")).alias("weight"), F.max("label").alias("label"), F.max("vw").alias("vw"))
 
 
 def result_sinks(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden import schema
 from pagewarden.functions import boxes as B
-from pagewarden.sources.named import read_named, write_named
+from pagewarden.sources.named import read_named, through_files, write_named
 
 ROLE_LISTS = {"links": "link", "buttons": "button", "controls": "control", "frames": "frame", "canvases": "canvas"}
 
@@ -66,12 +66,16 @@ def stream_labels(spark: SparkSession, path: str, files_per_trigger: int | None
     return label_lines(read_named(spark, path, ".txt", files_per_trigger, stream=True))
 
 
-def write_labels(boxes: DataFrame, path: str) -> None:
-    """A file <image_id>.txt of label lines for each image; ``boxes`` has image_id, cls, idx, box, vw, vh."""
+def label_contents(boxes: DataFrame) -> DataFrame:
+    """(image_id, content): each image's label lines; ``boxes`` has image_id, cls, idx, box, vw, vh."""
     line = B.norm_line(F.col("cls"), B.box("x", "y", "width", "height"), F.col("vw"), F.col("vh"))
     of_image = F.sort_array(F.collect_list(F.struct("idx", line.alias("line"))))
-    files = boxes.groupBy("image_id").agg(F.concat(F.array_join(F.transform(of_image, lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
-    write_named(files, path, ".txt")
+    return boxes.groupBy("image_id").agg(F.concat(F.array_join(F.transform(of_image, lambda r: r["line"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def write_labels(boxes: DataFrame, path: str) -> None:
+    """A file <image_id>.txt of label lines for each image; ``boxes`` as in label_contents."""
+    write_named(label_contents(boxes), path, ".txt")
 
 
 def read_fixtures(spark: SparkSession, path: str) -> DataFrame:

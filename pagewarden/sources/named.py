@@ -8,7 +8,7 @@ They are read by Spark's own file sources, as tables and as streams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
+ROUND = 100_000  # files of through_files that are there at once
+
+
 def file_name(name: str) -> str:
     """A first dot or underscore is encoded too: readers take such files for hidden ones."""
     plain = quote(name, safe="")
@@ -91,3 +94,32 @@ def read_named(spark: SparkSession, path: str, suffix: str = "", files_per_trigg
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(path, wholetext=True).select(name_of(suffix).alias("name"), F.col("value").alias("content"))
+
+
+def through_files(rows: DataFrame, path: str, suffix: str, read: Callable[[str], DataFrame], most: int = ROUND) -> DataFrame:
+    """What ``read`` gives for a folder of the files that write_named makes of rows of (name, content), all of them, in rounds.
+
+    A file takes a block of disk at least, and a listing of millions fills a driver. So some ``most`` files are written, read
+    back and deleted before the next ones: every row passes a file of its own, and disk holds a round's files and two tables.
+    Rows of one name are in one round; each round reads its own part of the rows only.
+    """
+    spark = rows.sparkSession
+    whole = rows.toDF("name", "content").withColumn("name", F.col("name").cast("string")).where("name <> '' AND content IS NOT NULL")
+    whole.write.parquet(f"{path}/rows")
+    held = spark.read.schema(whole.schema).parquet(f"{path}/rows")
+    rounds = max(1, -(-held.count() // most))
+    if rounds > 1:
+        held.withColumn("round", F.pmod(F.xxhash64("name"), F.lit(rounds)).cast("int")).write.partitionBy("round").parquet(f"{path}/rounds")
+    files, folder = open_folder(path)
+    for i in range(rounds):
+        part = held
+        if rounds > 1:
+            at = f"{path}/rounds/round={i}"
+            if files.get_file_info(f"{folder}/rounds/round={i}").type != pafs.FileType.Directory:
+                continue
+            part = spark.read.schema(whole.schema).parquet(at)
+        write_named(part.repartition(spark.sparkContext.defaultParallelism), f"{path}/files{i}", suffix)
+        back = read(f"{path}/files{i}")
+        back.write.mode("append").parquet(f"{path}/back")
+        files.delete_dir(f"{folder}/files{i}")
+    return spark.read.schema(back.schema).parquet(f"{path}/back")

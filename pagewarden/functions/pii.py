@@ -69,7 +69,9 @@ def _rule_spans(text: Column, kind: str, category: str, pattern: str) -> Column:
         kept = own if accepted is None else F.when(accepted, own).otherwise(acc["spans"])
         return F.when(hit.isNull(), acc).otherwise(F.struct((start + F.length(hit)).cast("int").alias("at"), kept.cast(f"array<{SPAN}>").alias("spans")))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, nothing, add)["spans"]).otherwise(_no_spans())
+    # From each start of a word the email's pattern runs to the word's end, so it is tried only where an at sign stands.
+    there = F.contains(text, F.lit("@")) & text.rlike(pattern) if kind == "email" else text.rlike(pattern)
+    return F.when(there, F.aggregate(found, nothing, add)["spans"]).otherwise(_no_spans())
 
 
 def pii_spans(text: Column) -> Column:
@@ -173,7 +175,9 @@ def scrub_url(url: Column) -> Column:
 def sensitive_line(text: Column, spans: Column | None = None) -> Column:
     """Category of a line read from pixels, null if harmless: the rules, else nine digits, else the shape of an email."""
     first = F.get(pii_spans(text) if spans is None else spans, F.lit(0))["category"]
-    return F.coalesce(first, F.when(text.rlike(rf"\d(?:[{_WS}-]?\d){{8,}}"), "pii_text").when(text.rlike(rf"[^{_WS}]+[{_WS}]?@[{_WS}]?[^{_WS}]+\.[^{_WS}]{{2,}}"), "email"))
+    # The shape of an email tries each start of a word up to its end: long words without an at sign are not given to it.
+    email = F.contains(text, F.lit("@")) & text.rlike(rf"[^{_WS}]+[{_WS}]?@[{_WS}]?[^{_WS}]+\.[^{_WS}]{{2,}}")
+    return F.coalesce(first, F.when(text.rlike(rf"\d(?:[{_WS}-]?\d){{8,}}"), "pii_text").when(email, "email"))
 
 
 def line_placeholder(category: Column) -> Column:
@@ -183,10 +187,12 @@ def line_placeholder(category: Column) -> Column:
 def hide_lines(text: Column) -> Column:
     """Whole lines that are sensitive give way to their category's placeholder."""
     def shown(line: Column) -> Column:
-        c = sensitive_line(line)
-        return F.when(c.isNull(), line).otherwise(line_placeholder(c))
+        # An array's element is computed once, however often the placeholder reads it.
+        return F.get(F.transform(F.array(sensitive_line(line)), lambda c: F.when(c.isNull(), line).otherwise(line_placeholder(c))), F.lit(0))
 
-    return F.array_join(F.transform(F.split(text, "\n"), shown), "\n")
+    # A line without a digit or an at sign is harmless, and most lines are.
+    worth = F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike("[0-9@]"), shown(line)).otherwise(line))
+    return F.when(text.rlike("[0-9@]"), F.array_join(worth, "\n")).otherwise(text)
 
 
 def field_category(role: Column, label: Column, attributes: Column) -> Column:

@@ -19,12 +19,14 @@ _QUESTION = (
     r"(?i)\?\s*$|^(what|which|who|whom|whose|when|where|why|how|is|are|was|were|does|do|did|can|could|should|will|would|has|have|tell me|explain|describe|summari[sz]e|analy[sz]e|"
     r"review|list|check (if|whether)|find out|give me|show me)\b|\b(analy[sz]e|analysis|summary|summari[sz]e|explain|describe|overview)\b"
 )
+# The characters of _WS one by one.
+_BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 PAGE_TEXT_MAX, ASK_TEXT_MAX, KEY_MAX = 15_000, 6_000, 40
 ASK_TEXT_MARK = "\n[... page text truncated]"
 
 
 def trim_all(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^[{_WS}]+|[{_WS}]+$", "")
+    return F.trim(s, F.lit(_BLANKS))
 
 
 def collapse(s: Column) -> Column:
@@ -32,10 +34,20 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, rf"[{_WS}]+", " "))
 
 
+def _head(s: Column, drop: str, keep: str, n: int) -> Column:
+    """The text up to its ``n``-th character of the class ``keep``, and what follows of ``drop``; whole if it has fewer."""
+    return F.regexp_extract(s, rf"^[{drop}]*(?:[{keep}][{drop}]*){{0,{n}}}", 0)
+
+
+def _once(c: Column, use) -> Column:
+    """use(c) with c computed once, however often ``use`` reads it: an array's element is."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def ellipsis(s: Column, limit: int) -> Column:
     """Collapsed; over the limit cut to limit - 1 characters and an ellipsis."""
-    c = collapse(s)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("…")))
+    # So many characters that are no white space tell whether the rest is cut, and what stays.
+    return _once(collapse(_head(s, _WS, f"^{_WS}", limit + 1)), lambda c: F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("…"))))
 
 
 def cut(s: Column, limit: int) -> Column:
@@ -44,18 +56,19 @@ def cut(s: Column, limit: int) -> Column:
 
 def page_text(s: Column, limit: int = PAGE_TEXT_MAX) -> Column:
     """Lines collapsed and trimmed, three or more line breaks as two, cut at the limit."""
-    lines = F.transform(F.split(s, "\n"), lambda x: trim_all(F.regexp_replace(x, "[ \t\u00a0]+", " ")))
+    # Single blanks, as most are, are not replaced by themselves.
+    lines = F.transform(F.split(s, "\n"), lambda x: trim_all(F.regexp_replace(x, "[ \t\u00a0]{2,}|[\t\u00a0]", " ")))
     return cut(trim_all(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")), limit)
 
 
 def ask_text(s: Column) -> Column:
-    t = trim_all(F.coalesce(s, F.lit("")))
-    return F.when(F.length(t) > ASK_TEXT_MAX, F.concat(cut(t, ASK_TEXT_MAX), F.lit(ASK_TEXT_MARK))).otherwise(t)
+    return _once(trim_all(F.coalesce(s, F.lit(""))), lambda t: F.when(F.length(t) > ASK_TEXT_MAX, F.concat(cut(t, ASK_TEXT_MAX), F.lit(ASK_TEXT_MARK))).otherwise(t))
 
 
 def slug(s: Column) -> Column:
     """Lower case, other characters as single underscores, none at the ends, at most 40."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, KEY_MAX)
+    head = _head(F.lower(s), "^a-z0-9", "a-z0-9", KEY_MAX + 1)
+    return F.substring(F.trim(F.regexp_replace(head, "[^a-z0-9]+", "_"), F.lit("_")), 1, KEY_MAX)
 
 
 def comparable(s: Column) -> Column:

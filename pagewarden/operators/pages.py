@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +87,24 @@ def nodes_of(html: str | None):
         yield "text", i, p.elements[n]["tag"], None, t, None, None, n
 
 
-_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_FIELDS = [(c.split()[0], _TYPES[c.split()[1]]) for c in NODES.split(", ")]
+PARSED = 64  # pages whose nodes are held at once: a page has hundreds
 
 
 def _parse(batches):
     for batch in batches:
-        yield pd.DataFrame([(page_id, *n) for page_id, html in zip(batch["page_id"], batch["html"]) for n in nodes_of(html)], columns=_COLUMNS)
+        for at in range(0, batch.num_rows, PARSED):
+            part = batch.slice(at, PARSED)
+            rows = [(page_id, *n) for page_id, html in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist()) for n in nodes_of(html)]
+            columns = list(zip(*rows)) or [()] * len(_FIELDS)
+            columns[4] = [None if a is None else list(a.items()) for a in columns[4]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Nodes of pages (page_id, html): kind element or text, in document order; see NODES. Null html has none."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(_parse, NODES)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_parse, NODES)
 
 
 class _PageNodes:

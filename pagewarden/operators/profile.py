@@ -11,6 +11,7 @@ from pagewarden.operators.sessions import PLACEHOLDER
 
 # Names too general to mean a person; labels whose values are never saved.
 GENERIC_NAMES = ("me", "my", "i", "self", "myself", "mine", "default")
+FEW_PEOPLE = 100_000  # some megabytes
 _SECRET = r"(?i)pass(word|code|phrase)?\b|\bpin\b|\bcvv\b|\bcvc\b|\botp\b|one[- ]time"
 
 
@@ -34,12 +35,14 @@ def pick_person(tasks: DataFrame, people: DataFrame) -> DataFrame:
     """(task_id, person_id): the person named in the task (longest name), else the active one, else the first.
 
     Names meet tasks on their first word, and only those pairs are tested; ``people`` has person_id, name, active, pos.
+    Up to FEW_PEOPLE are sent to the tasks: dealt by words, all tasks' rows of a common word would be one task's.
     """
     p = people.withColumn("_name", F.trim(_form(F.col("name")))).select("person_id", "_name", F.length("name").alias("_len"), "pos", F.split("_name", " ")[0].alias("_word"))
     usable = p.where((F.length("_name") >= 2) & ~F.col("_name").isin(*GENERIC_NAMES))
     form = F.concat(F.lit(" "), _form(F.col("task")), F.lit(" "))
     t = tasks.select("task_id", form.alias("_task"), F.explode(F.array_distinct(F.split(F.trim(form), " +"))).alias("_word"))
     hit = F.contains("_task", F.concat(F.lit(" "), F.col("_name"), F.lit(" "))) | F.contains("_task", F.concat(F.lit(" "), F.col("_name"), F.lit(" s ")))
+    usable = F.broadcast(usable) if usable.limit(FEW_PEOPLE + 1).count() <= FEW_PEOPLE else usable
     named = t.join(usable, "_word").where(hit).groupBy("task_id").agg(F.min_by("person_id", F.struct((-F.col("_len")).alias("l"), F.col("pos"))).alias("named"))
     fallback = people.agg(F.coalesce(F.min_by(F.when(F.col("active"), F.col("person_id")), F.when(F.col("active"), F.col("pos"))), F.min_by("person_id", "pos")).alias("other"))
     return tasks.select("task_id").join(named, "task_id", "left").join(F.broadcast(fallback)).select("task_id", F.coalesce("named", "other").alias("person_id"))

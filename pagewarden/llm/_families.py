@@ -187,30 +187,38 @@ def sketches_allow(a: str, b: str, similarity: float, longs: int) -> Column:
     return apart <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Hashes, bands: int, rows: int, similarity: float, longs: int = LONGS) -> DataFrame:
+def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Hashes, bands: int, rows: int, similarity: float, longs: int = LONGS, release: Callable[[], None] | None = None) -> DataFrame:
     """(node, component) for every id that is not its component's smallest.
 
     ``items`` (id binary, rank long, bands binary: packed keys) has each id once, in ``rows`` rows at most; of a bucket the smallest rank leads.
-    ``texts_of`` gives (id, text), each id once, for a table of ids.
+    ``texts_of`` gives (id, text), each id once, for a table of ids. ``release`` is called once ``items`` are not read any more.
     """
-    own: list[Written] = []
+    own: dict[str, Written] = {}
 
     def hold(df: DataFrame, label: str) -> DataFrame:
-        """Written for this call alone; deleted at its end."""
-        own.append(Written(df, label))
-        return own[-1].df
+        """Written for this call alone; deleted by done() or at its end."""
+        own[label] = Written(df, label)
+        return own[label].df
+
+    def done(*labels: str) -> None:
+        """Deletes tables that nothing reads any more, so that they do not lie beside those that follow."""
+        for label in labels:
+            own.pop(label).drop()
 
     entries = hold(shared_bands(items, bands, rows), "entries")
-    # Two leaders a bucket: its smallest rank, and one by a hash, for families whose first is far from the others.
+    if release:
+        release()
+    # Two leaders a bucket: its smallest rank, and the largest id, which is a hash, for families whose first is far from the others.
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot band.
-    by_hash = F.struct(F.xxhash64("id", F.lit(5)).alias("by"), "id")
-    leaders = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("first"), F.min(by_hash).alias("other"))
-    buckets = hold(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), F.col("other.id").alias("other")), "buckets")
+    leaders = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("first"), F.max("id").alias("other"))
+    buckets = hold(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), "other"), "buckets")
     members = hold(entries.join(buckets, "band").select("band", "id", "first", "other"), "members")
+    done("entries", "buckets")
     wanted = hold(members.select("id").distinct(), "wanted")
     columns = ["size", *(f"o{i}" for i in range(longs))]
     sketched = texts_of(wanted).mapInArrow(_sketch(hashes, longs), "id binary, text string, " + ", ".join(f"{c} long" for c in columns))
     texts = hold(sketched, "texts")
+    done("wanted")
     marks = texts.select("id", F.struct(*columns).alias("mark"))
     jaccard = _similarity(hashes)
 
@@ -233,17 +241,19 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
     near = hold(marked.where(allowed("ma", "mb")).select("a", "b"), "star")
     joined = written(connected_components(verified(near)), "joined")
     placed = hold(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    done("members", "star", "named")
     mixed = hold(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
     own_bands = F.collect_list("band").over(Window.partitionBy("id"))  # ``bands`` at most
     told = hold(placed.join(mixed, "band", "left_semi").join(marks, "id").withColumn("bands", own_bands), "told")
+    done("placed", "mixed")
     left = told.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("mark").alias("ma"), F.col("bands").alias("bands_a"))
     right = told.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("mark").alias("mb"), F.col("bands").alias("bands_b"))
     # A pair that shares several bands meets in the smallest of them only.
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
     pairs = hold(left.join(right, "band").where(F.col("ca") < F.col("cb")).where(allowed("ma", "mb")).where(once).select("a", "b", "ca", "cb"), "pairs")
+    done("told")
     # What is left joins components, not their members.
     over = written(connected_components(verified(pairs).select("ca", "cb")).select(F.col("node").alias("from"), F.col("component").alias("to")), "over")
-    for table in own:
-        table.drop()
+    done(*own)
     moved = joined.join(over, joined["component"] == over["from"], "left").select("node", F.coalesce("to", "component").alias("component"))
     return moved.unionByName(over.select(F.col("from").alias("node"), F.col("to").alias("component")))

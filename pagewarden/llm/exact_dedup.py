@@ -14,6 +14,7 @@ against the same filter.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -123,10 +124,14 @@ class Filter:
         return _split(rows, h, self.words, self.segments)
 
 
-def split_repeated(df: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows whose long ``key`` may occur again, rows whose key certainly does not) of a table of ``rows`` rows at most."""
-    keyed = df.withColumn("_h", F.col(key).bitwiseAND(F.lit((1 << 60) - 1)))
-    return tuple(x.drop("_h") for x in Filter(keyed, rows).split(keyed))
+def repeated_by(df: DataFrame, key: str, rows: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """The function that splits ``df`` (``rows`` rows at most), or a table of some of its columns, into rows whose long ``key`` may occur again and rows whose key certainly does not."""
+
+    def keyed(x: DataFrame) -> DataFrame:
+        return x.withColumn("_h", F.col(key).bitwiseAND(F.lit((1 << 60) - 1)))
+
+    held = Filter(keyed(df), rows)
+    return lambda x: tuple(y.drop("_h") for y in held.split(keyed(x)))
 
 
 def _hash_table(docs: DataFrame, columns: dict[str, Column], text: str) -> tuple[DataFrame, Filter]:

@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm._common import named, written
+from pagewarden.llm._common import Written, named, written
 from pagewarden.llm._families import pack_keys, similar_components, wanted_texts
 from pagewarden.llm._minhash import mix
-from pagewarden.llm.exact_dedup import split_repeated
+from pagewarden.llm.exact_dedup import repeated_by
 
 SHINGLE = 6
 BANDS = 12
@@ -159,21 +159,25 @@ class _Lines:
     def __init__(self, docs: DataFrame, text: str, doc_id: str):
         numbered = docs.select(F.monotonically_increasing_id().alias("_row"), named(doc_id).alias("doc_id"), named(text).alias("text"))
         kind = docs.schema[doc_id].dataType.simpleString()
-        self.seen = written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, lines long, bands binary"), "lines")
+        signed = Written(numbered.mapInArrow(_signed, f"_row long, doc_id {kind}, pos int, id binary, h1 long, lines long, bands binary"), "lines")
         at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row", "pos").alias("first")
 
         # Most lines occur once: only those that a bounded Bloom filter cannot clear are shuffled with their bands.
-        held = self.seen.where("id IS NOT NULL")
+        held = signed.df.where("id IS NOT NULL")
         rows = held.count()
-        self.maybe, single = split_repeated(held, "h1", rows)
-        repeated = written(self.maybe.groupBy("id").agg(F.count("*").alias("copies"), F.min(at).alias("first"), F.any_value("bands").alias("bands")), "repeated")
-        distinct = single.select("id", F.lit(0).cast("long").alias("rank"), "bands").unionByName(repeated.select("id", (1 - F.col("copies")).alias("rank"), "bands"))
+        split = repeated_by(held, "h1", rows)
+        maybe, once = split(held)
+        repeated = written(maybe.groupBy("id").agg(F.count("*").alias("copies"), F.min(at).alias("first"), F.any_value("bands").alias("bands")), "repeated")
+        distinct = once.select("id", F.lit(0).cast("long").alias("rank"), "bands").unionByName(repeated.select("id", (1 - F.col("copies")).alias("rank"), "bands"))
+        # Bands are most of the table and are read no more once candidates are found: the rest is kept without them.
+        self.seen = written(signed.df.drop("bands"), "seen")
+        self.maybe, single = split(self.seen.where("id IS NOT NULL"))
 
         def texts_of(wanted: DataFrame) -> DataFrame:
             """The lines are cut again; those that no bit of the wanted ones allows are dropped at once."""
             return wanted_texts(docs.select(named(text).alias("text")), wanted, lambda texts: list({x for t in texts for _, x in lines_of(t)}), line_id)
 
-        final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, rows, SIMILARITY), "final")
+        final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, rows, SIMILARITY, release=signed.drop), "final")
         like = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")
         self.alike = written(single.select("id", at).join(like, "id").select("id", "component", F.lit(1).cast("long").alias("copies"), "first"), "alike")
         again = repeated.select("id", "copies", "first").join(like, "id", "left").where("copies > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("component"), "copies", "first")

@@ -125,9 +125,17 @@ def match(dets: DataFrame, truth: DataFrame, iou_threshold: float = 0.5) -> Data
     Most confident detections choose first (then smaller idx); each takes the free truth box of its
     class with the largest IoU of at least the threshold, of equals the last.
     """
-    d = dets.select("image_id", "cls", "idx", "conf", a_box().alias("db"))
-    t = truth.select("image_id", "cls", "id", a_box().alias("tb"))
-    pairs = d.join(t, ["image_id", "cls"]).withColumn("iou", B.iou(F.col("db"), F.col("tb"))).where(F.col("iou") >= iou_threshold)
+    return _matched(dets, truth, iou_threshold).drop("conf")
+
+
+def _matched(dets: DataFrame, truth: DataFrame, iou_threshold: float) -> DataFrame:
+    """match() with each detection's conf. Both tables are grouped together and not joined: tables that are dealt by image stay where they are."""
+    there = F.col("image_id").isNotNull() & F.col("cls").isNotNull()  # told in the lists: a filter would make the scans differ from a caller's own
+    d = dets.select("image_id", "cls", F.struct("idx", "conf", a_box().alias("box")).alias("d"))
+    t = truth.select("image_id", "cls", F.struct("id", a_box().alias("box")).alias("t"))
+    lists = d.unionByName(t, allowMissingColumns=True).groupBy("image_id", "cls").agg(*(F.collect_list(F.when(there, F.col(k))).alias(f"{k}s") for k in "dt"))
+    pairs = lists.select("image_id", "cls", F.explode("ds").alias("d"), "ts").select("image_id", "cls", "d", F.explode("ts").alias("t"))
+    pairs = pairs.select("image_id", "cls", "d.idx", "d.conf", "t.id", B.iou(F.col("d.box"), F.col("t.box")).alias("iou")).where(F.col("iou") >= iou_threshold)
     entry = F.struct((-F.col("conf")).alias("c"), F.col("idx").cast("long").alias("idx"), (-F.col("iou")).alias("i"), (-F.col("id")).cast("long").alias("t"))
     kind = "array<struct<c:double,idx:bigint,i:double,t:bigint>>"
 
@@ -137,7 +145,7 @@ def match(dets: DataFrame, truth: DataFrame, iou_threshold: float = 0.5) -> Data
 
     folded = pairs.groupBy("image_id", "cls").agg(F.sort_array(F.collect_list(entry)).cast(kind).alias("p"))
     got = folded.select("image_id", "cls", F.explode(F.aggregate("p", F.array().cast(kind), choose)).alias("m"))
-    return got.select("image_id", "cls", F.col("m.idx").alias("idx"), (-F.col("m.t")).alias("id"), (-F.col("m.i")).alias("iou"))
+    return got.select("image_id", "cls", F.col("m.idx").alias("idx"), (-F.col("m.t")).alias("id"), (-F.col("m.i")).alias("iou"), (-F.col("m.c")).alias("conf"))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -162,15 +170,17 @@ def sweep(dets: DataFrame, truth: DataFrame, thresholds=THRESHOLDS, iou_threshol
     Less confident detections never change what more confident ones match, so one matching at the
     lowest threshold serves all: each match and detection counts for every threshold it reaches.
     """
-    levels = F.array(*(F.lit(float(t)) for t in thresholds))
-    reached = lambda df: df.withColumn("threshold", F.explode(F.filter(levels, lambda t: F.col("conf") >= t)))
     low = dets.where(F.col("conf") >= min(thresholds))
-    matched = match(low, truth, iou_threshold).join(low.select("image_id", "cls", F.col("idx").cast("long").alias("idx"), "conf"), ["image_id", "cls", "idx"])
-    rows = [
-        truth.withColumn("threshold", F.explode(levels)).groupBy("threshold", "cls").agg(F.count("*").alias("t"), F.lit(0).alias("d"), F.lit(0).alias("m")),
-        reached(low).groupBy("threshold", "cls").agg(F.lit(0).alias("t"), F.count("*").alias("d"), F.lit(0).alias("m")),
-        reached(matched).groupBy("threshold", "cls").agg(F.lit(0).alias("t"), F.lit(0).alias("d"), F.count("*").alias("m")),
-    ]
+
+    def counts_of(df: DataFrame, name: str, reaches) -> DataFrame:
+        """Rows of a class that reach each threshold, counted before they are told apart; a class without any has no row."""
+        by_class = df.groupBy("cls").agg(*(F.count_if(reaches(float(t))).alias(f"n{i}") for i, t in enumerate(thresholds)))
+        each = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{i}").alias("n")) for i, t in enumerate(thresholds))))
+        told = by_class.select("cls", each.alias("e")).where("e.n > 0")
+        return told.select("e.threshold", "cls", *(F.col("e.n").alias(c) if c == name else F.lit(0).cast("long").alias(c) for c in "tdm"))
+
+    reached = lambda t: F.col("conf") >= t
+    rows = [counts_of(truth, "t", lambda _: F.lit(True)), counts_of(low, "d", reached), counts_of(_matched(low, truth, iou_threshold), "m", reached)]
     counts = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("threshold", "cls").agg(*(F.sum(c).alias(c) for c in "tdm"))
     s = counts.groupingSets([["threshold", "cls"], ["threshold"]], "threshold", "cls").agg(F.sum("t").alias("truth"), F.sum("m").alias("found"), F.sum("d").alias("detections"), F.sum("m").alias("correct"))
     ratio = lambda part, whole: F.when(F.col(whole) == 0, 1.0).otherwise(F.try_divide(F.col(part), F.col(whole)))

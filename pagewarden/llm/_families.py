@@ -4,7 +4,8 @@ Used for lines (characters) and documents (words). Candidates share a MinHash ba
 near copies are met in three steps, so that a family's pairs are not all formed:
 
 1. In a band's bucket every member meets the bucket's two leaders, which joins most of a family in linear work.
-2. Then pairs of a bucket that are still in different components meet, so that no link between components is lost.
+2. Then pairs of a bucket that are still in different components meet, so that no link between components is lost;
+   buckets of two, or of two leaders and a third, have no such pairs.
 3. Pairs must pass two bounds that lose no link: the smaller set has ``similarity`` of the larger one's size
    at least, and the odd sketches (parity of the shingles in each of 64 x LONGS cells) differ in no more
    cells than the sets may differ in shingles. What passes is verified on the texts.
@@ -15,7 +16,7 @@ Shingles are compared as 52-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewarden.llm._bloom import FILTER_TASKS, bits_of, cells_of, is_set, possibly_repeated
+from pagewarden.llm._bloom import FILTER_TASKS, bits_of, cells_of, is_set, possibly_repeated, set_bits
 from pagewarden.llm._common import Written, connected_components, written
 from pagewarden.llm._minhash import mix
 
@@ -37,6 +38,8 @@ _CHUNK = 1 << 12
 
 #: (hashes of all shingles, repeats included, text after text; number of each text's shingles, one at least)
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: A function from batches of (id, text) to batches of id and further columns, and these columns' types
+Made = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], dict[str, str]]
 
 
 def sets_of(texts: list[str], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +66,8 @@ def _sketch(hashes: Hashes, longs: int):
                 sets, sizes = sets_of(part.column("text").to_pylist(), hashes)
                 odd = odd_sketches(sets, sizes, longs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("text"), pa.array(sizes), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(longs))],
-                    names=["id", "text", "size", *(f"o{i}" for i in range(longs))],
+                    [part.column("id"), pa.array(sizes), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(longs))],
+                    names=["id", "size", *(f"o{i}" for i in range(longs))],
                 )
 
     return run
@@ -131,7 +134,8 @@ def shared_bands(items: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _id_cells(ids: list[bytes], cells: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(ids), ">u8")[::2] % np.uint64(cells)).astype(np.int64)
+    """(2, ids): two cells of each id, by its halves."""
+    return (np.frombuffer(b"".join(ids), ">u8").reshape(-1, 2).T % np.uint64(cells)).astype(np.int64)
 
 
 def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
@@ -140,9 +144,9 @@ def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
     def run(batches):
         bits, any_ = np.zeros(cells >> 3, np.uint8), False
         for batch in batches:
-            at = _id_cells(batch.column("id").to_pylist(), cells)
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-            any_ = any_ or len(at) > 0
+            for at in _id_cells(batch.column("id").to_pylist(), cells):
+                set_bits(bits, at)
+            any_ = any_ or batch.num_rows > 0
         if any_:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
 
@@ -152,11 +156,12 @@ def _filter_of(ids: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def wanted_texts(docs: DataFrame, wanted: DataFrame, units: Callable[[list[str]], list[str]], id_of: Callable[[str], bytes]) -> DataFrame:
-    """(id, text) of the wanted ids, each once, of the units that the texts of docs (text) are cut into.
+def wanted_texts(docs: DataFrame, wanted: DataFrame, units: Callable[[list[str]], list[str]], id_of: Callable[[str], bytes], made: Made | None = None) -> DataFrame:
+    """(id, text) of the wanted ids, each once, of the units that the texts of docs (text) are cut into; with ``made``, id and what it makes of them.
 
     The units are cut again rather than kept; those that no bit of the wanted ones allows, in a filter of 32 MB at most, are dropped at once.
     """
+    make, columns = made or (lambda batches: batches, {"text": "string"})
     cells = min(1 << 28, max(1 << 10, 1 << (16 * wanted.count()).bit_length()))
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, cells))
 
@@ -166,14 +171,14 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, units: Callable[[list[str]]
             for at in range(0, batch.num_rows, 64):
                 texts = units(batch.slice(at, 64).column("text").to_pylist())
                 ids, bits = [id_of(x) for x in texts], held.value
-                cell = _id_cells(ids, cells)
-                keep = [i for i in np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1) if ids[i] not in told]
+                one, two = _id_cells(ids, cells)
+                keep = [i for i in np.flatnonzero(is_set(bits, one) & is_set(bits, two)) if ids[i] not in told]
                 told = set() if len(told) > 100_000 else told
                 told.update(ids[i] for i in keep)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.binary()), pa.array([texts[i] for i in keep], pa.string())], names=["id", "text"])
 
-    found = docs.mapInArrow(run, "id binary, text string")
-    return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("text").alias("text"))
+    found = docs.mapInArrow(lambda batches: make(run(batches)), ", ".join(["id binary", *(f"{c} {kind}" for c, kind in columns.items())]))
+    return found.join(wanted, "id", "left_semi").groupBy("id").agg(*(F.any_value(c).alias(c) for c in columns))
 
 
 def sizes_allow(a: Column, b: Column, similarity: float) -> Column:
@@ -187,11 +192,11 @@ def sketches_allow(a: str, b: str, similarity: float, longs: int) -> Column:
     return apart <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * ((1 - similarity) / (1 + similarity) + 1e-9)
 
 
-def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], hashes: Hashes, bands: int, rows: int, similarity: float, longs: int = LONGS, release: Callable[[], None] | None = None) -> DataFrame:
+def similar_components(items: DataFrame, texts_of: Callable[[DataFrame, Made | None], DataFrame], hashes: Hashes, bands: int, rows: int, similarity: float, longs: int = LONGS, release: Callable[[], None] | None = None) -> DataFrame:
     """(node, component) for every id that is not its component's smallest.
 
     ``items`` (id binary, rank long, bands binary: packed keys) has each id once, in ``rows`` rows at most; of a bucket the smallest rank leads.
-    ``texts_of`` gives (id, text), each id once, for a table of ids. ``release`` is called once ``items`` are not read any more.
+    ``texts_of`` gives (id, text), each id once, for a table of ids, or id and what is made of the texts. ``release`` is called once ``items`` are not read any more.
     """
     own: dict[str, Written] = {}
 
@@ -211,15 +216,15 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
     # Two leaders a bucket: its smallest rank, and the largest id, which is a hash, for families whose first is far from the others.
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot band.
     leaders = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rank", "id")).alias("first"), F.max("id").alias("other"))
-    buckets = hold(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), "other"), "buckets")
-    members = hold(entries.join(buckets, "band").select("band", "id", "first", "other"), "members")
+    # Two members, or two leaders and a third, have all met once members have met leaders: such a bucket has no pairs left for step 2.
+    buckets = hold(leaders.where("n > 1").select("band", F.col("first.id").alias("first"), "other", F.expr("n > 3 OR n = 3 AND first.id = other").alias("more")), "buckets")
+    members = hold(entries.join(buckets, "band").select("band", "id", "first", "other", "more"), "members")
     done("entries", "buckets")
     wanted = hold(members.select("id").distinct(), "wanted")
     columns = ["size", *(f"o{i}" for i in range(longs))]
-    sketched = texts_of(wanted).mapInArrow(_sketch(hashes, longs), "id binary, text string, " + ", ".join(f"{c} long" for c in columns))
-    texts = hold(sketched, "texts")
+    # Most candidates fail the bounds: sketches are made where texts are cut, and texts are moved and kept once it is known which may be verified.
+    marks = hold(texts_of(wanted, (_sketch(hashes, longs), dict.fromkeys(columns, "long"))), "marks").select("id", F.struct(*columns).alias("mark"))
     done("wanted")
-    marks = texts.select("id", F.struct(*columns).alias("mark"))
     jaccard = _similarity(hashes)
 
     def allowed(a: str, b: str) -> Column:
@@ -239,8 +244,11 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
     star = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
     marked = star.join(marks.select(F.col("id").alias("a"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("id").alias("b"), F.col("mark").alias("mb")), "b")
     near = hold(marked.where(allowed("ma", "mb")).select("a", "b"), "star")
+    likely = hold(near.select(F.explode(F.array("a", "b")).alias("id")).union(members.where("more").select("id")).distinct(), "likely")
+    texts = hold(texts_of(likely, None), "texts")
+    done("likely")
     joined = written(connected_components(verified(near)), "joined")
-    placed = hold(members.select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    placed = hold(members.where("more").select("band", "id").join(joined, members["id"] == joined["node"], "left").select("band", "id", F.coalesce("component", "id").alias("c")), "placed")
     done("members", "star", "named")
     mixed = hold(placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band"), "mixed")
     own_bands = F.collect_list("band").over(Window.partitionBy("id"))  # ``bands`` at most

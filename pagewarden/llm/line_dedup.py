@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm._common import Written, named, written
-from pagewarden.llm._families import pack_keys, similar_components, wanted_texts
+from pagewarden.llm._families import Made, pack_keys, similar_components, wanted_texts
 from pagewarden.llm._minhash import mix
 from pagewarden.llm.exact_dedup import repeated_by
 
@@ -173,9 +173,9 @@ class _Lines:
         self.seen = written(signed.df.drop("bands"), "seen")
         self.maybe, single = split(self.seen.where("id IS NOT NULL"))
 
-        def texts_of(wanted: DataFrame) -> DataFrame:
+        def texts_of(wanted: DataFrame, made: Made | None) -> DataFrame:
             """The lines are cut again; those that no bit of the wanted ones allows are dropped at once."""
-            return wanted_texts(docs.select(named(text).alias("text")), wanted, lambda texts: list({x for t in texts for _, x in lines_of(t)}), line_id)
+            return wanted_texts(docs.select(named(text).alias("text")), wanted, lambda texts: list({x for t in texts for _, x in lines_of(t)}), line_id, made)
 
         final = written(similar_components(distinct, texts_of, shingle_hashes, BANDS, rows, SIMILARITY, release=signed.drop), "final")
         like = written(final.select(F.col("node").alias("id"), "component").unionByName(final.select(F.col("component").alias("id"), "component")).distinct(), "named")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm._common import all_of, fresh, named, written
-from pagewarden.llm._families import pack_keys, similar_components, wanted_texts
+from pagewarden.llm._families import Made, pack_keys, similar_components, wanted_texts
 from pagewarden.llm._minhash import band_keys, mix
 
 SHINGLE_WORDS = 5
@@ -84,8 +84,8 @@ def find_components(
     nodes = written(signed.groupBy("id").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "nodes")
     items = nodes.select("id", F.lit(0).cast("long").alias("rank"), "bands")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        return wanted_texts(own.select("text"), wanted, lambda texts: [t or "" for t in texts], text_id)
+    def texts_of(wanted: DataFrame, made: Made | None) -> DataFrame:
+        return wanted_texts(own.select("text"), wanted, lambda texts: [t or "" for t in texts], text_id, made)
 
     # Components of several texts only; all other documents have their text's smallest doc_id.
     found = written(similar_components(items, texts_of, shingle_hashes(words), bands, nodes.count(), similarity, SKETCH_LONGS), "found")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden import schema
 from pagewarden.functions import boxes as B
-from pagewarden.sources.named import read_named, through_files, write_named
+from pagewarden.sources.named import read_named, through_files, through_own_files, write_named
 
 ROLE_LISTS = {"links": "link", "buttons": "button", "controls": "control", "frames": "frame", "canvases": "canvas"}
 

@@ -8,8 +8,10 @@ They are read by Spark's own file sources, as tables and as streams.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
+from functools import partial
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 
 ROUND = 100_000  # files of through_files that are there at once
+TURN, TURN_CHARS = 1_000, 1 << 25  # files of a task of through_own_files that are there at once, and their characters but for the last file's
 
 
 def file_name(name: str) -> str:
@@ -123,3 +126,50 @@ def through_files(rows: DataFrame, path: str, suffix: str, read: Callable[[str],
         back.write.mode("append").parquet(f"{path}/back")
         files.delete_dir(f"{folder}/files{i}")
     return spark.read.schema(back.schema).parquet(f"{path}/back")
+
+
+def _turn(files: pafs.FileSystem, folder: str, suffix: str, rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    """Rows written as files to an empty folder, and what a listing finds there; the folder is empty again afterwards."""
+    for name, content in rows:
+        with files.open_output_stream(f"{folder}/{file_name(name)}{suffix}") as out:
+            out.write(content.encode())
+    names, contents = [], []
+    for file in files.get_file_info(pafs.FileSelector(folder)):
+        with files.open_input_stream(file.path) as data:
+            names.append(unquote(file.base_name[: len(file.base_name) - len(suffix)]))
+            contents.append(data.read().decode())
+    files.delete_dir_contents(folder)
+    return pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "content": pa.array(contents, pa.string())})
+
+
+def _turns(batches: Iterator[pa.RecordBatch], path: str, suffix: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A task's turns, in one folder of its own: a folder for each turn would take file systems several times as long."""
+    files, top = open_folder(path)
+    folder = f"{top}/{uuid.uuid4().hex}"
+    files.create_dir(folder, recursive=True)
+    held, size = [], 0
+    try:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((name, content))
+                size += len(content)
+                if len(held) >= most or size >= TURN_CHARS:
+                    yield _turn(files, folder, suffix, held)
+                    held, size = [], 0
+        if held:
+            yield _turn(files, folder, suffix, held)
+    finally:
+        files.delete_dir(folder)
+
+
+def through_own_files(rows: DataFrame, path: str, suffix: str, most: int = TURN) -> DataFrame:
+    """(name, content) of the files that are made of rows of (name, content), all of them; names differ.
+
+    through_files lists a folder by the driver for each round, and Spark's readers take milliseconds a file. Here each task has
+    a folder of its own under ``path``: it writes ``most`` files, lists the folder, reads what lies there, deletes it and goes on.
+    So all tasks write, read and delete at once, and disk holds ``most`` files a task at any number of rows.
+    """
+    whole = rows.toDF("name", "content").withColumns({c: F.col(c).cast("string") for c in ("name", "content")}).where("name <> '' AND content IS NOT NULL")
+    # The rows' own partitions may be few, as rows are small for the time that their files take.
+    dealt = whole.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "name")
+    return dealt.mapInArrow(partial(_turns, path=path, suffix=suffix, most=most), "name string, content string")

@@ -235,14 +235,14 @@ def screenshots(spark, sf):
 
 
 def page_fixtures(spark, sf):
-    """Labelled page fixtures written as files <page>.json and read back as boxes by role, in rounds."""
+    """Labelled page fixtures written as files <page>.json and read back as boxes by role, each task's in turns."""
     d = _dets(spark, sf).withColumn("bbox", B.box("x", "y", "width", "height")).withColumn("label", F.concat(F.lit("no. "), F.col("idx").cast("string")))
     of = lambda cls, item: F.transform(F.sort_array(F.collect_list(F.when(F.col("cls") == cls, F.struct("idx", "label", "bbox")))), item)
     named = lambda e: F.struct(e["label"].alias("label"), e["bbox"].alias("bbox"))
     pages = d.groupBy("image_id").agg(of(0, named).alias("links"), of(1, named).alias("buttons"), of(2, lambda e: e["bbox"]).alias("frames"))
     viewport = F.struct(F.lit(400.0).alias("width"), F.lit(300.0).alias("height")).alias("viewport")
     contents = pages.select("image_id", F.to_json(F.struct(viewport, "links", "buttons", "frames")))
-    back = sources.through_files(contents, _folder(spark, "fixtures"), ".json", lambda folder: sources.read_fixtures(spark, folder))
+    back = sources.fixture_lines(sources.through_own_files(contents, _folder(spark, "fixtures"), ".json"))
     return back.groupBy(F.col("page").cast("long").alias("page"), "role").agg(F.count("*").alias("boxes"), F.sum(F.col("pos") * F.col("width")).alias("weight"), F.max("label").alias("label"), F.max("vw").alias("vw"))
 
 

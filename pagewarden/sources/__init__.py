@@ -78,21 +78,32 @@ def write_labels(boxes: DataFrame, path: str) -> None:
     write_named(label_contents(boxes), path, ".txt")
 
 
-def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """(page, role, pos, label, box, vw, vh) of page fixtures: lists of boxes by role."""
-    item = "array<struct<label:string,bbox:struct<x:double,y:double,width:double,height:double>>>"
-    plain = "array<struct<x:double,y:double,width:double,height:double>>"
-    kinds = {k: plain if k in ("frames", "canvases") else item for k in ROLE_LISTS}
-    ddl = "viewport struct<width:double,height:double>, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
-    pages = spark.read.schema(ddl).option("multiLine", True).json(path).withColumn("page", stem(F.input_file_name()))
+_ITEM = "array<struct<label:string,bbox:struct<x:double,y:double,width:double,height:double>>>"
+_PLAIN = "array<struct<x:double,y:double,width:double,height:double>>"
+_KINDS = {k: _PLAIN if k in ("frames", "canvases") else _ITEM for k in ROLE_LISTS}
+FIXTURE = "viewport struct<width:double,height:double>, " + ", ".join(f"{k} {v}" for k, v in _KINDS.items())
+
+
+def fixture_rows(pages: DataFrame) -> DataFrame:
+    """(page, role, pos, label, box, vw, vh) of page fixtures; ``pages`` has page and the columns of FIXTURE."""
     # All lists of a file as one, so that files are read once and not once a role.
     whole = lambda e: F.struct(F.lit(None).cast("string").alias("label"), e.alias("bbox"))
-    same = {k: (F.transform(k, whole) if kinds[k] == plain else F.col(k)).cast(item) for k in ROLE_LISTS}
+    same = {k: (F.transform(k, whole) if _KINDS[k] == _PLAIN else F.col(k)).cast(_ITEM) for k in ROLE_LISTS}
     lists = F.array(*(F.struct(F.lit(role).alias("role"), same[k].alias("items")) for k, role in ROLE_LISTS.items()))
     rows = pages.select("page", "viewport", F.explode(lists).alias("of")).select("page", "viewport", F.col("of.role").alias("role"), F.posexplode("of.items").alias("pos", "e"))
     return rows.select("page", "role", "pos", F.col("e.label").alias("label"), *(F.col(f"e.bbox.{k}").alias(k) for k in ("x", "y", "width", "height")), F.col("viewport.width").alias("vw"), F.col("viewport.height").alias("vh"))
 
 
+def fixture_lines(files: DataFrame) -> DataFrame:
+    """fixture_rows of page fixtures (name, content)."""
+    return fixture_rows(files.select(F.col("name").alias("page"), F.from_json("content", FIXTURE).alias("f")).select("page", "f.*"))
+
+
+def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """fixture_rows of the files <page>.json in a folder, or of one file."""
+    return fixture_rows(spark.read.schema(FIXTURE).option("multiLine", True).json(path).withColumn("page", stem(F.input_file_name())))
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Results both as JSON rows and as a table."""
     df.write.mode("overwrite").json(f"{path}/json")

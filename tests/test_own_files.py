@@ -25,7 +25,7 @@ def test_few_files_at_once(tmp_path):
     assert sizes == [40, 40, 10] and not os.listdir(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["label_files"])
+@pytest.mark.parametrize("name", ["label_files", "page_fixtures"])
 def test_queries_write_in_their_tasks(spark, sf, name, tmp_path, monkeypatch):
     """Nothing is written or listed for the plan: before, the driver wrote and listed round after round."""
     monkeypatch.setattr(rule_queries, "_folder", lambda *_: str(tmp_path / "out"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm import exact_dedup, mixing, near_dedup, packing, quality_gam, simhash
-from pagewarden.llm._common import Written, all_of, connected_components, written
+from pagewarden.llm._common import Written, all_of, connected_components, fresh, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = simhash.find_components(docs).select("doc_id", "component_id").unionByName(near_dedup.find_components(docs))
     links = written(found.where("doc_id <> component_id"), "links")
-    dropped = written(connected_components(links).select(F.col("node").alias("_gone")), "dropped")
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    dropped = written(connected_components(links).select(F.col("node").alias(gone)), "dropped")
+    return docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
